@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from cohortine.functions import vocab as V
 from cohortine.functions.names import ascii_upper
-from cohortine.functions.scalars import parse_int_token, repair_number
+from cohortine.functions.scalars import let, parse_int_token, repair_number
 
 
 def parse_zone_cell(raw: Column) -> Column:
     """Struct of side, zone, zone_inferred, anomaly and note from one zone cell."""
-    txt = F.trim(ascii_upper(F.coalesce(raw, F.lit(""))))
-    note = F.trim(raw)
-    anomaly = (
+    folded = F.trim(ascii_upper(F.coalesce(raw, F.lit(""))))
+    return let(folded, lambda txt: let(_anomaly(txt), lambda a: _zone_struct(txt, a, F.trim(raw))))
+
+
+def _anomaly(txt: Column) -> Column:
+    return (
         F.when(txt.contains("AT NALI"), "HORSESHOE_KIDNEY")
         .when(txt.contains("COK SAYIDA") & txt.contains("BUYUK TAS"), "MANY_SMALL_STONES_MIMIC_LARGE")
         .when(txt.contains("HIPERDENS") & txt.contains("PIRAMIS"), "HYPERDENSE_PYRAMID_MIMIC")
         .when(txt.contains("KIST") | txt.contains("LEZYON"), "COMPLICATED_CYST_HYPERDENSE_LESION")
     )
+
+
+def _zone_struct(txt: Column, anomaly: Column, note: Column) -> Column:
     side = (
         F.when(anomaly.isNotNull(), "UNKNOWN")
         .when(txt.rlike(r"\bSAG\b|\bSA\b(?!L)") | txt.startswith("SAG"), "RIGHT")
@@ -39,7 +45,7 @@ def parse_zone_cell(raw: Column) -> Column:
     )
     named = txt.rlike("ALT|UST|ORTA")
     completed = anomaly.isNull() & cut_short & ~named
-    inferred = completed | ((zone == "UNKNOWN") & (side != "UNKNOWN"))
+    inferred = completed | (~named & ~cut_short & (side != "UNKNOWN"))
     return F.struct(
         side.alias("side"),
         zone.alias("zone"),
@@ -59,7 +65,10 @@ def _number(text: Column) -> Column:
 
 def parse_free_text(text: Column) -> Column:
     """Struct of laterality cue, largest finding and declared count from a sentence."""
-    txt = ascii_upper(F.coalesce(text, F.lit("")))
+    return let(ascii_upper(F.coalesce(text, F.lit(""))), _free_text_struct)
+
+
+def _free_text_struct(txt: Column) -> Column:
     ambiguous = txt.rlike(V.AMBIGUOUS_LEFT_CUE)
     cue = F.when(ambiguous, "LEFT")
     for pattern, value in V.LATERALITY_CUES:
@@ -102,10 +111,12 @@ def parse_findings(text: Column) -> Column:
     )
 
     def lesion(part: Column) -> Column:
-        parsed = part.rlike(V.LESION_PATTERN)
         place = F.trim(F.regexp_extract(part, V.LESION_PATTERN, 1))
+        return let(parse_zone_cell(place), lambda zone: lesion_struct(part, place, zone))
+
+    def lesion_struct(part: Column, place: Column, zone: Column) -> Column:
+        parsed = part.rlike(V.LESION_PATTERN)
         size = F.trim(F.regexp_extract(part, V.LESION_PATTERN, 2))
-        zone = parse_zone_cell(place)
         known = lambda c: F.when(parsed, c)
         return F.struct(
             part.alias("raw"),
@@ -158,7 +169,7 @@ def declared_count(raw: Column) -> Column:
     """Struct of declared count and qualifier from a count cell."""
     text = F.trim(raw)
     capital = F.upper(text)
-    number = text.try_cast("double").cast("bigint")
+    number = text.try_cast("double").try_cast("bigint")
     many = capital.startswith("ÇOK") | capital.startswith("COK")
     return F.struct(
         F.when(~many, number).alias("declared"),

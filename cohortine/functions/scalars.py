@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from cohortine.functions import vocab as V
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly expression once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """Value of a small fixed table, null for an unknown key."""
     entries = [F.lit(x) for pair in table.items() for x in pair]

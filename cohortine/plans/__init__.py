@@ -1,0 +1 @@
+"""Registered queries, one module per group of operators."""
