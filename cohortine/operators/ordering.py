@@ -52,7 +52,7 @@ def number_rows(
     cell = _cell(lead, F.col("__lo"), F.col("__hi"), cells)
     tagged = df.join(F.broadcast(hot), keys, "left").withColumn("__cell", cell)
     inside = Window.partitionBy(*keys, "__cell").orderBy(*order)
-    numbered = tagged.withColumn("__rn", F.row_number().over(inside)).drop("__lo", "__hi")
+    numbered = tagged.withColumn("__inside", F.row_number().over(inside)).drop("__lo", "__hi")
     earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         df.join(F.broadcast(hot), keys)
@@ -63,8 +63,8 @@ def number_rows(
     )
     return (
         numbered.join(F.broadcast(offsets), [*keys, "__cell"], "left")
-        .withColumn(name, (F.col("__rn") + F.coalesce("__before", F.lit(0))).cast("bigint"))
-        .drop("__rn", "__before", "__cell")
+        .withColumn(name, (F.col("__inside") + F.coalesce("__before", F.lit(0))).cast("bigint"))
+        .drop("__inside", "__before", "__cell")
     )
 
 
@@ -86,10 +86,10 @@ def hash_positions(df: DataFrame, by: Sequence[str], digest: str, name: str = "r
         .drop("__m")
     )
     return (
-        tagged.withColumn("__rn", F.row_number().over(inside))
+        tagged.withColumn("__inside", F.row_number().over(inside))
         .join(offsets, [*keys, "__cell"])
-        .withColumn(name, (F.col("__rn") + F.col("__before")).cast("bigint"))
-        .drop("__rn", "__before", "__cell")
+        .withColumn(name, (F.col("__inside") + F.col("__before")).cast("bigint"))
+        .drop("__inside", "__before", "__cell")
     )
 
 

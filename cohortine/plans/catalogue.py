@@ -1,6 +1,8 @@
 """Imports every module of queries, so that the registry is complete."""
 
 from cohortine.plans import (  # noqa: F401
+    evaluated,
+    grouped,
     joined,
     rows,
 )

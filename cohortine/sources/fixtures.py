@@ -231,3 +231,37 @@ VIEWS_SQL["f_kidney"] = """k_side AS (SELECT case_id, side, count(*) AS n, max(s
         FROM f_case c CROSS JOIN (VALUES ('RIGHT'), ('LEFT')) v(side)
         LEFT JOIN k_side k ON k.case_id = c.case_id AND k.side = v.side
         LEFT JOIN k_first f ON f.case_id = c.case_id AND f.side = v.side)"""
+
+
+def detections(kidneys: DataFrame, seeds: list[int] | None = None) -> DataFrame:
+    """Seeded predictions per kidney: label, score, size class and position, some of them missing."""
+    from cohortine.functions.scalars import size3
+
+    seeds = seeds or [0, 1, 2, 3, 4]
+    k = kidneys.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    bit = F.when(F.col("side") == "RIGHT", 0).otherwise(1)
+    mix = F.col("case_id") * 7919 + F.col("seed") * 104729 + bit * 31
+    u = F.pmod(mix, F.lit(1000)) / 1000.0
+    y = F.col("has_stone").cast("int")
+    cls = F.when(F.pmod(mix, F.lit(5)) == 0, "MEDIUM").otherwise(size3(F.col("max_class")))
+    zone = F.when(F.pmod(mix, F.lit(4)) == 0, "MID").otherwise(F.col("dominant_zone"))
+    return k.select(
+        F.concat(F.col("case_id").cast("string"), F.lit("_"), F.substring("side", 1, 1)).alias("kidney_id"),
+        "case_id", "patient_id", "side", "seed", y.alias("y"),
+        F.round(y * 0.35 + u * 0.65, 6).alias("p"),
+        "max_mm", "max_class", "dominant_zone", "n_characterized", "has_stone",
+        F.when(F.pmod(mix, F.lit(6)) > 0, cls).alias("size_cls"),
+        F.when(zone != "UNKNOWN", zone).alias("zone"),
+        F.round(u, 3).alias("z_hat"),
+        (F.pmod(F.col("case_id"), F.lit(23)) > 0).alias("mask_plausible"),
+    )
+
+
+VIEWS_SQL["f_det"] = """d_mix AS (SELECT *, case_id * 7919 + seed * 104729 + CASE side WHEN 'RIGHT' THEN 0 ELSE 1 END * 31 AS mix
+      FROM f_kidney CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS seed)),
+    d_cls AS (SELECT *, CASE WHEN mix % 5 = 0 THEN 'MEDIUM' WHEN max_class IN ('MIKROLITIYAZIS', 'KUCUK') THEN 'SMALL' WHEN max_class = 'ORTA' THEN 'MEDIUM'
+        WHEN max_class IN ('BUYUK', 'COK_BUYUK') THEN 'LARGE' END AS cls0, CASE WHEN mix % 4 = 0 THEN 'MID' ELSE dominant_zone END AS zone0 FROM d_mix),
+    f_det AS (SELECT case_id || '_' || side[1] AS kidney_id, case_id, patient_id, side, seed::INTEGER AS seed, has_stone::INTEGER AS y,
+      round(has_stone::INTEGER * 0.35::DOUBLE + (mix % 1000) / 1000.0::DOUBLE * 0.65::DOUBLE, 6) AS p, max_mm, max_class, dominant_zone, n_characterized, has_stone,
+      CASE WHEN mix % 6 > 0 THEN cls0 END AS size_cls, CASE WHEN zone0 <> 'UNKNOWN' THEN zone0 END AS zone,
+      round((mix % 1000) / 1000.0::DOUBLE, 3) AS z_hat, case_id % 23 > 0 AS mask_plausible FROM d_cls)"""
