@@ -4,6 +4,7 @@ from cohortine.plans import (  # noqa: F401
     evaluated,
     grouped,
     joined,
+    reporting,
     rows,
 )
 from cohortine.plans.registry import ORACLE, QUERIES

@@ -265,3 +265,62 @@ VIEWS_SQL["f_det"] = """d_mix AS (SELECT *, case_id * 7919 + seed * 104729 + CAS
       round(has_stone::INTEGER * 0.35::DOUBLE + (mix % 1000) / 1000.0::DOUBLE * 0.65::DOUBLE, 6) AS p, max_mm, max_class, dominant_zone, n_characterized, has_stone,
       CASE WHEN mix % 6 > 0 THEN cls0 END AS size_cls, CASE WHEN zone0 <> 'UNKNOWN' THEN zone0 END AS zone,
       round((mix % 1000) / 1000.0::DOUBLE, 3) AS z_hat, case_id % 23 > 0 AS mask_plausible FROM d_cls)"""
+
+
+def report_stones(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of the report records: five zones, half millimetres, some sizes unknown."""
+    s = stones(spark, folder)
+    mm = F.when(F.col("part") % 4 == 0, F.col("seen_mm") - 0.5).otherwise(F.col("seen_mm"))
+    return s.select(
+        "case_id", "side", F.col("zone5").alias("zone"), mm.alias("mm"), size_class(mm).alias("cls"),
+        F.when(F.col("side") == "RIGHT", 0).otherwise(1).alias("side_rank"),
+    )
+
+
+def report_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One record per case: laterality with a cue, count with a qualifier, anomalies."""
+    from cohortine.functions.labels import derive_laterality
+    from cohortine.functions.scalars import effective_count
+
+    rolled = stones(spark, folder).groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("side") == "RIGHT").alias("r"), F.bool_or(F.col("side") == "LEFT").alias("l")
+    )
+    j = cases(spark, folder).join(rolled, "case_id", "left")
+    k = F.col("case_id")
+    cue = F.when(k % 7 == 0, "BILATERAL").when(k % 7 == 1, "RIGHT")
+    listed = F.coalesce("n", F.lit(0))
+    declared = F.when(k % 5 == 1, listed + 3)
+    qualifier = F.when(k % 5 == 0, "MANY").otherwise("EXACT")
+    notes = F.array_compact(
+        F.array(
+            F.when(k % 11 == 0, "HORSESHOE_KIDNEY"), F.when(k % 13 == 0, "MANY_SMALL_STONES_MIMIC_LARGE"),
+            F.when(k % 17 == 0, "HYPERDENSE_PYRAMID_MIMIC"), F.when(k % 19 == 0, "COMPLICATED_CYST_HYPERDENSE_LESION"),
+            F.when(k % 23 == 0, "URETERAL_STONE_PRESENT"), F.when(k % 29 == 0, "BLADDER_DIVERTICULUM_STONE"),
+        )
+    )
+    return j.select(
+        "case_id",
+        derive_laterality(F.col("r"), F.col("l"), cue).alias("laterality"),
+        F.nullif(effective_count(declared, listed, qualifier), F.lit(0)).alias("n_effective"),
+        qualifier.alias("qualifier"),
+        notes.alias("anomalies"),
+    )
+
+
+VIEWS_SQL["f_rec"] = """r_stone AS (SELECT case_id, side, zone5 AS zone, CASE WHEN part % 4 = 0 THEN seen_mm - 0.5 ELSE seen_mm END AS mm, CASE side WHEN 'RIGHT' THEN 0 ELSE 1 END AS srank FROM f_stone),
+    r_cls AS (SELECT *, CASE WHEN mm IS NULL THEN NULL WHEN mm < 4 THEN 'MIKROLITIYAZIS' WHEN mm < 6 THEN 'KUCUK' WHEN mm < 11 THEN 'ORTA' WHEN mm < 20 THEN 'BUYUK' ELSE 'COK_BUYUK' END AS cls,
+      CASE WHEN mm IS NULL THEN '' WHEN mm = floor(mm) THEN mm::BIGINT::VARCHAR ELSE mm::VARCHAR END AS mmt, row_number() OVER (PARTITION BY case_id, side ORDER BY mm DESC NULLS LAST, zone) AS rn, count(*) OVER (PARTITION BY case_id, side) AS ns FROM r_stone),
+    r_side AS (SELECT case_id, side, count(*) AS n, max(mm) AS max_mm, any_value(cls) FILTER (rn = 1) AS max_cls, string_agg(DISTINCT zone, ',' ORDER BY zone) AS zones,
+      string_agg(zone || ',' || mmt || ',' || coalesce(cls, '-'), ';' ORDER BY rn) AS stones FROM r_cls GROUP BY ALL),
+    r_big AS (SELECT * FROM r_cls WHERE mm IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY mm DESC, srank, zone) = 1),
+    r_base AS (SELECT c.case_id, coalesce(r.n, 0) AS rn_, coalesce(l.n, 0) AS ln_, coalesce(r.n, 0) + coalesce(l.n, 0) AS n, c.case_id % 5 = 0 AS many,
+      coalesce(r.n, 0) > 0 OR c.case_id % 7 = 1 AS hr, coalesce(l.n, 0) > 0 AS hl, c.case_id % 7 = 0 AS bil, coalesce(r.stones, '') AS right_stones, coalesce(l.stones, '') AS left_stones,
+      r.max_mm AS right_max_mm, l.max_mm AS left_max_mm, r.max_cls AS right_max_cls, l.max_cls AS left_max_cls, coalesce(r.zones, '') AS right_zones, coalesce(l.zones, '') AS left_zones
+      FROM f_case c LEFT JOIN r_side r ON r.case_id = c.case_id AND r.side = 'RIGHT' LEFT JOIN r_side l ON l.case_id = c.case_id AND l.side = 'LEFT'),
+    f_rec AS (SELECT b.*, CASE WHEN bil OR (hr AND hl) THEN 'BILATERAL' WHEN hr THEN 'RIGHT' WHEN hl THEN 'LEFT' ELSE 'NONE' END AS laterality, hr OR bil AS right_present, hl OR bil AS left_present,
+      CASE WHEN NOT many THEN nullif(CASE WHEN b.case_id % 5 = 1 THEN n + 3 ELSE n END, 0) END AS total_n, CASE WHEN many THEN 'MANY' ELSE 'EXACT' END AS total_qualifier,
+      g.side AS big_side, g.zone AS big_zone, g.mmt AS big_mm, g.cls AS big_cls,
+      concat_ws(',', CASE WHEN b.case_id % 29 = 0 THEN 'BLADDER_DIVERTICULUM_STONE' END, CASE WHEN b.case_id % 19 = 0 THEN 'COMPLICATED_CYST_HYPERDENSE_LESION' END, CASE WHEN b.case_id % 11 = 0 THEN 'HORSESHOE_KIDNEY' END,
+        CASE WHEN b.case_id % 17 = 0 THEN 'HYPERDENSE_PYRAMID_MIMIC' END, CASE WHEN b.case_id % 13 = 0 THEN 'MANY_SMALL_STONES_MIMIC_LARGE' END, CASE WHEN b.case_id % 23 = 0 THEN 'URETERAL_STONE_PRESENT' END) AS anomalies
+      FROM r_base b LEFT JOIN r_big g ON g.case_id = b.case_id),
+    r_hash AS (SELECT *, substr(sha1(concat_ws('|', laterality, coalesce(total_n::VARCHAR, '-'), total_qualifier, n::VARCHAR, right_present::VARCHAR || ':' || right_stones, left_present::VARCHAR || ':' || left_stones, anomalies)), 1, 16) AS facts_hash FROM f_rec)"""
