@@ -6,6 +6,7 @@ from cohortine.plans import (  # noqa: F401
     joined,
     reporting,
     rows,
+    sourced,
 )
 from cohortine.plans.registry import ORACLE, QUERIES
 
