@@ -1,6 +1,7 @@
 """Imports every module of queries, so that the registry is complete."""
 
 from cohortine.plans import (  # noqa: F401
+    checked,
     evaluated,
     grouped,
     joined,
