@@ -111,24 +111,25 @@ def parse_findings(text: Column) -> Column:
     )
 
     def lesion(part: Column) -> Column:
-        place = F.trim(F.regexp_extract(part, V.LESION_PATTERN, 1))
-        return let(parse_zone_cell(place), lambda zone: lesion_struct(part, place, zone))
+        group = lambda i: F.trim(F.regexp_extract(part, V.LESION_PATTERN, i))
+        split = F.struct(
+            part.rlike(V.LESION_PATTERN).alias("ok"), group(1).alias("place"), group(2).alias("size"), group(3).alias("cls")
+        )
+        return let(split, lambda x: let(parse_zone_cell(x["place"]), lambda zone: lesion_struct(part, x, zone)))
 
-    def lesion_struct(part: Column, place: Column, zone: Column) -> Column:
-        parsed = part.rlike(V.LESION_PATTERN)
-        size = F.trim(F.regexp_extract(part, V.LESION_PATTERN, 2))
-        known = lambda c: F.when(parsed, c)
+    def lesion_struct(part: Column, x: Column, zone: Column) -> Column:
+        known = lambda c: F.when(x["ok"], c)
         return F.struct(
             part.alias("raw"),
-            parsed.alias("parsed"),
-            known(place).alias("zone_raw"),
+            x["ok"].alias("parsed"),
+            known(x["place"]).alias("zone_raw"),
             known(zone["side"]).alias("side"),
             known(zone["zone"]).alias("zone"),
             known(zone["zone_inferred"]).alias("zone_inferred"),
             known(zone["anomaly"]).alias("anomaly"),
-            known(_number(_found(size, r"^(\d+(?:[.,]\d+)?)\s*mm", 1))).alias("size_mm"),
-            known(size).alias("size_text"),
-            known(F.trim(F.regexp_extract(part, V.LESION_PATTERN, 3))).alias("size_class_text"),
+            known(_number(_found(x["size"], r"^(\d+(?:[.,]\d+)?)\s*mm", 1))).alias("size_mm"),
+            known(x["size"]).alias("size_text"),
+            known(x["cls"]).alias("size_class_text"),
         )
 
     return F.transform(parts, lesion)
