@@ -25,8 +25,9 @@ def list_files(
 ) -> tuple[DataFrame, list[str]]:
     """One row per file under every root but one file name, and the roots that are missing.
 
-    Only metadata is listed; the content column is pruned. A root that does not exist is
-    reported and skipped.
+    Only metadata is listed; the content column is pruned, so ``read_error`` stays empty
+    until a reader of the content fills it. The file source itself leaves out files of
+    length zero. A root that does not exist is reported and skipped.
     """
     parts, missing = [], []
     for root in roots:
@@ -46,7 +47,7 @@ def list_files(
                 F.col("path").alias("file_path"),
                 fields["file_name"].alias("file_name"),
                 F.col("length").alias("file_size"),
-                F.when(F.col("length") == 0, "empty file").alias("read_error"),
+                F.lit(None).cast("string").alias("read_error"),
             ).where(F.col("file_name") != skip_name)
         )
     if not parts:
