@@ -230,7 +230,7 @@ def phi_findings(spark, folder):
     docs = table(spark, folder, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file"), "text")
     talks = table(spark, folder, "conversations").select(F.concat_ws("/", F.lit("conv"), "conv_id", "turn").alias("file"), "text")
     inside = terms.scan_terms(docs.unionByName(talks), "file", "text", every)
-    hosts = table(spark, folder, "pages").where("page_id % 10 = 0").select(F.upper(F.regexp_extract("url", r"//([^.]+)\.", 1)).alias("term"))
+    hosts = table(spark, folder, "pages").select(F.upper(F.regexp_extract("url", r"//([^.]+)\.", 1)).alias("term"))
     named = hosts.where(F.length("term") >= V.MIN_NAME_LENGTH).distinct().select(F.lit("filename").alias("kind"), "term", F.lit(0).alias("term_id"))
     paths = table(spark, folder, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("file"), F.col("url").alias("text"))
     return inside.unionByName(terms.scan_terms(paths, "file", "text", named)).select("file", "kind")
@@ -240,7 +240,7 @@ PHI_SQL = """WITH t AS (SELECT DISTINCT 'name' AS kind, trim(upper(regexp_extrac
       UNION SELECT 'tag', unnest(['PATIENTNAME', 'PATIENTBIRTHDATE', 'ACCESSIONNUMBER', 'INSTITUTIONNAME'])),
     k AS (SELECT * FROM t WHERE kind = 'tag' OR (kind = 'name' AND length(term) > 6) OR (kind = 'uid' AND length(term) >= 20)),
     x AS (SELECT 'doc/' || doc_id AS file, upper(text) AS u FROM documents UNION ALL SELECT 'conv/' || conv_id || '/' || turn, upper(text) FROM conversations),
-    h AS (SELECT DISTINCT upper(regexp_extract(url, '//([^.]+)\\.', 1)) AS term FROM pages WHERE page_id % 10 = 0)
+    h AS (SELECT DISTINCT upper(regexp_extract(url, '//([^.]+)\\.', 1)) AS term FROM pages)
     SELECT DISTINCT file, kind FROM x JOIN k ON contains(u, term) UNION ALL SELECT DISTINCT 'page/' || page_id, 'filename' FROM pages JOIN h ON length(term) >= 7 AND contains(upper(url), term)"""
 
 
@@ -293,7 +293,7 @@ def _(spark, folder):
 
 @query(
     "cohort_agreement",
-    """WITH o AS (SELECT c_custkey AS k, c_mktsegment AS g FROM customer WHERE c_custkey % 5 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 > 0 THEN lower(c_mktsegment) ELSE 'OTHER' END AS g FROM customer WHERE c_custkey % 7 <> 0),
+    """WITH o AS (SELECT c_custkey AS k, c_mktsegment AS g FROM customer WHERE c_acctbal > 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 > 0 THEN lower(c_mktsegment) ELSE 'OTHER' END AS g FROM customer WHERE c_mktsegment <> 'BUILDING'),
       b AS (SELECT o.k AS a, n.k AS c, o.g AS og, n.g AS ng FROM o FULL JOIN n ON o.k = n.k)
     SELECT count(*) FILTER (a IS NOT NULL AND c IS NOT NULL) AS n_both, count(*) FILTER (c IS NULL) AS n_old_only, count(*) FILTER (a IS NULL) AS n_new_only, count(*) FILTER (a IS NOT NULL AND c IS NOT NULL) AS n_comparable,
       count(*) FILTER (upper(og) = upper(ng)) AS n_agree, round(count(*) FILTER (upper(og) = upper(ng)) / count(*) FILTER (a IS NOT NULL AND c IS NOT NULL)::DOUBLE, 6) AS rate, bool_and(a IS NOT NULL AND c IS NOT NULL) AS same_keys FROM b""",
@@ -301,8 +301,8 @@ def _(spark, folder):
 def _(spark, folder):
     c = table(spark, folder, "customer")
     key = F.col("c_custkey")
-    old = c.where(key % 5 != 0).select(key.alias("k"), F.col("c_mktsegment").alias("old_group"))
-    new = c.where(key % 7 != 0).select(key.alias("k"), F.when(key % 4 > 0, F.lower("c_mktsegment")).otherwise("OTHER").alias("new_group"))
+    old = c.where("c_acctbal > 0").select(key.alias("k"), F.col("c_mktsegment").alias("old_group"))
+    new = c.where("c_mktsegment <> 'BUILDING'").select(key.alias("k"), F.when(key % 4 > 0, F.lower("c_mktsegment")).otherwise("OTHER").alias("new_group"))
     return rounded(quality.agreement(joins.outer_bridge(old, new, ["k"]), "old_group", "new_group"), "rate")
 
 

@@ -338,12 +338,12 @@ def _(spark, folder):
 @query(
     "ref_pred_join",
     with_views(*DET, body=f"""WITH {REF_SQL} SELECT g.seed, g.case_id, g.side, coalesce(g2.present, false) AS present, g.has_stone, coalesce(g2.zone, '') AS zone_pred, coalesce(red.zone, '') AS zone_ref FROM g
-      LEFT JOIN (SELECT * FROM g WHERE case_id % 3 > 0) g2 ON g2.seed = g.seed AND g2.case_id = g.case_id AND g2.side = g.side LEFT JOIN red ON red.case_id = g.case_id AND red.side = g.side WHERE g.seed = 0"""),
+      LEFT JOIN (SELECT * FROM g WHERE case_id % 23 > 0) g2 ON g2.seed = g.seed AND g2.case_id = g.case_id AND g2.side = g.side LEFT JOIN red ON red.case_id = g.case_id AND red.side = g.side"""),
 )
 def _(spark, folder):
-    d = detections(spark, folder).where("seed = 0")
+    d = detections(spark, folder)
     units = d.select("seed", "case_id", "side", "has_stone")
-    guesses = ev.predicted_sides(d.where(F.col("case_id") % 3 > 0)).select("seed", "case_id", "side", "present", "guess")
+    guesses = ev.predicted_sides(d.where("mask_plausible")).select("seed", "case_id", "side", "present", "guess")
     refs = ev.reference_sides(ref_stones(spark, folder), "zone", "cls").select("case_id", "side", "ref")
     j = units.join(guesses, ["seed", "case_id", "side"], "left").join(refs, ["case_id", "side"], "left")
     empty = F.lit("")

@@ -349,14 +349,14 @@ def _(spark, folder):
 
 @query(
     "stratified_sample",
-    with_views("f_bag", body="""WITH b AS (SELECT bag, pos FROM f_bag WHERE pos <= bag % 80), n AS (SELECT bag, count(*) AS n FROM b GROUP BY bag),
-        g AS (SELECT b.bag, pos, ((pos + 1) * 16 - 1) // n AS slot, sha256('1337|' || b.bag || '|' || pos) AS h FROM b JOIN n USING (bag) WHERE n > 16)
+    with_views("f_stone", body="""WITH b AS (SELECT case_id AS bag, stone_index - 1 AS pos FROM f_stone), n AS (SELECT bag, count(*) AS n FROM b GROUP BY bag),
+        g AS (SELECT b.bag, pos, ((pos + 1) * 4 - 1) // n AS slot, sha256('1337|' || b.bag || '|' || pos) AS h FROM b JOIN n USING (bag) WHERE n > 4)
       SELECT bag, CAST(slot AS INTEGER) AS slot, arg_min(pos, h) AS pos FROM g GROUP BY bag, slot
-      UNION ALL SELECT bag, CAST(k AS INTEGER), CAST(round_even(k * (n - 1) / 15.0::DOUBLE, 0) AS BIGINT) FROM n, range(16) t(k) WHERE n <= 16"""),
+      UNION ALL SELECT bag, CAST(k AS INTEGER), CAST(round_even(k * (n - 1) / 3.0::DOUBLE, 0) AS BIGINT) FROM n, range(4) t(k) WHERE n <= 4"""),
 )
 def _(spark, folder):
-    b = fx.bags(spark, folder).where(F.col("pos") <= F.col("bag") % 80)
-    return selection.stratified_positions(b, "bag", "pos", 16, V.SEEDS[0])
+    s = fx.indexed_stones(spark, folder).select(F.col("case_id").alias("bag"), (F.col("stone_index") - 1).alias("pos"))
+    return selection.stratified_positions(s, "bag", "pos", 4, V.SEEDS[0])
 
 
 @query(
@@ -477,13 +477,13 @@ def _(spark, folder):
 
 @query(
     "key_set_ops",
-    """WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 7 <> 0)
+    """WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')
     SELECT (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS n_both, (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) AS n_left_only,
       (SELECT count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a)) AS n_right_only, NOT EXISTS (SELECT k FROM a EXCEPT SELECT k FROM b) AND NOT EXISTS (SELECT k FROM b EXCEPT SELECT k FROM a) AS equal""",
 )
 def _(spark, folder):
-    a = table(spark, folder, "customer").where("c_custkey % 5 <> 0").select("c_custkey")
-    b = table(spark, folder, "orders").where("o_custkey % 7 <> 0").select("o_custkey")
+    a = table(spark, folder, "customer").where("c_acctbal > 0").select("c_custkey")
+    b = table(spark, folder, "orders").where("o_orderstatus = 'F'").select("o_custkey")
     return sets.key_set_sizes(a, b)
 
 

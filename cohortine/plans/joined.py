@@ -15,27 +15,27 @@ from cohortine.sources.tables import table
 @query(
     "attach_group",
     with_views("f_case", body="""SELECT case_id, patient_id, c_mktsegment AS grp FROM f_case
-      LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 9 > 0) ON c_custkey = patient_id"""),
+      LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = patient_id"""),
 )
 def _(spark, folder):
-    groups = table(spark, folder, "customer").where(F.col("c_custkey") % 9 > 0).select(
+    groups = table(spark, folder, "customer").where("c_acctbal > 0").select(
         F.col("c_custkey").alias("patient_id"), F.col("c_mktsegment").alias("grp")
     )
     return fx.cases(spark, folder).join(groups, "patient_id", "left").select("case_id", "patient_id", "grp")
 
 
 def _cohorts(spark, folder):
-    old = table(spark, folder, "customer").where(F.col("c_custkey") % 5 != 0).select(
+    old = table(spark, folder, "customer").where("c_acctbal > 0").select(
         F.col("c_custkey").alias("patient_id"), F.col("c_mktsegment").alias("old_group")
     )
-    new = table(spark, folder, "orders").where(F.col("o_custkey") % 7 != 0).groupBy(
+    new = table(spark, folder, "orders").where("o_orderstatus = 'F'").groupBy(
         F.col("o_custkey").alias("patient_id")
     ).agg(F.min("o_orderpriority").alias("new_group"))
     return old, new
 
 
-COHORTS_SQL = """o AS (SELECT c_custkey AS patient_id, c_mktsegment AS old_group FROM customer WHERE c_custkey % 5 <> 0),
-    n AS (SELECT o_custkey AS patient_id, min(o_orderpriority) AS new_group FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1)"""
+COHORTS_SQL = """o AS (SELECT c_custkey AS patient_id, c_mktsegment AS old_group FROM customer WHERE c_acctbal > 0),
+    n AS (SELECT o_custkey AS patient_id, min(o_orderpriority) AS new_group FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"""
 
 
 @query(
@@ -49,7 +49,7 @@ def _(spark, folder):
 
 
 def presence(spark, folder):
-    c = table(spark, folder, "customer").where(F.col("c_custkey") % 3 != 0)
+    c = table(spark, folder, "customer").where("c_acctbal > 0")
     o = table(spark, folder, "orders").where(F.col("o_orderpriority") == "1-URGENT")
     d = table(spark, folder, "labels")
     return joins.presence_audit(
@@ -63,7 +63,7 @@ def presence(spark, folder):
 
 
 PRESENCE_SQL = """k AS (SELECT c_custkey AS key FROM customer UNION SELECT o_custkey FROM orders UNION SELECT doc_id FROM labels),
-    p AS (SELECT key, key IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) AS in_primary,
+    p AS (SELECT key, key IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS in_primary,
       key IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS in_secondary,
       key IN (SELECT doc_id FROM labels) AS has_folder FROM k)"""
 
@@ -293,7 +293,7 @@ def merge_tables(spark, folder):
         F.count(F.lit(1)).alias("n_listed"), F.bool_or(F.col("side") == "RIGHT").alias("has_right"),
         F.bool_or(F.col("side") == "LEFT").alias("has_left"),
     )
-    o = table(spark, folder, "orders").where("o_orderkey % 4 > 0").select(
+    o = table(spark, folder, "orders").where("o_orderstatus <> 'P'").select(
         F.col("o_orderkey").alias("case_id"),
         F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 6).alias("declared"),
         fx.word_by(F.col("o_orderkey") % 3, ["EXACT", "MANY", "UNKNOWN"]).alias("qualifier"),
@@ -314,10 +314,10 @@ def merge_tables(spark, folder):
 
 
 MERGE_SQL = """r AS (SELECT case_id, count(*) AS n, bool_or(side = 'RIGHT') AS hr, bool_or(side = 'LEFT') AS hl FROM f_stone GROUP BY case_id),
-    j AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 4 > 0 THEN coalesce(n, 0) ELSE 0 END AS n0,
-      o_orderkey % 4 > 0 AND coalesce(hr, false) AS hr, o_orderkey % 4 > 0 AND coalesce(hl, false) AS hl,
-      CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 3 = 0 THEN o_custkey % 6 END AS declared,
-      CASE WHEN o_orderkey % 4 > 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'MANY' ELSE 'UNKNOWN' END ELSE 'UNKNOWN' END AS qualifier,
+    j AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderstatus <> 'P' THEN coalesce(n, 0) ELSE 0 END AS n0,
+      o_orderstatus <> 'P' AND coalesce(hr, false) AS hr, o_orderstatus <> 'P' AND coalesce(hl, false) AS hl,
+      CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 3 = 0 THEN o_custkey % 6 END AS declared,
+      CASE WHEN o_orderstatus <> 'P' THEN CASE o_orderkey % 3 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'MANY' ELSE 'UNKNOWN' END ELSE 'UNKNOWN' END AS qualifier,
       CASE n_chars % 4 WHEN 0 THEN 'BILATERAL' WHEN 1 THEN 'RIGHT' WHEN 2 THEN 'LEFT' END AS cue,
       CASE n_chars % 3 WHEN 0 THEN 'RIGHT' WHEN 1 THEN 'LEFT' END AS ls, n_chars % 20 AS lmm,
       CASE WHEN n_chars % 5 = 0 THEN n_chars % 9 END AS dtext,
