@@ -6,7 +6,10 @@ still decides exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +41,14 @@ def holds(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
     for spot in (keys & np.uint64((1 << bits) - 1), keys >> np.uint64(64 - bits)):
         found &= (words[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
+
+
+def sift(df: DataFrame, column: str, bitmap: bytes) -> DataFrame:
+    """The rows of df whose key may be in the filter."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(holds(bitmap, keys)))
+
+    return df.mapInArrow(pick, df.schema)

@@ -61,8 +61,8 @@ def _grams(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tuple[n
     return whole[at - ORDER], offsets
 
 
-def _counts(sample: DataFrame, symbol: np.ndarray) -> dict[str, np.ndarray]:
-    """For each language the counts of all (context, symbol) keys of full depth."""
+def _counts(sample: DataFrame, symbol: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each language the sorted (context, symbol) keys of full depth and their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,14 +74,28 @@ def _counts(sample: DataFrame, symbol: np.ndarray) -> dict[str, np.ndarray]:
                     key, n = np.unique(keys[own == lang], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.astype(np.int64)), pa.array(n)], ["lang", "key", "n"])
 
-    out: dict[str, np.ndarray] = {}
-    table = sample.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    table = sample.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).orderBy("lang", "key").toArrow()
     langs, keys, n = table["lang"].to_pandas(), table["key"].to_numpy(), table["n"].to_numpy()
-    for lang in sorted(langs.unique()):
-        own = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
-        own[keys[langs == lang]] = n[langs == lang]
-        out[lang] = own
-    return out
+    return {lang: (keys[langs == lang], n[langs == lang]) for lang in sorted(langs.unique())}
+
+
+def _code(keys: np.ndarray, n: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Costs of the `seen` keys, escapes of the contexts of full depth and costs one context shorter, in one language."""
+    below = np.full((1, SYMBOLS), np.log2(SYMBOLS))
+    for depth in range(ORDER):
+        at = np.bincount(keys % SYMBOLS ** (depth + 1), weights=n, minlength=SYMBOLS ** (depth + 1)).reshape(-1, SYMBOLS)
+        total, kinds = at.sum(axis=1), (at > 0).sum(axis=1)
+        leave = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
+        own = -np.log2(np.maximum(at, 1) / np.maximum(total + kinds, 1)[:, None])
+        below = np.where(at > 0, own, leave[:, None] + np.tile(below, (len(at) // len(below), 1)))
+    total = np.bincount(keys // SYMBOLS, weights=n, minlength=SYMBOLS**ORDER)
+    kinds = np.bincount(keys // SYMBOLS, minlength=SYMBOLS**ORDER)
+    leave = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
+    shorter, context = below.reshape(-1), seen // SYMBOLS
+    cost = leave[context] + shorter[seen % SYMBOLS**ORDER]
+    place = np.searchsorted(seen, keys)
+    cost[place] = -np.log2(n / (total + kinds)[keys // SYMBOLS])
+    return tuple(x.astype(np.float32) for x in (cost, leave, shorter))
 
 
 def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> Model:
@@ -107,29 +121,12 @@ def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> Model:
     symbol[top[frequent[top] > 0]] = np.arange((frequent[top] > 0).sum())
     trees = _counts(sample, symbol)
     sample.unpersist()
-    langs = list(trees)
-    if not langs:
-        return Model([], symbol, np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    used = np.zeros(SYMBOLS ** (ORDER + 1), bool)
-    for n in trees.values():
-        used |= n > 0
-    seen = np.flatnonzero(used)
-    cost, escape, shorter = [], [], []
-    for n in trees.values():
-        below = np.full(SYMBOLS, np.log2(SYMBOLS), np.float32)[None, :]
-        for depth in range(ORDER + 1):
-            at = n.reshape(-1, SYMBOLS ** (depth + 1)).sum(axis=0, dtype=np.float64).reshape(-1, SYMBOLS)
-            total, kinds = at.sum(axis=1), (at > 0).sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = -np.log2(at / (total + kinds)[:, None])
-                leave = np.where(total > 0, -np.log2(kinds / np.maximum(total + kinds, 1)), 0.0)
-            under = np.tile(below, (len(at) // len(below), 1))
-            if depth == ORDER:
-                escape.append(leave.astype(np.float32))
-                shorter.append(under[: SYMBOLS**depth // SYMBOLS].reshape(-1).astype(np.float32))
-                cost.append(np.where(at > 0, own, leave[:, None] + under).reshape(-1)[seen].astype(np.float32))
-            below = np.where(at > 0, own, leave[:, None] + under)
-    return Model(langs, symbol, seen, np.stack(cost, 1), np.stack(escape, 1), np.stack(shorter, 1))
+    if not trees:
+        none = np.zeros((0, 0), np.float32)
+        return Model([], symbol, np.zeros(0, np.int64), none, none, none)
+    seen = np.unique(np.concatenate([keys for keys, _ in trees.values()]))
+    cost, escape, shorter = zip(*(_code(keys, n, seen) for keys, n in trees.values()))
+    return Model(list(trees), symbol, seen, np.stack(cost, 1), np.stack(escape, 1), np.stack(shorter, 1))
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> np.ndarray:

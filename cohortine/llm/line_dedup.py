@@ -11,6 +11,8 @@ less each word, the line with each word blanked, and the line itself. Two lines
 one word at one place; a line equal to another less one word differs by that word. So within a key the earliest member
 is a neighbour of all others and a minimum replaces all pairs, however large the group. Each line found is verified
 against its earliest neighbour on the sequences of word hashes.
+
+Bloom filters of bounded size keep keys that occur once out of the later shuffles; every decision is made by a join.
 """
 
 from __future__ import annotations
@@ -59,14 +61,14 @@ def line_table(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
                 full = b > a
                 doc, number, a, b = doc[full], number[full], a[full], b[full]
                 key, m = _keys(found, a, b), b - a
-                halves, usable = [], []
-                for s in (m, m - 1):
-                    half = np.maximum(s, 0) // 2
-                    halves += [
-                        mix(raw_sequences(found.hashes, a, a + half) + s.astype(np.uint64) * _DELETED),
-                        mix(raw_sequences(found.hashes, b - (s - half), b) + s.astype(np.uint64) * _BLANKED),
-                    ]
-                    usable += [s >= near_words] * 2
+                # As the shorter of two lines, or of equal length: s = m; as the longer: s = m - 1.
+                low, high = (m - 1) // 2, m // 2
+                halves = [
+                    mix(raw_sequences(found.hashes, a, a + high) + _DELETED), mix(raw_sequences(found.hashes, a, a + low) + _DELETED),
+                    mix(raw_sequences(found.hashes, b - (m - high), b) + _BLANKED), mix(raw_sequences(found.hashes, b - (m - 1 - low), b) + _BLANKED),
+                ]
+                one_less = m > near_words
+                usable = [m >= near_words, one_less & (low != high), m >= near_words, one_less & (low == high)]
                 usable = np.stack(usable, 1)
                 bounds = np.concatenate([[0], np.cumsum(usable.sum(axis=1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -81,10 +83,12 @@ def line_table(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, line int, key long, occ long, n_words int, halves array<long>")
 
 
-def _variants(docs: DataFrame, bitmap: bytes) -> DataFrame:
-    """The deletion neighbourhood of each line whose occurrence the filter passes: (occ, key, kind, variant, words).
+def _variants(docs: DataFrame, occurrences: bytes, lines_held: bytes) -> DataFrame:
+    """The deletion neighbourhood of each line whose occurrence the first filter passes: (key, doc_id, at_line, kind,
+    variant, words).
 
-    Kind W is the line itself (with its words), D the line less a word, B the line with a word blanked.
+    Kind W is the line itself (with its words), D the line less a word (if the second filter passes it as a line), B the
+    line with a word blanked.
     """
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,53 +99,58 @@ def _variants(docs: DataFrame, bitmap: bytes) -> DataFrame:
                 count = np.diff(first)
                 doc, number = np.repeat(ids[at:to], count), np.arange(first[-1]) - np.repeat(first[:-1], count)
                 key = _keys(found, a, b)
-                occ = _occurrence(doc, number, key)
-                keep = np.flatnonzero((b > a) & bloom.holds(bitmap, occ))
+                keep = np.flatnonzero((b > a) & bloom.holds(occurrences, _occurrence(doc, number, key)))
                 if not len(keep):
                     continue
-                a, b, key, occ = a[keep], b[keep], key[keep], occ[keep]
+                a, b, key, doc, number = a[keep], b[keep], key[keep], doc[keep], number[keep]
                 m = b - a
                 bounds = np.concatenate([[0], np.cumsum(m)])
                 row = np.repeat(np.arange(len(m)), m)
                 word = np.arange(bounds[-1]) - bounds[:-1][row] + a[row]
-                forward, back = powers(len(found.hashes) + 1)
+                forward, _ = powers(len(found.hashes) + 1)
                 before, after = raw_sequences(found.hashes, a[row], word), raw_sequences(found.hashes, word + 1, b[row])
                 place = (word - a[row]).astype(np.uint64)
                 short = (m[row] - 1).astype(np.uint64)
-                deleted = mix(mix(before + after * forward[word - a[row]] + short) + _DELETED)
+                deleted = mix(before + after * forward[word - a[row]] + short)
                 blanked = mix(mix(before + after * forward[word - a[row] + 1] + short) + place * _DELETED + _BLANKED)
-                whole = mix(key + _DELETED)
-                flat = pa.array(found.hashes.view(np.int64)[word])
-                n, v = len(m), len(row)
+                hit = np.flatnonzero(bloom.holds(lines_held, deleted))
+                n, v = len(m), len(hit) + len(row)
+                rows = np.concatenate([np.arange(n), row[hit], row])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([occ, occ[row], occ[row]]).view(np.int64)),
-                        pa.array(np.concatenate([key, key[row], key[row]]).view(np.int64)),
-                        pa.array(["W"] * n + ["D"] * v + ["B"] * v),
-                        pa.array(np.concatenate([whole, deleted, blanked]).view(np.int64)),
-                        pa.concat_arrays([pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat), pa.nulls(2 * v, pa.list_(pa.int64()))]),
+                        pa.array(key[rows].view(np.int64)), pa.array(doc[rows]), pa.array(number[rows].astype(np.int32)),
+                        pa.array(["W"] * n + ["D"] * len(hit) + ["B"] * len(row)),
+                        pa.array(np.concatenate([key, deleted[hit], blanked]).view(np.int64)),
+                        pa.concat_arrays(
+                            [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found.hashes.view(np.int64)[word])), pa.nulls(v, pa.list_(pa.int64()))]
+                        ),
                     ],
-                    ["occ", "key", "kind", "variant", "words"],
+                    ["key", "doc_id", "at_line", "kind", "variant", "words"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(vary, "occ long, key long, kind string, variant long, words array<long>")
-
-
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Keys of the lines that have an earlier neighbour. firsts: (key, at, occ, halves) of each distinct line."""
-    halves = firsts.where("size(halves) > 0").select("key", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("half")
-    able = saved(halves.join(shared, "half", "left_semi").select("key").distinct().join(firsts.select("key", "at", "occ"), "key"))
-    variants = saved(_variants(docs, bloom.fill(able, "occ")).join(able.select("occ", "at"), "occ").dropDuplicates(["occ", "kind", "variant"]))
-    member = F.struct("at", "key")
-    least = variants.groupBy("variant").agg(*(F.min(F.when(F.col("kind") == k, member)).alias(k) for k in "WDB"))
-    partner = F.expr("CASE kind WHEN 'W' THEN D WHEN 'D' THEN W ELSE B END")
-    pairs = (
-        variants.where("words IS NULL OR kind = 'W'").select("key", "at", "kind", "variant")
-        .join(least, "variant").withColumn("partner", partner).where("partner.at < at AND partner.key <> key")
-        .groupBy("key").agg(F.min("partner").alias("partner")).select("key", F.col("partner.key").alias("other"))
+    return docs.select("doc_id", "text").mapInArrow(vary, "key long, doc_id long, at_line int, kind string, variant long, words array<long>")
+
+
+def near_lines(docs: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Keys of the lines that have an earlier neighbour. firsts: (key, at, occ) of each distinct line of the table."""
+    halves = table.select("key", F.explode("halves").alias("half"))
+    shared = saved(halves.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("half"))
+    able = bloom.sift(halves, "half", bloom.fill(shared, "half")).join(shared, "half", "left_semi").select("key").distinct()
+    able = saved(able.join(firsts, "key").select("key", "at", "occ"))
+    variants = saved(_variants(docs, bloom.fill(able, "occ"), bloom.fill(able, "key")))
+    member = F.struct(F.struct("doc_id", F.col("at_line").alias("line")).alias("at"), "key")
+    blanked = variants.where("kind = 'B'").select("key", "doc_id", "at_line", "variant")
+    twice = saved(blanked.groupBy("variant").count().where("count > 1").select("variant"))
+    blanked = saved(bloom.sift(blanked, "variant", bloom.fill(twice, "variant")).join(twice, "variant", "left_semi").select("variant", "key", member.alias("m")))
+    others = variants.where("kind <> 'B'").select("variant", "key", "kind", member.alias("m"))
+    ends = others.groupBy("variant").agg(*(F.min(F.when(F.col("kind") == k, F.col("m"))).alias(k) for k in "WD"))
+    found = (
+        blanked.join(blanked.groupBy("variant").agg(F.min("m").alias("partner")), "variant").select("key", "m", "partner")
+        .union(others.join(ends, "variant").select("key", "m", F.expr("CASE kind WHEN 'W' THEN D ELSE W END")))
+        .where("partner.at < m.at AND partner.key <> key").join(able.select("key", "at"), "key").where("m.at = at")
     )
-    texts = variants.where("kind = 'W'").select("key", "words")
+    pairs = found.groupBy("key").agg(F.min("partner").alias("partner")).select("key", F.col("partner.key").alias("other"))
+    texts = variants.where("kind = 'W'").select("key", "words").dropDuplicates(["key"])
     same_size = F.size(F.filter(F.zip_with("words", "owords", lambda x, y: x != y), lambda d: d)) == 1
     longer = F.when(F.size("words") > F.size("owords"), F.col("words")).otherwise(F.col("owords"))
     shorter = F.when(F.size("words") > F.size("owords"), F.col("owords")).otherwise(F.col("words"))
@@ -162,10 +171,10 @@ def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     table = saved(line_table(docs, near_words))
     firsts = saved(
-        table.groupBy("key").agg(F.min(F.struct("doc_id", "line", "occ")).alias("f"), F.first("halves").alias("halves"), F.count("*").alias("n"))
-        .select("key", F.struct("f.doc_id", "f.line").alias("at"), F.col("f.occ").alias("occ"), "halves", "n")
+        table.groupBy("key").agg(F.min(F.struct("doc_id", "line", "occ")).alias("f"), F.count("*").alias("n"))
+        .select("key", F.struct("f.doc_id", "f.line").alias("at"), F.col("f.occ").alias("occ"), "n")
     )
-    near = saved(near_lines(docs, firsts).distinct())
+    near = saved(near_lines(docs, table, firsts).distinct())
     several = firsts.where("n > 1").select("key", F.col("occ").alias("kept")).join(near, "key", "left_anti")
     doomed = several.union(near.select("key", F.lit(None).cast("long")))
     return table.select("doc_id", "key", "occ").join(doomed, "key").where("kept IS NULL OR kept <> occ").select("doc_id", "occ").distinct()
