@@ -8,6 +8,7 @@ groups whose statistics and Bloom filter admit it.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -18,52 +19,107 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .text_keys import LOWER, SPACED, slices, span_hashes, spans
+
 END_ID = 1
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 ORC = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20), "compression": "zstd",
 }
-#: Words whose ids a worker remembers; past it the memory starts anew.
-REMEMBERED = 200_000
-_encoders: dict[str, tuple] = {}
-
+#: Distinct pieces of text whose ids a worker remembers (some 40 bytes each); past it the memory starts anew.
+REMEMBERED = 2_000_000
+_SLICE = 1 << 20
+_CLOSING = np.zeros(256, bool)
+_CLOSING[[ord(c) for c in ".,;:!?"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = _LETTER[65:91] = True
+_encoders: dict[str, Encoder] = {}
+
+
+class Encoder:
+    """A tokenizer that remembers the ids of pieces of text.
+
+    It is for tokenizers that drop white space and never join what white space separates, nor a letter and a final
+    full stop, comma, colon, semicolon, question or exclamation mark; then the ids of a text are those of its pieces in
+    order. Pieces are known by their 64-bit hashes. Texts that may hold a special token are encoded as they are.
+    """
 
-def _encoder(path: str) -> tuple:
-    if path not in _encoders:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.lowers = [t.ids for t in self.tokenizer.encode_batch(["AZ", "az"], add_special_tokens=False)]
+        self.lowers = self.lowers[0] == self.lowers[1]
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Add pieces with new, sorted hashes."""
+        for at in range(0, len(pieces), 10_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 10_000], add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int32, len(found))
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))
+            if self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + len(flat), np.int32)])
+            self.ids[self.used : self.used + len(flat)] = flat
+            begin = self.used + np.cumsum(size) - size
+            self.used += len(flat)
+            own = hashes[at : at + 10_000]
+            place = np.searchsorted(self.hashes, own)
+            self.hashes, self.begin, self.size = (np.insert(x, place, y) for x, y in ((self.hashes, own), (self.begin, begin), (self.size, size)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text and where each text's ids begin; null is empty."""
+        ids, sizes = [], []
+        for at, to, data, offsets in slices(texts, _SLICE):
+            if b"<|" in data.tobytes():
+                whole = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts[at:to].to_pylist()], add_special_tokens=False)]
+                ids += [np.array(x, np.int32) for x in whole]
+                sizes.append(np.array([len(x) for x in whole], np.int64))
+                continue
+            own, bounds = self._pieces(LOWER[data] if self.lowers else data, offsets)
+            ids.append(own)
+            sizes.append(np.diff(bounds))
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), bounds
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, _ = spans(data, offsets, SPACED)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        other = np.maximum.accumulate(np.where(_CLOSING[data], -1, np.arange(len(data))))
+        cut = other[ends - 1] + 1
+        latin = (data[np.maximum(cut - 2, 0)] == 0xC3) & (data[cut - 1] != 0x97) & (data[cut - 1] != 0xB7)  # U+00C0 to U+00FF
+        cut = cut[(cut > starts) & (cut < ends) & (_LETTER[data[cut - 1]] | latin & (cut > starts + 1))]
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        hashes, one, code = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) > REMEMBERED:
+            self.forget()
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = self.hashes[place] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        if new.any():
+            text = data.tobytes()
+            self.learn(hashes[new], [text[a:b].decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
+            place = np.searchsorted(self.hashes, hashes)
+        begin, size = self.begin[place][code], self.size[place][code].astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(begin - bounds[:-1], size) + np.arange(bounds[-1])]
+        return ids, bounds[np.searchsorted(starts, offsets)]
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each text and where each text's ids begin.
-
-    For tokenizers that never join what white space separates (the caller's promise), so each distinct word is encoded
-    once and texts are put together from words.
-    """
-    tokenizer, memory = _encoder(path)
-    split = pc.ascii_split_whitespace(texts.fill_null(""))
-    words = split.flatten().dictionary_encode()
-    distinct = words.dictionary.to_pylist()
-    if len(memory) > REMEMBERED:
-        memory.clear()
-    new = [w for w in distinct if w not in memory]
-    for at in range(0, len(new), 5000):
-        part = new[at : at + 5000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            memory[w] = np.array(e.ids, np.int32).tobytes()
-    pieces = [memory[w] for w in distinct]
-    size = np.fromiter((len(p) // 4 for p in pieces), np.int64, len(pieces))
-    flat = np.frombuffer(b"".join(pieces), np.int32)
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    code = words.indices.to_numpy(zero_copy_only=False)
-    each = size[code] if len(code) else np.zeros(0, np.int64)
-    bounds = np.concatenate([[0], np.cumsum(each)])
-    ids = flat[np.repeat(begin[code] - bounds[:-1], each) + np.arange(bounds[-1])] if len(code) else np.zeros(0, np.int32)
-    per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-    return ids, bounds[np.concatenate([[0], np.cumsum(per_text)])]
+    """Ids of each text and where each text's ids begin; see `Encoder` for what is asked of the tokenizer."""
+    return _encoder(path).encode(texts)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -75,8 +131,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, len(batch), 250):
-                rows = batch.slice(at, 250)
+            for at in range(0, len(batch), 500):
+                rows = batch.slice(at, 500)
                 ids, bounds = encode(rows.column(1), tokenizer)
                 n = len(rows)
                 ends = bounds[1:] + np.arange(1, n + 1)
@@ -94,7 +150,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
                 )
                 start += len(out)
 
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(store, SCHEMA).write.options(**ORC).orc(path)
 
 
