@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     sizes = sorted(r.k for r in grams.select("k").distinct().collect())  # at most `shingle` values
     if not sizes:
         places = saved(_places(docs, bytes(1 << 17), [shingle], window))
-        return places.select("doc_id", "n_words"), places.select("doc_id", F.col("place").alias("start"), F.col("k").alias("size"), F.lit("").alias("item_id")).where("false")
+        return places.groupBy("doc_id").agg(F.max("n_words").alias("n_words")), places.select("doc_id", F.col("place").alias("start"), F.col("k").alias("size"), F.lit("").alias("item_id")).where("false")
     counts = _token_counts(docs, bloom.fill(grams, "token"), sizes)
     rarest = F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "at", "token", "k"))
     prefix = saved(

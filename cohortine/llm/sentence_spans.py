@@ -80,7 +80,7 @@ def repeated_runs(docs: DataFrame, sentences: int = SENTENCES, least: int = LEAS
                 )
 
     table = saved(docs.mapInArrow(places, "run long, doc_id long, first long, after long, n_words long"))
-    firsts = (
+    firsts = saved(
         table.groupBy("run").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.count("*").alias("m")).where("m > 1")
         .select("run", F.col("keep.doc_id").alias("keeper"), F.col("keep.first").alias("kept"))
     )
