@@ -36,7 +36,7 @@ from .scratch import saved
 from .text_keys import SPACED, mix, shingle_sets, slices, words
 
 #: Bits of the count sketch, largest set that indexes all its combinations of frequent tokens.
-SKETCH = 15
+SKETCH = 17
 COMBINED = 64
 SHINGLE = 5
 PERCENT = 75
@@ -89,7 +89,7 @@ def _frequent(sketch: DataFrame) -> np.ndarray:
     for row in sketch.groupBy("bucket").agg(F.sum("times").alias("times")).collect():
         counts[row.bucket] = row.times
     mean = counts.mean()
-    return np.where(counts > mean + 8 * math.sqrt(mean) + 64, counts, 0)
+    return np.where(counts > mean + 5 * math.sqrt(mean) + 16, counts, 0)
 
 
 def _index(docs: DataFrame, counts: np.ndarray, percent: int, shingle: int, combined: int) -> DataFrame:

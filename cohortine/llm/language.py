@@ -129,13 +129,31 @@ def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> Model:
     return Model(list(trees), symbol, seen, np.stack(cost, 1), np.stack(escape, 1), np.stack(shorter, 1))
 
 
-def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Bits of each document under each language. index: place of each full-depth key in `seen`, or -1."""
+class Index(NamedTuple):
+    """Where the keys of a context of full depth stand among `seen`: the first place, and a bit for each symbol seen."""
+
+    first: np.ndarray
+    symbols: np.ndarray
+
+
+def key_index(model: Model) -> Index:
+    context = model.seen // SYMBOLS
+    bit = np.uint64(1) << (model.seen % SYMBOLS).astype(np.uint64)
+    symbols = np.zeros(SYMBOLS**ORDER, np.uint64)
+    np.bitwise_or.at(symbols, context, bit)
+    return Index(np.searchsorted(context, np.arange(SYMBOLS**ORDER)).astype(np.int32), symbols)
+
+
+def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray, index: Index) -> np.ndarray:
+    """Bits of each document under each language."""
     keys, _ = _grams(data, offsets, model.symbol)
-    place = index[keys]
+    context, bit = keys // SYMBOLS, np.uint64(1) << (keys % SYMBOLS).astype(np.uint64)
+    symbols = index.symbols[context]
+    place = index.first[context] + np.bitwise_count(symbols & (bit - np.uint64(1)))
+    new = np.flatnonzero(symbols & bit == 0)
+    place[new] = 0
     bits = model.cost[place]
-    new = np.flatnonzero(place < 0)
-    bits[new] = model.escape[keys[new] // SYMBOLS] + model.shorter[keys[new] % SYMBOLS**ORDER]
+    bits[new] = model.escape[context[new]] + model.shorter[keys[new] % SYMBOLS**ORDER]
     out = np.zeros((len(offsets) - 1, len(model.langs)))
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
@@ -143,18 +161,19 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray, index: np.
     return out
 
 
-_indexes: dict[int, np.ndarray] = {}
-
-
-def _index(model: Model) -> np.ndarray:
-    """The direct-address index of the model's keys, built once in each worker."""
-    name = hash((len(model.seen), model.cost.tobytes()))
-    if name not in _indexes:
-        _indexes.clear()
-        index = np.full(SYMBOLS ** (ORDER + 1), -1, np.int32)
-        index[model.seen] = np.arange(len(model.seen), dtype=np.int32)
-        _indexes[name] = index
-    return _indexes[name]
+def _scores(model: Model, index: Index, texts: pa.Array, lettered: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, posterior and bits a byte of each text."""
+    best, sure, rate = [], [], []
+    for _, _, data, offsets in slices(texts):
+        bits = code_lengths(model, data, offsets, index)
+        least = bits.min(axis=1)
+        best.append(bits.argmin(axis=1))
+        sure.append(1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(axis=1))
+        rate.append(least / np.maximum(np.diff(offsets), 1))
+    best, sure, rate = (np.concatenate(x) if x else np.zeros(0) for x in (best, sure, rate))
+    lettered = lettered.fill_null(False).to_numpy(zero_copy_only=False)
+    names = np.array([*model.langs, UNDETERMINED])
+    return names[np.where(lettered, best, len(model.langs)).astype(np.int64)], np.where(lettered, sure, 0.0), np.where(lettered, rate, 0.0)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -164,31 +183,33 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     probability under equal priors. A null text, one without a letter, or a model without languages gives `und` with
     score 0. Every row gives a row, repeated ones and those with a null doc_id too.
     """
+    rows = docs.select("doc_id", "text", F.col("text").rlike(r"\p{L}").alias("lettered"))
+    if not model.langs:
+        return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        index = _index(model)
-        names = np.array([*model.langs, UNDETERMINED])
+        index = key_index(held.value)
         for batch in batches:
-            best, sure, rate = [], [], []
-            for _, _, data, offsets in slices(batch.column(1)):
-                bits = code_lengths(model, data, offsets, index)
-                least = bits.min(axis=1)
-                best.append(bits.argmin(axis=1))
-                sure.append(1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(axis=1))
-                rate.append(least / np.maximum(np.diff(offsets), 1))
-            best, sure, rate = (np.concatenate(x) if x else np.zeros(0) for x in (best, sure, rate))
-            lettered = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(names[np.where(lettered, best, len(names) - 1).astype(np.int64)]),
-                    pa.array(np.where(lettered, sure, 0.0)), pa.array(np.where(lettered, rate, 0.0)),
-                ],
-                ["doc_id", "lang_pred", "score", "bits_per_byte"],
-            )
+            found = _scores(held.value, index, batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    rows = docs.select("doc_id", "text", F.col("text").rlike(r"\p{L}").alias("lettered"))
-    if not model.langs:
-        return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, bits_per_byte double")
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of docs, whole and without a shuffle, whose language is determined with a score above `least_score`."""
+    if not model.langs:
+        return docs.where("false")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.lit(0).alias("`")).alias("row")
+    rows = docs.select("text", F.col("text").rlike(r"\p{L}").alias("lettered"), others)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = key_index(held.value)
+        for batch in batches:
+            lang, sure, _ = _scores(held.value, index, batch.column(0), batch.column(1))
+            yield batch.select([0, 2]).filter(pa.array((lang != UNDETERMINED) & (sure > least_score)))
+
+    kept = rows.mapInArrow(sift, rows.select("text", "row").schema)
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest number of rows (of a few numbers each) that a join may broadcast; some 10 MB.
+BROADCAST_ROWS = 500_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,3 +34,9 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table written by `saved` through the file system that holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A saved table, marked for broadcast if its rows (or `rows` numbers in it) are counted to be few."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df

@@ -112,8 +112,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Other columns pass through whatever their names; null texts and documents without spans stay as they are.
     """
     gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first_sentence", "last_sentence")).alias("spans")).withColumnRenamed("doc_id", "gone")
-    inside = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    joined = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("old"), inside).join(gone, F.col("id") == F.col("gone"), "left")
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.lit(0).alias("`")).alias("row")
+    joined = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("old"), others).join(gone, F.col("id") == F.col("gone"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

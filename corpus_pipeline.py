@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortine.llm import decontaminate, jaccard, language, line_dedup, packing
 from cohortine.llm.queries import table
-from cohortine.llm.scratch import saved
+from cohortine.llm.scratch import few, saved
 
 #: A document whose best language has no larger posterior probability than this is in none of the learned languages.
 LEAST_SCORE = 0.5
@@ -19,11 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled rows of the table; undetermined ones go."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     model = language.fit(docs.where(~held_out))
-    found = saved(language.identify(docs.where("doc_id IS NOT NULL"), model))
-    rejected = found.groupBy("doc_id").agg(F.max("score").alias("score"), F.min("lang_pred").alias("lang_pred")).where(
-        (F.col("lang_pred") == language.UNDETERMINED) | (F.col("score") <= LEAST_SCORE)
-    )
-    return docs.join(rejected.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return language.keep_identified(docs, model, LEAST_SCORE)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +29,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id."""
-    groups = saved(jaccard.similar_documents(docs))
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    groups = jaccard.similar_documents(docs)
+    copies = few(saved(groups.where("component_id <> doc_id").select("doc_id")))
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     _, hits = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(saved(hits.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(few(saved(hits.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

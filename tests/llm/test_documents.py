@@ -255,6 +255,9 @@ def test_language(spark, folder, docs, rows, empty):
         if not any(re.search(r"[^\W\d_]", t or "") for t in texts):
             assert by[i] == {"und"}
     assert language.identify(empty, model).count() == 0
+    kept = language.keep_identified(docs, model, 0.5)
+    good = sorted((r.doc_id is None, r.doc_id or 0) for r in out if r.lang_pred != "und" and r.score > 0.5)
+    assert kept.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == good
     nothing = language.fit(empty)
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
@@ -284,8 +287,7 @@ def test_code_lengths_of_plain_ppm():
         return -np.log2(seen[s] / total) if s in seen else -np.log2(len(seen) / total) + bits(below, s)
 
     model = language.Model(["x"], symbol, key.astype(np.int64), cost[:, None], escape[:, None], shorter[:, None])
-    index = np.full(64**4, -1, np.int32)
-    index[key] = np.arange(len(key))
+    index = language.key_index(model)
     for probe in (text, b"cabra", b"zzz", b"dabr ra"):
         data = np.frombuffer(probe, np.uint8)
         padded = [int(symbol[b]) for b in b"   " + probe]
