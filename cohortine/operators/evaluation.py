@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortine.functions.scalars import diameter_bucket, size3, size3_rank, zone_of
@@ -148,31 +148,53 @@ def field_scores(preds: DataFrame, stones: DataFrame, zone: str, cls: str) -> Da
     ).join(lat, "seed")
 
 
-def error_categories(preds: DataFrame, stones: DataFrame, zone: str, cls: str) -> DataFrame:
-    """Exact partition of the reference tuples of each seed, and the surplus predictions.
+CATEGORIES = [
+    "exact match", "zone error only", "size error only", "zone + size error", "missed kidney", "detected, not characterized",
+    "false-positive kidney", "stone not characterized in reference",
+]
+
+
+def reference_units(preds: DataFrame, stones: DataFrame, zone: str, cls: str, seeds: Sequence[int]) -> DataFrame:
+    """Every (seed, case, side) of the reference with its prediction, and predictions without a reference.
+
+    A side that a seed did not predict counts as predicted negative.
+    """
+    every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
+    refs = reference_sides(stones, zone, cls).select("case_id", "side", "ref", "single_zone", every)
+    none = F.lit(False)
+    return predicted_sides(preds).join(refs, ["seed", "case_id", "side"], "full_outer").withColumns(
+        {
+            "present": F.coalesce("present", none), "no_size_pred": F.coalesce("no_size_pred", none),
+            "has_stone": F.coalesce("has_stone", F.col("ref").isNotNull()),
+        }
+    )
+
+
+def error_categories(preds: DataFrame, stones: DataFrame, zone: str, cls: str, seeds: Sequence[int]) -> DataFrame:
+    """Exact partition of the reference tuples of each seed, and the surplus predictions; a row for every category.
 
     Both sides hold at most one tuple per (case, side), so the match is an equi-join.
     """
-    refs = reference_sides(stones, zone, cls).select("case_id", "side", "ref")
-    j = predicted_sides(preds).join(refs, ["case_id", "side"], "left")
+    j = reference_units(preds, stones, zone, cls, seeds)
     has_r, has_p = F.col("ref").isNotNull(), F.col("guess").isNotNull()
     zone_bad = ~F.col("guess.zone").eqNullSafe(F.col("ref.zone"))
     size_bad = ~F.col("guess.cls").eqNullSafe(F.col("ref.cls"))
+    exact, zone_only, size_only, both, missed, bare, false, surplus = CATEGORIES
     category = (
-        F.when(has_r & has_p & ~zone_bad & ~size_bad, "exact match")
-        .when(has_r & has_p & zone_bad & size_bad, "zone + size error")
-        .when(has_r & has_p & zone_bad, "zone error only")
-        .when(has_r & has_p, "size error only")
-        .when(has_r & ~F.col("present"), "missed kidney")
-        .when(has_r, "detected, not characterized")
-        .when(has_p & ~F.col("has_stone"), "false-positive kidney")
-        .when(has_p, "stone not characterized in reference")
-    )
-    counts = j.where(category.isNotNull()).groupBy("seed", category.alias("category")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(has_r).alias("__r")
-    )
-    total = F.sum("__r").over(Window.partitionBy("seed"))
-    return counts.select("seed", "category", "n", F.try_divide(F.col("n"), total).alias("share"))
+        F.when(has_r & has_p & ~zone_bad & ~size_bad, exact)
+        .when(has_r & has_p & zone_bad & size_bad, both)
+        .when(has_r & has_p & zone_bad, zone_only)
+        .when(has_r & has_p, size_only)
+        .when(has_r & ~F.col("present"), missed)
+        .when(has_r, bare)
+        .when(has_p & ~F.col("has_stone"), false)
+        .when(has_p, surplus)
+    )
+    counts = j.select("seed", category.alias("c"), has_r.alias("r")).groupBy("seed").agg(
+        F.array(*[F.struct(F.lit(c).alias("category"), F.count_if(F.col("c") == c).alias("n")) for c in CATEGORIES]).alias("k"),
+        F.count_if("r").alias("r"),
+    )
+    return counts.select("seed", F.explode("k").alias("k"), "r").select("seed", "k.category", "k.n", F.try_divide(F.col("k.n"), F.col("r")).alias("share"))
 
 
 def persistent_errors(preds: DataFrame, limit: float = 0.2) -> DataFrame:

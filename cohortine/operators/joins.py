@@ -30,11 +30,10 @@ def presence_audit(sources: Mapping[str, DataFrame], key: str) -> DataFrame:
 
 
 def split_by_membership(df: DataFrame, members: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
-    """Rows marked by whether their key occurs in another table, by semi and anti join."""
-    keys = members.select(key)
-    return df.join(keys, key, "left_semi").withColumn("group", F.lit(names[0])).unionByName(
-        df.join(keys, key, "left_anti").withColumn("group", F.lit(names[1]))
-    )
+    """Rows marked by whether their key occurs in another table; a null key does not."""
+    keys = members.select(key).distinct().withColumn("__in", F.lit(True))
+    group = F.when(F.col("__in"), names[0]).otherwise(names[1])
+    return df.join(keys, key, "left").withColumn("group", group).drop("__in").select(*df.columns, "group")
 
 
 def pair_by_order(
@@ -120,9 +119,10 @@ def nearest_join(
         "__cell", _cell(F.col("__x"), F.col("__lo"), F.col("__hi"), cells)
     )
     here = F.when(F.col("__t"), F.col("__x"))
-    along = Window.partitionBy(*keys, "__cell").orderBy("__x")
-    back = along.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = along.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # Both frames grow row by row; a frame that ends with the group would be read anew for every row.
+    cell = Window.partitionBy(*keys, "__cell")
+    back = cell.orderBy("__x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = cell.orderBy(F.col("__x").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy(*keys).orderBy("__cell")
     borders = (
         tagged.where(F.col("__lo").isNotNull())

@@ -157,12 +157,19 @@ def wilcoxon(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     w = F.least("w_plus", "w_minus")
     out = g.withColumn("z", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, sd))
     exact = F.when((F.col("__tie") == 0) & (F.col("n") <= 50), w)
-    return out.select(
+    tested = out.select(
         *by, "n", "w_plus", "w_minus", "z",
         F.least(F.lit(1.0), 2 * tails.normal_upper(F.abs("z"))).alias("p_normal"),
         tails.normal_upper("z").alias("p_greater"),
         tails.signed_rank_exact(exact, n).alias("p_exact"),
     )
+    # A group without any difference keeps its row: nothing speaks against equality.
+    groups = df.where(F.col(diff).isNotNull()).groupBy(*by).agg(F.bool_and(F.col(diff) == 0).alias("__same")) if by else None
+    if groups is None:
+        return tested
+    blank = {"n": 0, "w_plus": 0.0, "w_minus": 0.0, "p_normal": 1.0, "p_greater": 1.0, "p_exact": 1.0}
+    filled = [F.when(F.col("__same"), F.lit(v)).otherwise(F.col(c)).cast(tested.schema[c].dataType).alias(c) for c, v in blank.items()]
+    return groups.join(tested, list(by), "left").select(*by, *filled, "z")
 
 
 def fisher_greater(df: DataFrame, exposed: Column, case: Column) -> DataFrame:

@@ -221,9 +221,8 @@ def _(spark, folder):
 
 def phi_findings(spark, folder):
     """Identifying terms in texts, and in the addresses of pages."""
-    b = table(spark, folder, "benchmark")
-    names = b.select(F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("value"))
-    ids = b.select(F.substring("text", 1, 60).alias("value"))
+    names = table(spark, folder, "supplier").select(F.col("s_name").alias("value"))
+    ids = table(spark, folder, "benchmark").select(F.col("text").alias("value"))
     words = terms.identifying_terms(names, ids, V.MIN_NAME_LENGTH, V.MIN_ID_LENGTH)
     tags = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in V.FORBIDDEN_TAGS])).alias("term"), F.lit("tag").alias("kind"))
     every = words.unionByName(tags).withColumn("term_id", F.lit(0))
@@ -236,7 +235,7 @@ def phi_findings(spark, folder):
     return inside.unionByName(terms.scan_terms(paths, "file", "text", named)).select("file", "kind")
 
 
-PHI_SQL = """WITH t AS (SELECT DISTINCT 'name' AS kind, trim(upper(regexp_extract(text, '^(\\S+ \\S+)', 1))) AS term FROM benchmark UNION SELECT 'uid', trim(upper(substr(text, 1, 60))) FROM benchmark
+PHI_SQL = """WITH t AS (SELECT DISTINCT 'name' AS kind, trim(upper(s_name)) AS term FROM supplier UNION SELECT 'uid', trim(upper(text)) FROM benchmark
       UNION SELECT 'tag', unnest(['PATIENTNAME', 'PATIENTBIRTHDATE', 'ACCESSIONNUMBER', 'INSTITUTIONNAME'])),
     k AS (SELECT * FROM t WHERE kind = 'tag' OR (kind = 'name' AND length(term) > 6) OR (kind = 'uid' AND length(term) >= 20)),
     x AS (SELECT 'doc/' || doc_id AS file, upper(text) AS u FROM documents UNION ALL SELECT 'conv/' || conv_id || '/' || turn, upper(text) FROM conversations),

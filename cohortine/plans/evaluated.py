@@ -311,17 +311,22 @@ def _(spark, folder):
     return rounded(f, "kidney_p", "kidney_r", "kidney_f1", "size_cls_acc", "zone_acc", "laterality_acc")
 
 
-TAXONOMY_SQL = REF_SQL + """, j AS (SELECT g.seed, g.present, g.has_stone, g.zone AS gz, g.cls AS gc, red.zone AS rz, red.cls AS rc, red.case_id IS NOT NULL AS hr FROM g LEFT JOIN red ON red.case_id = g.case_id AND red.side = g.side),
+TAXONOMY_SQL = REF_SQL.replace("g AS (", "g AS MATERIALIZED (") + """, rs AS (SELECT red.*, seed FROM red, (SELECT unnest([0, 1, 2, 3, 4]) AS seed)), gp AS (SELECT * FROM g WHERE case_id % 23 > 0),
+    j AS (SELECT coalesce(gp.seed, rs.seed) AS seed, coalesce(gp.present, false) AS present, coalesce(gp.has_stone, true) AS has_stone, gp.zone AS gz, gp.cls AS gc, rs.zone AS rz, rs.cls AS rc, rs.case_id IS NOT NULL AS hr
+      FROM gp FULL JOIN rs ON rs.case_id = gp.case_id AND rs.side = gp.side AND rs.seed = gp.seed),
     t AS (SELECT seed, hr, CASE WHEN hr AND gz IS NOT NULL THEN CASE WHEN gz = rz AND gc IS NOT DISTINCT FROM rc THEN 'exact match' WHEN gz = rz THEN 'size error only' WHEN gc IS NOT DISTINCT FROM rc THEN 'zone error only' ELSE 'zone + size error' END
       WHEN hr AND NOT present THEN 'missed kidney' WHEN hr THEN 'detected, not characterized' WHEN gz IS NOT NULL AND NOT has_stone THEN 'false-positive kidney' WHEN gz IS NOT NULL THEN 'stone not characterized in reference' END AS category FROM j),
-    s AS (SELECT seed, category, count(*) AS n, count(*) / any_value(nr)::DOUBLE AS share FROM t JOIN (SELECT seed, count(*) FILTER (hr) AS nr FROM t GROUP BY seed) USING (seed) WHERE category IS NOT NULL GROUP BY ALL)"""
+    s AS (SELECT seed, c.category, count(*) FILTER (t.category = c.category) AS n, count(*) FILTER (t.category = c.category) / count(*) FILTER (hr)::DOUBLE AS share FROM t,
+      (SELECT unnest(['exact match', 'zone error only', 'size error only', 'zone + size error', 'missed kidney', 'detected, not characterized', 'false-positive kidney', 'stone not characterized in reference']) AS category) c GROUP BY ALL)"""
 
 
 def taxonomy(spark, folder):
-    return ev.error_categories(detections(spark, folder), ref_stones(spark, folder), "zone", "cls")
+    """Predictions with an implausible mask are missing, so their sides count as missed."""
+    seen = detections(spark, folder).where("mask_plausible")
+    return ev.error_categories(seen, ref_stones(spark, folder), "zone", "cls", SEED_LIST)
 
 
-@query("error_taxonomy", with_views(*DET, body=f"WITH {TAXONOMY_SQL} SELECT seed, category, n, round(share, 6) AS share FROM s"))
+@query("error_taxonomy", with_views(*DET, body=f"WITH {TAXONOMY_SQL} SELECT seed::INTEGER AS seed, category, n, round(share, 6) AS share FROM s"))
 def _(spark, folder):
     return rounded(taxonomy(spark, folder), "share")
 
@@ -337,7 +342,7 @@ def _(spark, folder):
 
 @query(
     "ref_pred_join",
-    with_views(*DET, body=f"""WITH {REF_SQL} SELECT g.seed, g.case_id, g.side, coalesce(g2.present, false) AS present, g.has_stone, coalesce(g2.zone, '') AS zone_pred, coalesce(red.zone, '') AS zone_ref FROM g
+    with_views(*DET, body=f"""WITH {REF_SQL.replace('g AS (', 'g AS MATERIALIZED (')} SELECT g.seed, g.case_id, g.side, coalesce(g2.present, false) AS present, g.has_stone, coalesce(g2.zone, '') AS zone_pred, coalesce(red.zone, '') AS zone_ref FROM g
       LEFT JOIN (SELECT * FROM g WHERE case_id % 23 > 0) g2 ON g2.seed = g.seed AND g2.case_id = g.case_id AND g2.side = g.side LEFT JOIN red ON red.case_id = g.case_id AND red.side = g.side"""),
 )
 def _(spark, folder):

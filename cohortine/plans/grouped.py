@@ -174,12 +174,12 @@ def _(spark, folder):
 @query(
     "mean_proba_argmax",
     """WITH p AS (SELECT vec_id % 100 AS unit, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
-      m AS (SELECT unit, pos, avg(x) AS m FROM p WHERE pos < 3 GROUP BY ALL)
+      m AS (SELECT unit, pos, avg(x) AS m FROM p GROUP BY ALL)
     SELECT unit, CAST(arg_max(pos, m) AS INTEGER) AS argmax, round(max(m), 6) AS top FROM m GROUP BY unit""",
 )
 def _(spark, folder):
     e = table(spark, folder, "embeddings").select(
-        (F.col("vec_id") % 100).alias("unit"), F.slice("embedding", 1, 3).cast("array<double>").alias("prob")
+        (F.col("vec_id") % 100).alias("unit"), F.col("embedding").cast("array<double>").alias("prob")
     )
     return agg.mean_vector_argmax(e, "unit", "prob").withColumn("top", f6(F.col("top")))
 

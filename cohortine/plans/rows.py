@@ -502,31 +502,36 @@ def _(spark, folder):
 
 @query(
     "ordinal_decode",
-    """SELECT bag, CAST((pm > 0.5) AS INTEGER) + CAST((pl > 0.5) AS INTEGER) AS cls, round(1 - pm, 6) AS p0, round(pm - pl, 6) AS p1, round(pl, 6) AS p2
-    FROM (SELECT bag, pm, least(pl, pm) AS pl FROM (SELECT vec_id AS bag, 1 / (1 + exp(-10 * embedding[1]::DOUBLE)) AS pm,
-      1 / (1 + exp(-10 * embedding[2]::DOUBLE)) AS pl FROM embeddings))""",
+    """SELECT bag, pair, CAST((pm > 0.5) AS INTEGER) + CAST((pl > 0.5) AS INTEGER) AS cls, round(1 - pm, 6) AS p0, round(pm - pl, 6) AS p1, round(pl, 6) AS p2
+    FROM (SELECT bag, pair, pm, least(pl, pm) AS pl FROM (SELECT vec_id AS bag, pair, 1 / (1 + exp(-10 * embedding[2 * pair + 1]::DOUBLE)) AS pm,
+      1 / (1 + exp(-10 * embedding[2 * pair + 2]::DOUBLE)) AS pl FROM (SELECT *, unnest(range(len(embedding) // 2)) AS pair FROM embeddings)))""",
 )
 def _(spark, folder):
     e = table(spark, folder, "embeddings")
-    x = lambda i: F.get("embedding", F.lit(i)).cast("double") * 10
-    cls, probs = scalars.ordinal_decode(x(0), x(1))
+    pairs = F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1)
+    e = e.where(F.size("embedding") > 1).select(F.col("vec_id").alias("bag"), "embedding", F.explode(pairs).alias("pair"))
+    x = lambda i: F.get("embedding", (2 * F.col("pair") + i).cast("int")).cast("double") * 10
+    e = e.select("bag", F.col("pair").cast("bigint").alias("pair"), x(0).alias("m"), x(1).alias("l"))
+    cls, probs = scalars.ordinal_decode(F.col("m"), F.col("l"))
     return e.select(
-        F.col("vec_id").alias("bag"), cls.alias("cls"), f6(probs[0]).alias("p0"), f6(probs[1]).alias("p1"), f6(probs[2]).alias("p2")
+        "bag", "pair", cls.alias("cls"), f6(probs[0]).alias("p0"), f6(probs[1]).alias("p1"), f6(probs[2]).alias("p2")
     )
 
 
 @query(
     "zone_decode",
-    """SELECT bag, round(z, 6) AS upper, round(-abs(z - 0.5), 6) AS mid, round(-z, 6) AS lower,
+    """SELECT bag, pos, round(z, 6) AS upper, round(-abs(z - 0.5), 6) AS mid, round(-z, 6) AS lower,
       CASE WHEN z >= 0.45 AND z >= 0.6 THEN 'UPPER' WHEN z >= 0.45 THEN 'MID' ELSE 'LOWER' END AS zone
-    FROM (SELECT vec_id AS bag, 1 / (1 + exp(-10 * embedding[3]::DOUBLE)) AS z FROM embeddings)""",
+    FROM (SELECT vec_id AS bag, generate_subscripts(embedding, 1) - 1 AS pos, 1 / (1 + exp(-10 * unnest(embedding)::DOUBLE)) AS z FROM embeddings)""",
 )
 def _(spark, folder):
     e = table(spark, folder, "embeddings")
-    z = scalars.sigmoid(F.get("embedding", F.lit(2)).cast("double") * 10)
+    e = e.select(F.col("vec_id").alias("bag"), F.posexplode("embedding").alias("pos", "x"))
+    e = e.select("bag", F.col("pos").cast("bigint").alias("pos"), scalars.sigmoid(F.col("x").cast("double") * 10).alias("z"))
+    z = F.col("z")
     s = scalars.zone_scores(z)
     return e.select(
-        F.col("vec_id").alias("bag"), f6(s[0]).alias("upper"), f6(s[1]).alias("mid"), f6(s[2]).alias("lower"),
+        "bag", "pos", f6(s[0]).alias("upper"), f6(s[1]).alias("mid"), f6(s[2]).alias("lower"),
         scalars.zone_of(z, F.lit(0.45), F.lit(0.6)).alias("zone"),
     )
 
@@ -549,14 +554,12 @@ def _(spark, folder):
 
 @query(
     "decode_prob",
-    """SELECT vec_id AS unit, CAST(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 3 END AS INTEGER) AS n, round(embedding[1]::DOUBLE, 4) AS p0,
-      CASE WHEN vec_id % 2 = 1 THEN round(embedding[3]::DOUBLE, 4) END AS p2 FROM embeddings""",
+    """SELECT vec_id AS unit, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS pos, round(unnest(v)::DOUBLE, 4) AS p
+    FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1:1] ELSE embedding END AS v FROM embeddings)""",
 )
 def _(spark, folder):
     e = table(spark, folder, "embeddings")
-    x = F.transform(F.slice("embedding", 1, 3), lambda v: F.round(v.cast("double"), 4))
+    x = F.transform("embedding", lambda v: F.round(v.cast("double"), 4))
     cell = F.when(F.col("vec_id") % 2 == 0, F.get(x, F.lit(0)).cast("string")).otherwise(F.to_json(x))
     p = scalars.decode_prob(cell)
-    return e.select(
-        F.col("vec_id").alias("unit"), F.size(p).alias("n"), F.get(p, F.lit(0)).alias("p0"), F.get(p, F.lit(2)).alias("p2")
-    )
+    return e.select(F.col("vec_id").alias("unit"), F.posexplode(p).alias("pos", "p")).withColumn("pos", F.col("pos").cast("bigint"))
