@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .scratch import few, saved
+from .scratch import saved
 from .text_keys import SPACED, Words, lines, mix, powers, raw_sequences, slices, words
 
 NEAR_WORDS = 8
@@ -186,8 +186,7 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     Null texts stay null; rows with a null doc_id are neither changed nor held against others. Rows that repeat a doc_id
     with the same text keep the same lines. A text may become empty.
     """
-    dropped = saved(dropped_lines(docs, near_words))
-    drops = few(saved(dropped.groupBy("doc_id").agg(F.collect_list("occ").alias("drops"))), dropped.count())
+    drops = saved(dropped_lines(docs, near_words)).groupBy("doc_id").agg(F.collect_list("occ").alias("drops"))
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.lit(0).alias("`")).alias("row")
     joined = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("old"), others).join(
         drops.withColumnRenamed("doc_id", "gone"), F.col("id") == F.col("gone"), "left"

@@ -36,7 +36,6 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def few(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A saved table, marked for broadcast if its rows (or `rows` numbers in it) are counted to be few."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def few(df: DataFrame) -> DataFrame:
+    """A saved table, marked for broadcast if its rows are counted to be few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
