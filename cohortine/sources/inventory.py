@@ -111,11 +111,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder inside the shared folder the cluster names, or a local one where none is named."""
+    """A new folder inside the shared folder the cluster names; only a local session may do without one."""
     import tempfile
     import uuid
 
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/cohortine-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
     return tempfile.mkdtemp(prefix="cohortine-")

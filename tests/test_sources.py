@@ -54,19 +54,22 @@ def test_export_stops_on_a_finding(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
-def test_sharded_search_equals_brute_force(spark):
+def test_term_search_equals_brute_force(spark):
     texts = [(i, f"xx{'ab' * (i % 5)}needle{i % 7}zz" + ("TAG" if i % 3 == 0 else "")) for i in range(60)]
+    texts += [(60, ""), (61, "é"), (62, "the same words " * 9_000 + "ü needle number twenty-three"), (63, "needle number twenty-thre")]
     words = [("name", f"needle{k}", k) for k in range(5)] + [("name", "abab", 9), ("tag", "tag", 1), ("tag", "absent", 0)]
+    words += [("long", "needle number twenty-three", 7), ("long", "needle number twenty-three", 8), ("odd", "É", 3), ("odd", "z", 5)]
     want = {}
     for i, t in texts:
         for kind, w, n in words:
             if w.upper() in t.upper():
                 want[(i, kind)] = min(n, want.get((i, kind), n))
-    t = spark.createDataFrame(texts, "id int, text string").repartition(3)
-    w = spark.createDataFrame(words, "kind string, term string, term_id int")
-    for limit in (1 << 20, 60):
-        got = {(r.id, r.kind): r.term_id for r in scan_terms(t, "id", "text", w, limit).collect()}
-        assert got == want
+    t = spark.createDataFrame([*texts, (64, None)], "id int, text string").repartition(3)
+    w = spark.createDataFrame([*words, ("tag", "", 0), ("tag", None, 0)], "kind string, term string, term_id int")
+    for lengths in ((16, 6, 2, 1), (4, 1)):
+        rows = scan_terms(t, "id", "text", w, lengths).collect()
+        assert {(r.id, r.kind): r.term_id for r in rows} == want and len(rows) == len(want)
+    assert scan_terms(t.limit(0), "id", "text", w).isEmpty() and scan_terms(t, "id", "text", w.limit(0)).isEmpty()
 
 
 def test_arrivals_are_taken_once(spark, tmp_path):
