@@ -66,7 +66,7 @@ def test_term_search_equals_brute_force(spark):
                 want[(i, kind)] = min(n, want.get((i, kind), n))
     t = spark.createDataFrame([*texts, (64, None)], "id int, text string").repartition(3)
     w = spark.createDataFrame([*words, ("tag", "", 0), ("tag", None, 0)], "kind string, term string, term_id int")
-    for lengths in ((16, 6, 2, 1), (4, 1)):
+    for lengths in ((16, 8, 4, 2, 1), (4, 1)):
         rows = scan_terms(t, "id", "text", w, lengths).collect()
         assert {(r.id, r.kind): r.term_id for r in rows} == want and len(rows) == len(want)
     assert scan_terms(t.limit(0), "id", "text", w).isEmpty() and scan_terms(t, "id", "text", w.limit(0)).isEmpty()
