@@ -68,7 +68,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.duplicate_spans(table(spark, sf_dir, "documents"))
+    return sentence_spans.span_report(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -172,6 +172,37 @@ def test_sentence_spans(docs, rows, empty):
     assert sentence_spans.duplicate_spans(empty).count() == 0
 
 
+def test_spans_of_long_sentences(spark):
+    rnd = np.random.default_rng(3)
+    word = lambda n: ["".join(rnd.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    passage, quoted = " ".join(word(50)), " ".join(["said,", *word(14), 'so."', *word(40)])
+    texts = [f"{' '.join(word(20))} {x} {' '.join(word(k))}" for k, x in ((9, passage), (30, passage), (12, quoted), (25, quoted))]
+    df = spark.createDataFrame(list(enumerate([*texts, " ".join(word(60))])), "doc_id long, text string")
+    longest = sentence_spans.LONGEST
+    spans = sentence_spans.duplicate_spans(df, longest=longest)
+    assert {(r.doc_id, r.first_doc_id) for r in spans.collect()} == {(1, 0), (3, 2)}
+    left = {r.doc_id: r.text for r in sentence_spans.remove_spans(df, spans, longest).collect()}
+    for i, x in ((1, passage), (3, quoted)):
+        assert set(texts[i].split()) - set(left[i].split()) <= set(x.split()) and len(left[i].split()) <= len(texts[i].split()) - 16
+    assert all(left[i] == texts[i] for i in (0, 2))
+    report = sentence_spans.span_report(df).collect()
+    assert {r.doc_id: r.text_sha256 for r in report} == {i: hashlib.sha256(left[i].encode()).hexdigest() for i in (1, 3)}
+
+
+def test_any_fifty_words_share_a_run():
+    rnd = np.random.default_rng(4)
+
+    def prose(n, mean):
+        return [("".join(rnd.choice(list("abcdef"), rnd.integers(1, 4))) + ("." if rnd.random() < 1 / mean else "")) for _ in range(n)]
+
+    for _ in range(300):
+        passage, runs = prose(50, rnd.integers(2, 60)), []
+        for _ in range(2):
+            data = np.frombuffer(" ".join(prose(rnd.integers(0, 40), 30) + passage + prose(rnd.integers(0, 40), 30)).encode(), np.uint8)
+            runs.append(set(sentence_spans._runs(data, np.array([0, len(data)]), 2, 16, sentence_spans.LONGEST)[0].tolist()))
+        assert runs[0] & runs[1]
+
+
 def test_token_store(spark, docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
