@@ -341,3 +341,23 @@ def test_pseudo_likelihood(spark, docs, rows, empty):
     for r in (r for r in learned if r.doc_id is not None):
         assert r.n_words in {len(words(t, ALNUM)) for t in texts_of(rows)[r.doc_id]}
     assert pseudo_likelihood.score_documents(empty).count() == 0
+
+
+def test_words_outside_the_vocabulary_have_their_own_share(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY", 2)
+    df = spark.createDataFrame([(1, "a a a a b b b b c c d"), (2, "c"), (3, "d"), (4, "")], "doc_id long, text string")
+    vocab = pseudo_likelihood.vocabulary(df)
+    net = pseudo_likelihood.Network(
+        np.zeros((4, len(vocab.classes), pseudo_likelihood.WIDTH), np.float32), np.zeros((pseudo_likelihood.WIDTH, pseudo_likelihood.CLASSES), np.float32), np.zeros(pseudo_likelihood.CLASSES, np.float32)
+    )
+    got = {r.doc_id: r.log_prob for r in pseudo_likelihood.score(df, vocab, net).collect()}
+    flat = -np.log(pseudo_likelihood.CLASSES)
+    assert (got[2], got[3], got[4]) == pytest.approx((flat + np.log(3 / 5), flat + np.log(2 / 5), 0.0), abs=1e-6)
+
+
+def test_scores_do_not_change_with_partitions(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(i, " ".join(rnd.choice(list("abcdefgh"), 300))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, five = ({r.doc_id: r.log_prob for r in pseudo_likelihood.score_documents(df.repartition(n)).collect()} for n in (1, 5))
+    assert one == pytest.approx(five, rel=1e-6) and len(one) == 40
