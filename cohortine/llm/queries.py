@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licences, line_dedup, packing, pseudo_likelihood, sentence_spans, token_store, vector_tree
+from . import conversations, decontaminate, jaccard, language, licences, line_dedup, merkle, merkle_sql, packing, personal_data, pseudo_likelihood, sentence_spans, token_store, vector_tree
 from .scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,26 @@ def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = {"text": merkle.ascii_lower(F.col("text"))}
+    shown = F.when(tampered, merkle.leaf_digest([text.get(c, F.col(c)) for c in merkle.LEAF_COLUMNS]))
+    path = folder(spark)
+    merkle.write(table(spark, sf_dir, "documents"), path, shown)
+    return merkle.proofs(spark, path)
+
+
+ORACLE["op11_merkle_manifest"] = merkle_sql.manifest_sql()
+
+
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
