@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortine.functions import vocab as V
-from cohortine.functions.names import ascii_upper
+from cohortine.functions.names import SPACE, ascii_upper, strip
 from cohortine.functions.scalars import let, parse_int_token, repair_number
 
 
 def parse_zone_cell(raw: Column) -> Column:
     """Struct of side, zone, zone_inferred, anomaly and note from one zone cell."""
-    folded = F.trim(ascii_upper(F.coalesce(raw, F.lit(""))))
-    return let(folded, lambda txt: let(_anomaly(txt), lambda a: _zone_struct(txt, a, F.trim(raw))))
+    folded = strip(ascii_upper(F.coalesce(raw, F.lit(""))))
+    return let(folded, lambda txt: let(_anomaly(txt), lambda a: F.struct(*_zone_columns(txt, a, strip(raw)))))
+
+
+def with_zone(df: DataFrame, raw: Column, prefix: str = "") -> DataFrame:
+    """df with side, zone, zone_inferred, anomaly and note of a zone cell. Each step is a plain column, so that all of it
+    compiles; a repeated folding is not inlined again."""
+    txt, found = f"__{prefix}folded", f"__{prefix}anomaly"
+    df = df.withColumn(txt, strip(ascii_upper(F.coalesce(raw, F.lit("")))))
+    df = df.withColumn(found, _anomaly(F.col(txt)))
+    return df.select("*", *_zone_columns(F.col(txt), F.col(found), strip(raw), prefix)).drop(txt, found)
 
 
 def _anomaly(txt: Column) -> Column:
@@ -25,7 +34,7 @@ def _anomaly(txt: Column) -> Column:
     )
 
 
-def _zone_struct(txt: Column, anomaly: Column, note: Column) -> Column:
+def _zone_columns(txt: Column, anomaly: Column, note: Column, prefix: str = "") -> list[Column]:
     side = (
         F.when(anomaly.isNotNull(), "UNKNOWN")
         .when(txt.rlike(r"\bSAG\b|\bSA\b(?!L)") | txt.startswith("SAG"), "RIGHT")
@@ -46,13 +55,13 @@ def _zone_struct(txt: Column, anomaly: Column, note: Column) -> Column:
     named = txt.rlike("ALT|UST|ORTA")
     completed = anomaly.isNull() & cut_short & ~named
     inferred = completed | (~named & ~cut_short & (side != "UNKNOWN"))
-    return F.struct(
-        side.alias("side"),
-        zone.alias("zone"),
-        inferred.alias("zone_inferred"),
-        anomaly.alias("anomaly"),
-        F.when(anomaly.isNotNull() | completed, note).alias("note"),
-    )
+    return [
+        side.alias(prefix + "side"),
+        zone.alias(prefix + "zone"),
+        inferred.alias(prefix + "zone_inferred"),
+        anomaly.alias(prefix + "anomaly"),
+        F.when(anomaly.isNotNull() | completed, note).alias(prefix + "note"),
+    ]
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
@@ -103,36 +112,30 @@ def _free_text_struct(txt: Column) -> Column:
     )
 
 
-def parse_findings(text: Column) -> Column:
-    """Array of lesion structs from a semicolon-separated finding; unparsed parts are kept."""
-    parts = F.filter(
-        F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p)),
-        lambda p: p != "",
+def finding_rows(df: DataFrame, text: str, position: str = "pos") -> DataFrame:
+    """A row for each part of a semicolon-separated finding, numbered from 0, beside the columns of df.
+
+    Adds raw, parsed, zone_raw, side, zone, zone_inferred, anomaly, note, size_mm, size_text and size_class_text. A part that
+    is no finding is kept with parsed false and nothing else. The pattern runs once a part; its groups are taken apart at a
+    control character, which no part contains.
+    """
+    cut = "\u0001"
+    whole = F.translate(F.coalesce(F.col(text), F.lit("")), cut, " ")
+    gap = f"[{SPACE}]"
+    rows = df.select("*", F.posexplode(F.split(strip(whole, ";"), f"(?:{gap}*;)+{gap}*")).alias(position, "raw")).where("raw <> ''")
+    groups = F.split(F.regexp_replace("raw", "(?dU)" + V.LESION_PATTERN, cut.join(["", "$1", "$2", "$3"])), cut)
+    rows = rows.withColumn("__g", groups)
+    field = lambda i: strip(F.get("__g", F.lit(i)))
+    rows = rows.select(
+        *(c for c in rows.columns if c != "__g"), (F.size("__g") == 4).alias("parsed"),
+        field(1).alias("zone_raw"), field(2).alias("size_text"), field(3).alias("size_class_text"),
+    )
+    rows = with_zone(rows, F.col("zone_raw"), "__")
+    known = lambda c: F.when(F.col("parsed"), F.col("__" + c)).alias(c)
+    size = _number(_found(F.col("size_text"), r"^(\d+(?:[.,]\d+)?)\s*mm", 1)).alias("size_mm")
+    return rows.select(
+        *(c for c in rows.columns if not c.startswith("__")), *map(known, ("side", "zone", "zone_inferred", "anomaly", "note")), size,
     )
-
-    def lesion(part: Column) -> Column:
-        group = lambda i: F.trim(F.regexp_extract(part, V.LESION_PATTERN, i))
-        split = F.struct(
-            part.rlike(V.LESION_PATTERN).alias("ok"), group(1).alias("place"), group(2).alias("size"), group(3).alias("cls")
-        )
-        return let(split, lambda x: let(parse_zone_cell(x["place"]), lambda zone: lesion_struct(part, x, zone)))
-
-    def lesion_struct(part: Column, x: Column, zone: Column) -> Column:
-        known = lambda c: F.when(x["ok"], c)
-        return F.struct(
-            part.alias("raw"),
-            x["ok"].alias("parsed"),
-            known(x["place"]).alias("zone_raw"),
-            known(zone["side"]).alias("side"),
-            known(zone["zone"]).alias("zone"),
-            known(zone["zone_inferred"]).alias("zone_inferred"),
-            known(zone["anomaly"]).alias("anomaly"),
-            known(_number(_found(x["size"], r"^(\d+(?:[.,]\d+)?)\s*mm", 1))).alias("size_mm"),
-            known(x["size"]).alias("size_text"),
-            known(x["cls"]).alias("size_class_text"),
-        )
-
-    return F.transform(parts, lesion)
 
 
 def report_style(text: Column) -> Column:
@@ -162,21 +165,26 @@ def derive_laterality(has_right: Column, has_left: Column, cue: Column) -> Colum
 
 def parse_sex(raw: Column) -> Column:
     """E and K to M and F, anything else UNKNOWN."""
-    code = F.upper(F.trim(raw))
+    code = F.upper(strip(raw))
     return F.when(code == "E", "M").when(code == "K", "F").otherwise("UNKNOWN")
 
 
 def declared_count(raw: Column) -> Column:
     """Struct of declared count and qualifier from a count cell."""
-    text = F.trim(raw)
+    text = strip(raw)
     capital = F.upper(text)
     number = text.try_cast("double").try_cast("bigint")
     many = capital.startswith("ÇOK") | capital.startswith("COK")
     return F.struct(
-        F.when(~many, number).alias("declared"),
+        F.when(~F.coalesce(many, F.lit(False)), number).alias("declared"),
         F.when(text.isNull(), "UNKNOWN")
         .when(many, "MANY")
         .when(number.isNull(), "UNKNOWN")
         .otherwise("EXACT")
         .alias("qualifier"),
     )
+
+
+def stated_count(conclusion: Column) -> Column:
+    """The number before the counting word of a conclusion."""
+    return _found(conclusion, V.CONCLUSION_COUNT, 1).try_cast("bigint")

@@ -21,6 +21,13 @@ def _plain_letters() -> tuple[str, str]:
 
 
 PLAIN_FROM, PLAIN_TO = _plain_letters()
+#: Everything that counts as white space, from the blank to the ideographic space.
+SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def strip(text: Column, more: str = "") -> Column:
+    """Text without white space (and further characters) at its ends."""
+    return F.trim(text, F.lit(SPACE + more))
 
 
 def _folded(name: Column) -> Column:

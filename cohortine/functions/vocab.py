@@ -152,15 +152,13 @@ AMBIGUOUS_LEFT_CUE = r"\bSOL\s*IKI\s*BOBREK"
 LARGEST_PATTERN = r"BUYUGU\s+(SAG|SOL)?\s*(ALT|ORTA|UST)\s*ZON"
 MM_PATTERN = r"(\d+(?:[.,]\d+)?)\s*MM"
 COUNT_PATTERN = r"([0-9OlI]+)\s*ADET"
-LESION_PATTERN = r"(?s)^(.*?)\s+yerleşimli,\s*(.*?)\s*\((.*?)\)$"
+LESION_PATTERN = r"^(.*?)\s+yerleşimli,\s*(.*?)\s*\((.*?)\)$"
+URETER_COLLECTION = "URETER_TASI"
+CONCLUSION_COUNT = r"(\d+)\s*adet"
 NAME_LINE_PATTERN = r"(?m)^\s*Hasta\s*:\s*.*$"
 
 # --- report parsing
 NUMBER = r"\d+(?:[.,]\d+)?"
-ZONE_WORDS_TR = "orta-üst|orta-alt|üst|orta|alt"
-ZONE_WORDS_EN = "mid-to-upper zone|mid-to-lower zone|upper zone|mid zone|lower zone"
-CLASS_WORDS_TR = "mikrolitiyazis|küçük taş|orta boy taş|büyük taş|çok büyük taş|boyutu bilinmiyor"
-CLASS_WORDS_EN = "microlithiasis|medium-sized|very large|small|large|of unknown size"
 
 # --- series selection
 MIN_SLICES = 20

@@ -5,6 +5,7 @@ from cohortine.plans import (  # noqa: F401
     evaluated,
     grouped,
     joined,
+    records,
     reporting,
     rows,
     sourced,

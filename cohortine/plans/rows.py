@@ -402,8 +402,8 @@ def finding_text(spark, folder):
 )
 def _(spark, folder):
     t = finding_text(spark, folder)
-    rows = t.select("case_id", "line", F.posexplode(labels.parse_findings(F.col("text"))).alias("pos", "l"))
-    return rows.select("case_id", "line", "pos", "l.parsed", "l.side", "l.zone", "l.size_mm")
+    rows = labels.finding_rows(t.select("case_id", "line", "text"), "text")
+    return rows.select("case_id", "line", "pos", "parsed", "side", "zone", "size_mm")
 
 
 @query(

@@ -1,68 +1,89 @@
-"""Parsers on the known records, and size bounds."""
+"""Parsers on combinations of words, and size bounds."""
+
+import itertools
 
-import pytest
 from pyspark.sql import functions as F
 
 from cohortine.functions import labels as L
 from cohortine.functions import names as N
 from cohortine.functions import scalars as S
+from cohortine.functions import vocab as V
 
 
 def one(spark, value, fn, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(fn(F.col("v")).alias("r")).first().r
 
 
-SIZES = [
-    (2.0, "MIKROLITIYAZIS"), (3.0, "MIKROLITIYAZIS"), (3.5, "MIKROLITIYAZIS"), (4.0, "KUCUK"), (5.0, "KUCUK"), (5.5, "KUCUK"),
-    (6.0, "ORTA"), (10.0, "ORTA"), (10.5, "ORTA"), (11.0, "BUYUK"), (19.0, "BUYUK"), (19.9, "BUYUK"), (20.0, "COK_BUYUK"),
-    (55.0, "COK_BUYUK"), (None, None), (float("nan"), None),
-]
+BOUNDS = dict(zip(V.SIZE_CLASSES[1:], V.SIZE_BOUNDS, strict=True))
 
 
-def test_size_class(spark):
-    df = spark.createDataFrame([(m,) for m, _ in SIZES], "mm double")
-    assert [r.c for r in df.select(S.size_class(F.col("mm")).alias("c")).collect()] == [c for _, c in SIZES]
+def test_size_class_changes_at_each_bound(spark):
+    """A tenth below, on, and a tenth above each bound; unknown sizes have no class."""
+    expected = [(None, None), (float("nan"), None), (0.0, V.SIZE_CLASSES[0])]
+    for lower, (upper, bound) in zip(V.SIZE_CLASSES, BOUNDS.items(), strict=False):
+        expected += [(bound - 0.1, lower), (float(bound), upper), (bound + 0.1, upper)]
+    df = spark.createDataFrame([(m,) for m, _ in expected], "mm double")
+    assert [r.c for r in df.select(S.size_class(F.col("mm")).alias("c")).collect()] == [c for _, c in expected]
 
 
-ZONES = [
-    ("SAĞ ALT ZON", "RIGHT", "LOWER", False, None), ("SOL ORTA-ÜST ZON", "LEFT", "MID_UPPER", False, None),
-    ("SOL ORTA ALT ZON", "LEFT", "MID_LOWER", False, None), ("SAĞ OR", "RIGHT", "MID", True, None),
-    ("AT NALI BÖBREK MEVCUT", "UNKNOWN", "UNKNOWN", False, "HORSESHOE_KIDNEY"), ("sol", "LEFT", "UNKNOWN", True, None),
-    ("KOMPLİKE KİST", "UNKNOWN", "UNKNOWN", False, "COMPLICATED_CYST_HYPERDENSE_LESION"),
-    ("HİPERDENS PİRAMİS", "UNKNOWN", "UNKNOWN", False, "HYPERDENSE_PYRAMID_MIMIC"),
-    ("SA ALT", "RIGHT", "LOWER", False, None), ("", "UNKNOWN", "UNKNOWN", False, None), (None, "UNKNOWN", "UNKNOWN", False, None),
+SIDE_WORDS = {"SAĞ": "RIGHT", "sağ": "RIGHT", "Sağda": "RIGHT", "SA": "RIGHT", "SOL": "LEFT", "solda": "LEFT", "böbrek": "UNKNOWN"}
+ZONE_WORDS = {
+    "alt": "LOWER", "ÜST": "UPPER", "Orta": "MID", "orta-üst": "MID_UPPER", "ORTA ÜST": "MID_UPPER", "orta-alt": "MID_LOWER", "Orta alt pol": "MID_LOWER", "kaliks": "UNKNOWN",
+}
+ODD_CELLS = [
+    ("\u00a0sol or\t", "LEFT", "MID", True, None, "sol or"), ("at nalı böbrek", "UNKNOWN", "UNKNOWN", False, "HORSESHOE_KIDNEY", "at nalı böbrek"),
+    ("çok sayıda, tek büyük taş gibi", "UNKNOWN", "UNKNOWN", False, "MANY_SMALL_STONES_MIMIC_LARGE", "çok sayıda, tek büyük taş gibi"),
+    ("sol hiperdens piramis ", "UNKNOWN", "UNKNOWN", False, "HYPERDENSE_PYRAMID_MIMIC", "sol hiperdens piramis"),
+    ("SAĞ ALT LEZYON", "UNKNOWN", "UNKNOWN", False, "COMPLICATED_CYST_HYPERDENSE_LESION", "SAĞ ALT LEZYON"),
+    ("  ", "UNKNOWN", "UNKNOWN", False, None, None), (None, "UNKNOWN", "UNKNOWN", False, None, None),
 ]
 
 
-@pytest.mark.parametrize("raw,side,zone,inferred,anomaly", ZONES)
-def test_zone_cell(spark, raw, side, zone, inferred, anomaly):
-    z = one(spark, raw, L.parse_zone_cell)
-    assert (z.side, z.zone, z.zone_inferred, z.anomaly) == (side, zone, inferred, anomaly)
+def test_zone_cells(spark):
+    """Every side with every zone, then odd cells; the struct and the plain columns agree."""
+    cells = [(f"{s} {z}", side, zone, zone == "UNKNOWN" and side != "UNKNOWN", None, None) for s, side in SIDE_WORDS.items() for z, zone in ZONE_WORDS.items()] + ODD_CELLS
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cells)], "i int, cell string").coalesce(1)
+    expected = [c[1:] for c in cells]
+    assert [tuple(r.z) for r in df.select("i", L.parse_zone_cell(F.col("cell")).alias("z")).orderBy("i").collect()] == expected
+    assert [tuple(r)[2:] for r in L.with_zone(df, F.col("cell")).orderBy("i").collect()] == expected
+
 
+CUES = {"İki taraflı olarak": "BILATERAL", "Her  iki böbrekte": "BILATERAL", "bilateral": "BILATERAL", "sağ böbrekte": "RIGHT", "Sol böbrek": "LEFT", "sol iki böbrekte": "LEFT", "üreterde": None}
+LARGEST = {"büyüğü sol üst zonda 3,5 mm": ("LEFT", "UPPER", 3.5), "Büyüğü sağ alt zonunda 41 mm": ("RIGHT", "LOWER", 41.0), "büyüğü orta zonda 12.25 mm": (None, "MID", 12.25), "taş": ("UNKNOWN", "UNKNOWN", None)}
+NUMBERS = {"i2 adet": (12, True), "3 adet": (3, False), "çok adet": (None, False), "2O0adet": (200, True)}
 
-def test_free_text(spark):
-    f = one(spark, "her iki böbrekte büyüğü sağ orta zonda 7 mm boyutta olmak üzere 1O adet taş dansitesi izlendi.", L.parse_free_text)
-    assert (f.declared_count, f.count_repaired, f.laterality_cue, f.largest_side, f.largest_zone, f.largest_mm) == (10, True, "BILATERAL", "RIGHT", "MID", 7.0)
-    f = one(spark, "sol iki böbrekte büyüğü alt zonda 15 mm boyutta olmak üzere5 adet taş dansitesi izlendi.", L.parse_free_text)
-    assert (f.laterality_cue, f.laterality_ambiguous, f.declared_count, f.largest_side) == ("LEFT", True, 5, "LEFT")
-    f = one(spark, "sağ böbrekte büyüğü orta zonda 20 mm boyutta olmak üzere 5 adet taş dansitesi izlendi.", L.parse_free_text)
-    assert (f.laterality_cue, f.largest_side) == ("RIGHT", "RIGHT")
-    assert one(spark, None, L.parse_free_text).laterality_cue is None
 
+def test_free_texts(spark):
+    """Every cue with every largest finding and every count; an unnamed side is that of a one-sided cue."""
+    cases = []
+    for (c, cue), (g, (side, zone, mm)), (n, (count, repaired)) in itertools.product(CUES.items(), LARGEST.items(), NUMBERS.items()):
+        named = side if side is not None else cue if cue in ("RIGHT", "LEFT") else "UNKNOWN"
+        cases.append((f"{c} {g}, {n} izlendi", (cue, c == "sol iki böbrekte", named, zone, mm, count, repaired)))
+    cases += [("", (None, False, "UNKNOWN", "UNKNOWN", None, None, False)), (None, (None, False, "UNKNOWN", "UNKNOWN", None, None, False))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").coalesce(1)
+    assert [tuple(r.f) for r in df.select("i", L.parse_free_text(F.col("t")).alias("f")).orderBy("i").collect()] == [c for _, c in cases]
 
-def test_findings(spark):
-    text = "SAĞ ALT ZON yerleşimli, 6.0 mm (Orta boy taş); SOL ÜST ZON yerleşimli, 12.0 mm (Büyük taş); izlem"
-    a, b, c = one(spark, text, L.parse_findings)
-    assert (a.parsed, a.side, a.zone, a.size_mm, a.size_class_text) == (True, "RIGHT", "LOWER", 6.0, "Orta boy taş")
-    assert (b.side, b.zone, b.size_mm) == ("LEFT", "UPPER", 12.0)
-    assert (c.parsed, c.raw, c.side) == (False, "izlem", None)
-    (d,) = one(spark, "AT NALI BÖBREK MEVCUT yerleşimli, boyut belirtilmemiş (Bilinmiyor)", L.parse_findings)
-    assert (d.parsed, d.size_mm, d.anomaly) == (True, None, "HORSESHOE_KIDNEY")
+
+def test_finding_rows(spark):
+    """Parts as they are written, broken by lines, without sizes, and what is no finding."""
+    texts = [
+        "Sol alt  yerleşimli,  4,5 mm (Küçük taş) ;\n sağ or yerleşimli, boyut yok ( Bilinmiyor );; kontrol;", " ; ", None,
+        "at nalı böbrek yerleşimli, 3 mm (x (y))", "SAĞ\nALT yerleşimli, 5 mm (z)", "sol yerleşimli,\u00a07 mm(k)",
+    ]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "i int, t string, side0 string")
+    got = [tuple(r) for r in L.finding_rows(df, "t").orderBy("i", "pos").select("i", "pos", "parsed", "zone_raw", "side", "zone", "zone_inferred", "anomaly", "note", "size_mm", "size_text", "size_class_text").collect()]
+    blank = (False, *[None] * 9)
+    assert got == [
+        (0, 0, True, "Sol alt", "LEFT", "LOWER", False, None, None, 4.5, "4,5 mm", "Küçük taş"), (0, 1, True, "sağ or", "RIGHT", "MID", True, None, "sağ or", None, "boyut yok", "Bilinmiyor"), (0, 2, *blank),
+        (3, 0, True, "at nalı böbrek", "UNKNOWN", "UNKNOWN", False, "HORSESHOE_KIDNEY", "at nalı böbrek", 3.0, "3 mm", "x (y)"), (4, 0, *blank), (5, 0, True, "sol", "LEFT", "UNKNOWN", True, None, None, 7.0, "7 mm", "k"),
+    ]
+    raw = [r.raw for r in L.finding_rows(df, "t").where("NOT parsed").orderBy("i").collect()]
+    assert raw == ["kontrol", "SAĞ\nALT yerleşimli, 5 mm (z)"]
 
 
 def test_name_line(spark):
-    out = one(spark, "Hasta: AYSE YILMAZ\nBulgular: SAĞ ALT ZON...\nSonuç: 5 adet.", lambda c: L.mask_name_line(c, F.lit("KS0042")))
-    assert out == "Hasta: KS0042\nBulgular: SAĞ ALT ZON...\nSonuç: 5 adet."
+    out = one(spark, "No 7\n\t Hasta  :X Y Z\nBulgular: yok. Hasta iyi.", lambda c: L.mask_name_line(c, F.lit("case-9")))
+    assert out == "No 7\nHasta: case-9\nBulgular: yok. Hasta iyi."
 
 
 def test_names(spark):
