@@ -1,7 +1,7 @@
 """Fact sets to reports and back, as whole-table jobs.
 
-Rendering and parsing work row by row on built-in expressions and need no shuffle; only
-the collection of a case's findings into its own record does.
+Rendering works row by row on built-in expressions and needs no shuffle. Parsing takes sentences
+and findings as rows and gathers those of a case into its own record.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortine.functions import phrases as P
 from cohortine.functions import reports as R
 from cohortine.functions import vocab as V
 from cohortine.functions.scalars import lookup, size3
@@ -67,27 +68,46 @@ def render_reports(facts: DataFrame, lang: str, seed: int) -> DataFrame:
     return out.withColumn("report", R.full_report(F.col("findings"), F.col("impression"), lang))
 
 
+def sentence_rows(texts: DataFrame, keep: Sequence[str], text: str, lang: str) -> DataFrame:
+    """A row for each described finding of each findings sentence (one without findings has one row): pos, low, side, and
+    zone, mm and cls. Every step is a plain column."""
+    s = texts.select(*keep, F.posexplode_outer(R.sentence_parts(R.findings_section(F.col(text)))).alias("pos", "sentence"))
+    s = s.withColumn("low", F.lower("sentence"))
+    s = s.withColumn("side", R.sentence_side(F.col("low"), lang))
+    found = F.when(F.col("side").isNotNull(), F.regexp_extract_all("sentence", F.lit(P.clause_pattern(lang)), F.lit(0)))
+    s = s.select(*keep, "pos", "low", "side", F.explode_outer(found).alias("clause"))
+    return s.select(*keep, "pos", "low", "side", *(c.alias(k) for k, c in R.clause_fields(F.col("clause"), lang).items()))
+
+
 def parse_reports(texts: DataFrame, lang: str, text: str = "report", carry: Sequence[str] = ()) -> DataFrame:
-    """Fact set of every report text; case_id and the ``carry`` columns are kept."""
-    keep = ["case_id", *carry]
-    s = texts.select(
-        *keep, R.parse_sentences(F.col(text), lang).alias("__s"), R.impression_section(F.col(text)).alias("__i")
+    """Fact set of every report text; case_id, which tells the texts apart, and the ``carry`` columns are kept.
+
+    Sentences and findings are rows; the findings of a case come back together by one aggregation on case_id. A total or
+    "many" of the impression counts only where the findings state no total.
+    """
+    keep = ["case_id", *carry, "__i"]
+    rows = sentence_rows(texts.withColumn("__i", F.lower(R.impression_section(F.col(text)))), keep, text, lang)
+    low = F.col("low")
+    total = R.stated_total(low, "findings", lang)
+    side = lambda name: F.collect_list(F.when((F.col("side") == name) & F.col("zone").isNotNull(), F.struct("zone", "mm", "cls")))
+    named = lambda name: F.coalesce(F.bool_or(F.col("side") == name), F.lit(False))
+    says = lambda phrase: F.coalesce(F.bool_or(low.contains(phrase)), F.lit(False))
+    s = rows.groupBy("case_id").agg(
+        *(F.any_value(c).alias(c) for c in (*carry, "__i")),
+        side("RIGHT").alias("__r"), side("LEFT").alias("__l"), named("RIGHT").alias("__rn"), named("LEFT").alias("__ln"),
+        F.max_by(total, F.when(total.isNotNull(), F.col("pos"))).alias("__t"), says(P.MANY["findings"][lang]).alias("__m"),
+        *(says(cue).alias(f"__{name}") for name, cue in P.CUES[lang].items()),
     )
-    right, right_named = R.side_of(F.col("__s"), "RIGHT")
-    left, left_named = R.side_of(F.col("__s"), "LEFT")
-    total, many = R.parse_totals(F.col("__s"), F.col("__i"), lang)
+    stated = F.coalesce(R.stated_total(F.col("__i"), "impression", lang), F.when(F.col("__i").contains(P.SINGLE[lang]), 1))
     s = s.select(
-        *keep,
-        R.kidney_facts(right, right_named).alias("right"),
-        R.kidney_facts(left, left_named).alias("left"),
-        total.alias("__t"),
-        many.alias("__m"),
-        R.parse_anomalies(F.col("__s"), lang).alias("anomalies"),
+        "case_id", *carry, R.kidney_facts(F.col("__r"), F.col("__rn")).alias("right"), R.kidney_facts(F.col("__l"), F.col("__ln")).alias("left"),
+        F.coalesce("__t", stated).alias("__t"), (F.col("__m") | (F.col("__t").isNull() & F.col("__i").contains(P.MANY["impression"][lang]))).alias("__m"),
+        F.sort_array(F.array_compact(F.array(*(F.when(F.col(f"__{name}"), name) for name in P.CUES[lang])))).alias("anomalies"),
     )
     n = F.col("right.n_characterized") + F.col("left.n_characterized")
     r, l = F.col("right.present"), F.col("left.present")
     return s.select(
-        *keep,
+        "case_id", *carry,
         F.when(r & l, "BILATERAL").when(r, "RIGHT").when(l, "LEFT").otherwise("NONE").alias("laterality"),
         F.when(~F.col("__m"), F.coalesce("__t", F.nullif(n, F.lit(0)))).alias("total_n"),
         F.when(F.col("__m"), "MANY").otherwise("EXACT").alias("total_qualifier"),
@@ -130,10 +150,7 @@ def round_trip(
     top_facts: Sequence[str] = TOP_FACTS,
     side_facts: Sequence[str] = SIDE_FACTS,
 ) -> DataFrame:
-    """Facts -> text -> facts, with the differences and the length of the text per case.
-
-    Everything stays in the row of the case, so the gate costs no shuffle of its own.
-    """
+    """Facts -> text -> facts, with the differences and the length of the text per case."""
     rendered = render_reports(facts, lang, seed).select(
         "case_id", "report", F.struct(*FACTS).alias("a"), F.length("report").alias("n_chars")
     )
