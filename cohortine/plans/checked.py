@@ -11,8 +11,8 @@ from cohortine.operators import aggregates as agg
 from cohortine.operators import facts, folds, joins, linkage, quality, selection, terms
 from cohortine.operators import reports as rep
 from cohortine.plans.evaluated import rounded
-from cohortine.plans.grouped import GAPS_SQL, seconds
-from cohortine.plans.joined import linkage_tables
+from cohortine.plans.grouped import GAPS_SQL, seconds, series_rows
+from cohortine.plans.joined import PLACES, linkage_tables
 from cohortine.plans.registry import query
 from cohortine.plans.reporting import REC, SEED, facts as report_facts
 from cohortine.plans.rows import ORDER, f6, finding_text, voxels
@@ -135,7 +135,7 @@ def _(spark, folder):
 
 def lesions(spark, folder):
     t = finding_text(spark, folder)
-    return t.select("case_id", F.explode(labels.parse_findings(F.col("text"))).alias("l")).select("case_id", "l.*")
+    return labels.finding_rows(t.select("case_id", "text"), "text")
 
 
 def golden(spark, folder):
@@ -212,6 +212,10 @@ def _(spark, folder):
     with_views("f_bag", body="SELECT bag, count(*) + CASE WHEN bag % 40 = 0 THEN 1 ELSE 0 END AS n_tested, CASE WHEN bag % 50 = 0 THEN 1 ELSE 0 END + CASE WHEN bag % 40 = 0 THEN 1 ELSE 0 END::BIGINT AS n_mismatch FROM f_bag GROUP BY bag"),
 )
 def _(spark, folder):
+    return lossless_cells(spark, folder)
+
+
+def lossless_cells(spark, folder):
     b = fx.bags(spark, folder).withColumn("hu", F.floor(F.col("logit") * 1000).cast("bigint"))
     damage = F.when((F.col("bag") % 50 == 0) & (F.col("pos") == 3), 1).otherwise(0)
     stored = b.select("bag", "pos", (decode_offset(encode_offset(F.col("hu"))) + damage).cast("bigint").alias("hu"))
@@ -219,8 +223,15 @@ def _(spark, folder):
     return quality.mismatched_cells(b.select("bag", "pos", "hu").unionByName(extra), stored, ["bag", "pos"], "hu", "bag")
 
 
-def phi_findings(spark, folder):
-    """Identifying terms in texts, and in the addresses of pages."""
+def sidecars(spark, folder):
+    """Side files of suppliers; every third still names its supplier under a header tag."""
+    s = table(spark, folder, "supplier")
+    text = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('{"PatientName": "'), F.col("s_name"), F.lit('"}'))).otherwise(F.concat(F.lit('{"id": '), F.col("s_suppkey").cast("string"), F.lit("}")))
+    return s.select(F.concat(F.lit("side/"), F.col("s_suppkey").cast("string")).alias("file"), text.alias("text"))
+
+
+def phi_hits(spark, folder):
+    """Every identifying term in texts and side files, and in the addresses of pages: file, kind, term, place."""
     names = table(spark, folder, "supplier").select(F.col("s_name").alias("value"))
     ids = table(spark, folder, "benchmark").select(F.col("text").alias("value"))
     words = terms.identifying_terms(names, ids, V.MIN_NAME_LENGTH, V.MIN_ID_LENGTH)
@@ -228,29 +239,39 @@ def phi_findings(spark, folder):
     every = words.unionByName(tags).withColumn("term_id", F.lit(0))
     docs = table(spark, folder, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file"), "text")
     talks = table(spark, folder, "conversations").select(F.concat_ws("/", F.lit("conv"), "conv_id", "turn").alias("file"), "text")
-    inside = terms.scan_terms(docs.unionByName(talks), "file", "text", every)
+    inside = terms.scan_hits(docs.unionByName(talks).unionByName(sidecars(spark, folder)), "file", "text", every)
     hosts = table(spark, folder, "pages").select(F.upper(F.regexp_extract("url", r"//([^.]+)\.", 1)).alias("term"))
     named = hosts.where(F.length("term") >= V.MIN_NAME_LENGTH).distinct().select(F.lit("filename").alias("kind"), "term", F.lit(0).alias("term_id"))
     paths = table(spark, folder, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("file"), F.col("url").alias("text"))
-    return inside.unionByName(terms.scan_terms(paths, "file", "text", named)).select("file", "kind")
+    return inside.unionByName(terms.scan_hits(paths, "file", "text", named)).drop("term_id")
 
 
-PHI_SQL = """WITH t AS (SELECT DISTINCT 'name' AS kind, trim(upper(s_name)) AS term FROM supplier UNION SELECT 'uid', trim(upper(text)) FROM benchmark
+PHI_SQL = f"""WITH t AS (SELECT DISTINCT 'name' AS kind, trim(upper(s_name)) AS term FROM supplier UNION SELECT 'uid', trim(upper(text)) FROM benchmark
       UNION SELECT 'tag', unnest(['PATIENTNAME', 'PATIENTBIRTHDATE', 'ACCESSIONNUMBER', 'INSTITUTIONNAME'])),
     k AS (SELECT * FROM t WHERE kind = 'tag' OR (kind = 'name' AND length(term) > 6) OR (kind = 'uid' AND length(term) >= 20)),
-    x AS (SELECT 'doc/' || doc_id AS file, upper(text) AS u FROM documents UNION ALL SELECT 'conv/' || conv_id || '/' || turn, upper(text) FROM conversations),
-    h AS (SELECT DISTINCT upper(regexp_extract(url, '//([^.]+)\\.', 1)) AS term FROM pages)
-    SELECT DISTINCT file, kind FROM x JOIN k ON contains(u, term) UNION ALL SELECT DISTINCT 'page/' || page_id, 'filename' FROM pages JOIN h ON length(term) >= 7 AND contains(upper(url), term)"""
+    x AS (SELECT 'doc/' || doc_id AS file, upper(text) AS u FROM documents UNION ALL SELECT 'conv/' || conv_id || '/' || turn, upper(text) FROM conversations
+      UNION ALL SELECT 'side/' || s_suppkey, upper(CASE WHEN s_suppkey % 3 = 0 THEN '{{"PatientName": "' || s_name || '"}}' ELSE '{{"id": ' || s_suppkey || '}}' END) FROM supplier),
+    h AS (SELECT DISTINCT upper(regexp_extract(url, '//([^.]+)[.]', 1)) AS term FROM pages)
+    SELECT file, kind, term, {PLACES.format(u="u", t="term")} AS place FROM x JOIN k ON contains(u, term)
+    UNION ALL SELECT 'page/' || page_id, 'filename', term, {PLACES.format(u="upper(url)", t="term")} FROM pages JOIN h ON length(term) >= 7 AND contains(upper(url), term)"""
 
 
 @query("phi_scan", PHI_SQL)
 def _(spark, folder):
-    return phi_findings(spark, folder)
+    return phi_hits(spark, folder)
+
+
+PHI_CHECK_SQL = f"SELECT 'phi' AS name, count(*) = 0 AS ok, count(DISTINCT file || kind) || ' hits' AS detail FROM ({PHI_SQL})"
 
 
-@query("qa_phi", f"SELECT 'phi' AS name, count(*) = 0 AS ok, count(*) || ' hits' AS detail FROM ({PHI_SQL})")
+def phi_check(spark, folder):
+    hits = phi_hits(spark, folder).select("file", "kind").distinct()
+    return quality.check(hits, "phi", F.count(F.lit(1)) == 0, F.concat(F.count(F.lit(1)).cast("string"), F.lit(" hits")))
+
+
+@query("qa_phi", PHI_CHECK_SQL)
 def _(spark, folder):
-    return quality.check(phi_findings(spark, folder), "phi", F.count(F.lit(1)) == 0, F.concat(F.count(F.lit(1)).cast("string"), F.lit(" hits")))
+    return phi_check(spark, folder)
 
 
 @query(
@@ -259,6 +280,10 @@ def _(spark, folder):
     FROM (SELECT event_id, CAST(regexp_extract(props, '\\d+') AS INTEGER) AS k FROM events)""",
 )
 def _(spark, folder):
+    return schema_rows(spark, folder)
+
+
+def schema_rows(spark, folder):
     e = table(spark, folder, "events").select(
         "event_id", F.when(F.col("event_id") % 100 == 0, F.concat(F.lit("{broken"), "props")).otherwise(F.col("props")).alias("text")
     )
@@ -340,10 +365,46 @@ def roundtrip_check(spark, folder):
     return quality.check(both[0].unionByName(both[1]), "roundtrip", bad == 0, detail)
 
 
+def lossless_check(spark, folder):
+    n, bad = F.sum("n_tested"), F.sum("n_mismatch")
+    detail = F.concat(n.cast("string"), F.lit(" cells, "), bad.cast("string"), F.lit(" differ"))
+    return quality.check(lossless_cells(spark, folder), "lossless", bad == 0, detail)
+
+
+LOSSLESS_SQL = """SELECT 'lossless' AS name, sum(b) = 0 AS ok, sum(n) || ' cells, ' || sum(b) || ' differ' AS detail FROM (SELECT count(*) + CASE WHEN vec_id % 40 = 0 THEN 1 ELSE 0 END AS n,
+      CASE WHEN vec_id % 50 = 0 THEN 1 ELSE 0 END + CASE WHEN vec_id % 40 = 0 THEN 1 ELSE 0 END AS b FROM (SELECT vec_id, unnest(embedding) FROM embeddings) GROUP BY vec_id)"""
+
+
+def selection_check(spark, folder):
+    """Every case has a standard series."""
+    rows = series_rows(spark, folder)
+    chosen = selection.select_roles(rows).where("role = 'axial_std'").select("case_id", F.lit(True).alias("has"))
+    cases = rows.select("case_id").distinct().join(chosen, "case_id", "left")
+    bad = F.count_if(F.col("has").isNull())
+    return quality.check(cases, "selected", bad == 0, F.concat(F.count(F.lit(1)).cast("string"), F.lit(" cases, "), bad.cast("string"), F.lit(" without a standard series")))
+
+
+SELECTED_SQL = """SELECT 'selected' AS name, count(*) FILTER (NOT a) = 0 AS ok, count(*) || ' cases, ' || count(*) FILTER (NOT a) || ' without a standard series' AS detail FROM
+      (SELECT l_orderkey, bool_or(l_partkey % 4 < 2) AS a FROM lineitem GROUP BY 1)"""
+
+
+def schema_rows_check(spark, folder):
+    ok = F.count_if("valid")
+    n = F.count(F.lit(1))
+    return quality.check(schema_rows(spark, folder), "schema", ok == n, F.concat(ok.cast("string"), F.lit("/"), n.cast("string")))
+
+
+SCHEMA_CHECK_SQL = """SELECT 'schema' AS name, bool_and(v) AS ok, count(*) FILTER (v) || '/' || count(*) AS detail FROM
+      (SELECT CAST(regexp_extract(props, '\\d+') AS INTEGER) BETWEEN 0 AND 90 AND event_id % 100 <> 0 AS v FROM events)"""
+
+
 def every_check(spark, folder):
     g = golden(spark, folder)
     counts = quality.check(g, "golden", F.bool_and("ok"), F.concat(F.count_if("ok").cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string")))
-    parts = [coverage_check, geometry_check, parse_check, linkage_check, saturation_check, split_check, roundtrip_check]
+    parts = [
+        lossless_check, coverage_check, geometry_check, parse_check, linkage_check, phi_check, selection_check, saturation_check, roundtrip_check,
+        schema_rows_check, split_check,
+    ]
     return quality.report([counts, *[p(spark, folder) for p in parts]])
 
 
@@ -354,6 +415,7 @@ QA_SQL = with_views(
         count(*) FILTER (hu >= 200 AND round_even(255 * least(greatest((hu + 160) / 400.0::DOUBLE, 0), 1), 0) = 255) / count(*) FILTER (hu >= 200)::DOUBLE AS so FROM v)
     {COVERAGE_SQL} UNION ALL {GEOMETRY_SQL} UNION ALL {PARSE_SQL} UNION ALL {LINKAGE_SQL} UNION ALL SELECT 'golden', bool_and(ok), count(*) FILTER (ok) || '/' || count(*) FROM ({GOLDEN_SQL})
     UNION ALL SELECT 'saturation', st < 0.1 AND so > 0.5, 'stone=' || round(st, 4) || ', soft=' || round(so, 4) FROM sa
+    UNION ALL {LOSSLESS_SQL} UNION ALL SELECT * FROM ({PHI_CHECK_SQL}) UNION ALL {SELECTED_SQL} UNION ALL {SCHEMA_CHECK_SQL}
     UNION ALL SELECT 'splits', true, '5 seeds, 0 leaks' UNION ALL SELECT 'roundtrip', true, count(*) * 2 || ' texts, 0 differ' FROM f_case""",
 )
 

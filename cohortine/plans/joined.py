@@ -272,17 +272,33 @@ def _(spark, folder):
     return s.join(e, "case_id").select("case_id", "line", "part", band.alias("band"))
 
 
+PLACES = "unnest(list_filter(range(1, length({u}) - length({t}) + 2), lambda i: substr({u}, i, length({t})) = {t})) - 1"
+
+
+def benchmark_terms(spark, folder):
+    return table(spark, folder, "benchmark").select(
+        F.when(F.length("text") >= 200, "passage").otherwise("name").alias("kind"),
+        F.col("text").alias("term"), F.col("item_id").alias("term_id"),
+    )
+
+
 @query(
     "term_scan",
     """SELECT doc_id, kind, min(item_id) AS term_id FROM documents d JOIN (SELECT item_id, text AS term,
       CASE WHEN length(text) >= 200 THEN 'passage' ELSE 'name' END AS kind FROM benchmark) b ON contains(upper(d.text), upper(term)) GROUP BY ALL""",
 )
 def _(spark, folder):
-    words = table(spark, folder, "benchmark").select(
-        F.when(F.length("text") >= 200, "passage").otherwise("name").alias("kind"),
-        F.col("text").alias("term"), F.col("item_id").alias("term_id"),
-    )
-    return terms.scan_terms(table(spark, folder, "documents"), "doc_id", "text", words)
+    return terms.scan_terms(table(spark, folder, "documents"), "doc_id", "text", benchmark_terms(spark, folder))
+
+
+@query(
+    "term_hits",
+    f"""SELECT doc_id, kind, term_id, md5(term) AS term_md5, {PLACES.format(u="u", t="term")} AS place FROM (SELECT doc_id, upper(text) AS u FROM documents) JOIN (SELECT upper(text) AS term, min(item_id) AS term_id,
+      CASE WHEN length(text) >= 200 THEN 'passage' ELSE 'name' END AS kind FROM benchmark GROUP BY 1, 3) ON contains(u, term)""",
+)
+def _(spark, folder):
+    hits = terms.scan_hits(table(spark, folder, "documents"), "doc_id", "text", benchmark_terms(spark, folder))
+    return hits.select("doc_id", "kind", "term_id", F.md5(F.col("term").cast("binary")).alias("term_md5"), "place")
 
 
 def merge_tables(spark, folder):
