@@ -143,6 +143,88 @@ def _(spark, folder):
     return ledger.stale(fx.cases(spark, folder).select("case_id"), built, "case_id", "1.1.0")
 
 
+@query(
+    "rebuilt_cases",
+    with_views("f_case", body="""SELECT site, case_id, CASE WHEN site IN ('2-HIGH', '4-NOT SPECIFIED', '5-LOW') THEN '1.1.0' ELSE '1.2.0' END AS version, 'D' || study_date AS label FROM f_case
+      WHERE site <> '4-NOT SPECIFIED' OR case_id % 2 = 0"""),
+)
+def _(spark, folder):
+    """Two sites are out of date: one has new cases, one was built by an older version; the others keep their files."""
+    c = fx.cases(spark, folder)
+    build = lambda d: d.select("site", "case_id", F.concat(F.lit("D"), "study_date").alias("label"))
+    path = f"{inventory.scratch_folder(spark)}/cases"
+    some = c.where("site <> '4-NOT SPECIFIED' OR case_id % 2 = 0")
+    ledger.rebuild(some.where("site <> '3-MEDIUM'"), path, "site", "case_id", "1.1.0", build)
+    old = F.col("site").isin("1-URGENT", "3-MEDIUM")
+    ledger.rebuild(some.where(old), f"{path}-new", "site", "case_id", "1.2.0", build)
+    kept = spark.read.parquet(path).where(~old)
+    return kept.unionByName(spark.read.parquet(f"{path}-new")).select("site", "case_id", "version", "label")
+
+
+@query(
+    "ragged_union",
+    """SELECT 'a' AS part, conv_id::VARCHAR AS conv_id, role, NULL AS text_md5, turn::VARCHAR AS turn FROM conversations WHERE conv_id % 3 = 0
+    UNION ALL SELECT 'b', conv_id::VARCHAR, NULL, md5(text), turn::VARCHAR FROM conversations WHERE conv_id % 3 = 1 UNION ALL SELECT 'c', conv_id::VARCHAR, role, md5(text), NULL FROM conversations WHERE conv_id % 3 = 2""",
+)
+def _(spark, folder):
+    """Three headers in one folder; the texts hold line breaks and quotes."""
+    c, path = table(spark, folder, "conversations"), inventory.scratch_folder(spark)
+    for rest, columns in enumerate((["conv_id", "turn", "role"], ["text", "conv_id", "turn"], ["role", "conv_id", "text"])):
+        inventory.write_csv(c.where(F.col("conv_id") % 3 == rest).select(*columns), f"{path}/part={'abc'[rest]}")
+    back = inventory.read_ragged(spark, f"{path}/part=*/*.csv")
+    part = F.when(F.col("role").isNull(), "b").when(F.col("text").isNull(), "a").otherwise("c")
+    return back.select(part.alias("part"), "conv_id", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), "turn")
+
+
+@query(
+    "sheet_rows",
+    """SELECT o_orderkey AS source_key, count(*) OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS row_index, 'P' || o_custkey || ', "x"' AS name, o_orderstatus AS status FROM orders WHERE o_custkey % 11 > 0""",
+)
+def _(spark, folder):
+    """Sheets with two lines above their header; rows without a name are dropped, the others keep their order."""
+    o = table(spark, folder, "orders")
+    name = F.when(F.col("o_custkey") % 11 > 0, F.concat(F.lit('"P'), F.col("o_custkey").cast("string"), F.lit(', ""x"""'))).otherwise("")
+    body = o.select((F.col("o_orderkey") % 4).alias("sheet"), "o_orderkey", F.concat_ws(",", "o_orderkey", name, "o_orderstatus").alias("value"))
+    lines = [(-3, "A title"), (-2, ""), (-1, "key,AD SOYAD,status")]
+    top = spark.createDataFrame([(sheet, *line) for sheet in range(4) for line in lines], "sheet long, o_orderkey long, value string")
+    path = f"{inventory.scratch_folder(spark)}/sheet"
+    ordered = body.union(top).repartition("sheet").sortWithinPartitions("sheet", "o_orderkey").select("sheet", "value")
+    ordered.write.partitionBy("sheet").text(path)
+    rows = inventory.read_sheet(spark, f"{path}/sheet=*", "AD SOYAD", 2)
+    return rows.select(F.col("key").cast("bigint").alias("source_key"), "row_index", F.col("AD SOYAD").alias("name"), "status")
+
+
+@query(
+    "prediction_rows",
+    """SELECT 'e9_s1_' || event_type || '_sst' AS config, 'size3' AS task, CAST(user_id % 5 AS INTEGER) AS seed, CAST(day(ts) % 5 AS INTEGER) AS fold, event_id, round(value, 2) AS prob FROM events""",
+)
+def _(spark, folder):
+    """One file for each run, named by its keys; the keys come back from the names."""
+    e = table(spark, folder, "events")
+    name = F.concat(F.lit("e9_s1_"), "event_type", F.lit("_sst_size3_s"), (F.col("user_id") % 5).cast("string"), F.lit("_f"), (F.dayofmonth("ts") % 5).cast("string"))
+    path = f"{inventory.scratch_folder(spark)}/predictions"
+    inventory.write_predictions(e.select("event_id", F.round("value", 2).alias("prob"), name.alias("name")), path, "name")
+    back = inventory.read_predictions(spark, f"{path}/*.csv", "event_id bigint, prob double")
+    return back.select("config", "task", "seed", "fold", "event_id", "prob")
+
+
+@query(
+    "gated_export",
+    """WITH d AS (SELECT count(DISTINCT d.doc_id) AS n FROM documents d JOIN benchmark b ON contains(upper(d.text), upper(b.text))), p AS (SELECT count(*) AS n FROM orders o JOIN benchmark b ON contains(upper(o.o_orderpriority), upper(b.text)))
+    SELECT 'documents' AS batch, d.n AS n_findings, CASE WHEN d.n = 0 THEN (SELECT count(*) FROM documents) ELSE 0 END AS n_written FROM d UNION ALL SELECT 'orders', p.n, CASE WHEN p.n = 0 THEN (SELECT count(*) FROM orders) ELSE 0 END FROM p""",
+)
+def _(spark, folder):
+    """Documents hold passages of the benchmark and are held back; orders hold none and are written."""
+    words = table(spark, folder, "benchmark").select(F.lit("passage").alias("kind"), F.col("text").alias("term"), F.col("item_id").alias("term_id"))
+    batches = {"documents": ("doc_id", "text"), "orders": ("o_orderkey", "o_orderpriority")}
+    path, out = inventory.scratch_folder(spark), []
+    for name, (key, text) in batches.items():
+        rows = table(spark, folder, name)
+        state = export.gated_export(rows, lambda d, key=key, text=text: scan_terms(d, key, text, words), f"{path}/{name}")
+        out.append((name, state["n_findings"], spark.read.parquet(f"{path}/{name}").count() if state["written"] else 0))
+    return spark.createDataFrame(out, "batch string, n_findings long, n_written long")
+
+
 @query(
     "public_projection",
     """SELECT substr(sha256('salt' || o_orderkey), 1, 16) AS series_uid_hash, substr(sha256('salt' || o_custkey), 1, 16) AS study_uid_hash, o_orderpriority AS collection, o_orderstatus AS status FROM orders""",

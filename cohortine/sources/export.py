@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortine.functions import vocab as V
 from cohortine.functions.scalars import salted_hash
+from cohortine.sources import files
 
 
 def public_projection(
@@ -51,9 +53,21 @@ def gate(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count(F.lit(1)).alias("n_findings")).withColumn("clean", F.col("n_findings") == 0)
 
 
-def export_if_clean(df: DataFrame, findings: DataFrame, path: str) -> bool:
-    """Writes only when there is no finding; tells whether it wrote."""
-    if not findings.isEmpty():
-        return False
-    df.write.mode("overwrite").parquet(path)
-    return True
+def gated_export(df: DataFrame, scan: Callable[[DataFrame], DataFrame], target: str) -> dict[str, int | bool]:
+    """Publish rows at ``target`` only if nothing is found in them; what stands there stays until then.
+
+    The rows are written once, beside the target, and the scan reads what was written, so what is published is what was
+    scanned. On a finding the staged rows go and the target is as before. Tells n_rows, n_findings and written.
+    """
+    spark = df.sparkSession
+    staged = f"{target.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    try:
+        rows = spark.read.schema(df.schema).parquet(staged)
+        n_findings = scan(rows).count()
+        n_rows = rows.count()
+        if n_findings == 0:
+            files.replace(spark, staged, target)
+    finally:
+        files.remove(spark, staged)
+    return {"n_rows": n_rows, "n_findings": n_findings, "written": n_findings == 0}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortine.functions import vocab as V
+from cohortine.sources import files
 
 
 def run_grid(configs: DataFrame, seeds: Sequence[int], folds: int) -> DataFrame:
@@ -31,6 +34,33 @@ def stale(cases: DataFrame, built: DataFrame, key: str, version: str) -> DataFra
     return cases.join(built.where(F.col("version") == version).select(key), key, "left_anti")
 
 
+def rebuild(cases: DataFrame, path: str, block: str, key: str, version: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Bring the table at ``path`` up to ``version`` and tell which blocks were built anew.
+
+    The table is partitioned by ``block`` and carries the version of each row. A block is stale if a case of it has no row of
+    the current version, or if it holds a row of a case that is gone. ``build`` turns cases into rows (block, key, ...);
+    it sees the cases of stale blocks only, and only their folders are replaced. A block whose cases are all gone is emptied.
+    """
+    spark = cases.sparkSession
+    schema = build(cases.limit(0)).withColumn("version", F.lit(version)).schema
+    wanted = cases.select(block, key).distinct()
+    if files.exists(spark, path):
+        built = spark.read.schema(schema).parquet(path)
+        current = built.where(F.col("version") == version).select(block, key).distinct()
+        blocks = wanted.join(current, [block, key], "left_anti").select(block).union(built.join(wanted, [block, key], "left_anti").select(block))
+    else:
+        blocks = wanted.select(block)
+    listed = f"{path.rstrip('/')}.stale-{uuid.uuid4().hex}"
+    blocks.distinct().write.parquet(listed)  # the list must not change while the table does
+    stale_blocks = spark.read.parquet(listed)
+    rows = build(cases.join(stale_blocks, block, "left_semi")).withColumn("version", F.lit(version))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(block).parquet(path)
+    gone = stale_blocks.join(wanted, block, "left_anti")
+    for row in gone.toLocalIterator():  # folders, as a listing of the table would return them
+        files.remove(spark, f"{path.rstrip('/')}/{block}={quote(str(row[0]), safe=' ')}")
+    return stale_blocks
+
+
 def append_runs(rows: DataFrame, path: str) -> None:
     """Appends run rows, one folder per configuration and task, so that readers prune."""
     rows.write.mode("append").partitionBy("config", "task").parquet(path)

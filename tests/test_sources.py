@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cohortine.operators.terms import scan_terms
+from cohortine.operators.terms import scan_hits, scan_terms
 from cohortine.sources import export, inventory, ledger
 from cohortine.streaming.arrivals import collect_arrivals
 
@@ -47,11 +47,92 @@ def test_ledger_appends_and_skips(spark, tmp_path):
     assert [(r.seed, r.fold) for r in left] == [(2, 1)]
 
 
-def test_export_stops_on_a_finding(spark, tmp_path):
-    df, path = spark.range(3), str(tmp_path / "public")
-    assert not export.export_if_clean(df, spark.range(1), path)
-    assert export.export_if_clean(df, spark.range(0), path)
-    assert spark.read.parquet(path).count() == 3
+def test_gated_export_leaves_the_target_alone_on_a_finding(spark, tmp_path):
+    path = str(tmp_path / "public")
+    clean, marked = spark.range(3), spark.range(3, 9)
+    scan = lambda df: df.where("id = 5")
+    assert export.gated_export(marked, scan, path) == {"n_rows": 6, "n_findings": 1, "written": False}
+    assert not (tmp_path / "public").exists()
+    assert export.gated_export(clean, scan, path) == {"n_rows": 3, "n_findings": 0, "written": True}
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "public").iterdir()}
+    assert not export.gated_export(marked, scan, path)["written"]
+    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "public").iterdir()} == before
+    assert export.gated_export(spark.range(7, 9), scan, path)["written"]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [7, 8]
+    assert [f.name for f in tmp_path.iterdir()] == ["public"]  # nothing staged is left
+    try:
+        export.gated_export(clean, lambda df: df.where("absent = 1"), path)
+    except Exception:
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == [7, 8] and [f.name for f in tmp_path.iterdir()] == ["public"]
+    else:
+        raise AssertionError("the scan must fail")
+
+
+def test_rebuild_touches_stale_blocks_only(spark, tmp_path):
+    path, seen = tmp_path / "table", []
+
+    def build(cases):
+        seen.append(None)
+        return cases.select("block", "case_id", (F.col("x") * 2).alias("y"))
+
+    def state():
+        return {f.parent.name: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+    rows = [("a b", 1, 1), ("a b", 2, 2), ("c/d", 3, 3), ("e", 4, 4)]
+    cases = lambda r: spark.createDataFrame(r, "block string, case_id int, x int")
+    blocks = lambda df: sorted(r.block for r in df.collect())
+    assert blocks(ledger.rebuild(cases(rows), str(path), "block", "case_id", "1", build)) == ["a b", "c/d", "e"]
+    first = state()
+    assert blocks(ledger.rebuild(cases(rows), str(path), "block", "case_id", "1", build)) == [] and state() == first
+    more = [*rows, ("e", 5, 5)]
+    assert blocks(ledger.rebuild(cases(more), str(path), "block", "case_id", "1", build)) == ["e"]
+    second = state()
+    changed = {k for k in second if second[k] != first.get(k)}
+    assert changed == {"block=e"} and len(second) == 3
+    # a case that is gone makes its block stale; a block without cases goes
+    assert blocks(ledger.rebuild(cases([more[0], *more[3:]]), str(path), "block", "case_id", "1", build)) == ["a b", "c/d"]
+    got = sorted((r.block, r.case_id, r.y, r.version) for r in spark.read.parquet(str(path)).collect())
+    assert got == [("a b", 1, 2, "1"), ("e", 4, 8, "1"), ("e", 5, 10, "1")]
+    assert blocks(ledger.rebuild(cases(more[3:]), str(path), "block", "case_id", "2", build)) == ["a b", "e"]
+    assert {r.version for r in spark.read.parquet(str(path)).collect()} == {"2"}
+
+
+def test_ragged_files_are_united_by_their_headers(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('a,b\n1,"x\n""y"""\n2,\n', encoding="utf-8-sig")
+    (tmp_path / "2.csv").write_text("b,c\n3,4\n")
+    (tmp_path / "3.csv").write_text("a,b\n5,6\n")
+    (tmp_path / "4.csv").write_text("c\n")
+    rows = inventory.read_ragged(spark, str(tmp_path))
+    assert sorted(rows.columns) == ["a", "b", "c", "file"]
+    got = sorted((r.file, r.a or "", r.b or "", r.c or "") for r in rows.collect())
+    assert got == [("1.csv", "1", 'x\n"y"', ""), ("1.csv", "2", "", ""), ("2.csv", "", "3", "4"), ("3.csv", "5", "6", "")]
+
+
+def test_sheet_rows_are_numbered_across_splits(spark, tmp_path):
+    body = [f'{n},"N, {n}",{n % 3}' if n % 7 else f"{n},,0" for n in range(2000)]
+    for name in ("x.csv", "y.csv"):
+        (tmp_path / name).write_text("\n".join(["Title", "key,name ,key", *body]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = inventory.read_sheet(spark, str(tmp_path), "name ", 1).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    kept = [n for n in range(2000) if n % 7]
+    assert sorted((r.row_index, r.source_row, r.key, r["name "], r["key.1"]) for r in rows) == sorted(
+        (i, n + 2, str(n), f"N, {n}", str(n % 3)) for i, n in enumerate(kept) for _ in range(2)
+    )
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "empty.csv").write_text("")
+    assert inventory.read_sheet(spark, str(tmp_path / "z"), "name ", 1).count() == 0
+
+
+def test_predictions_written_by_name_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a_s1_zone_s3_f0"), (2, "a_s1_zone_s3_f0"), (3, "b_size3_s7_f4"), (4, "no keys")], "id int, name string")
+    inventory.write_predictions(df, str(tmp_path / "p"), "name")
+    assert sorted(f.name for f in (tmp_path / "p").iterdir() if not f.name.startswith(".")) == ["a_s1_zone_s3_f0.csv", "b_size3_s7_f4.csv", "no keys.csv"]
+    rows = inventory.read_predictions(spark, str(tmp_path / "p" / "*.csv"), "id int")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "a_s1", "zone", 3, 0), (2, "a_s1", "zone", 3, 0), (3, "b", "size3", 7, 4)]
 
 
 def test_term_search_equals_brute_force(spark):
@@ -72,6 +153,21 @@ def test_term_search_equals_brute_force(spark):
     assert scan_terms(t.limit(0), "id", "text", w).isEmpty() and scan_terms(t, "id", "text", w.limit(0)).isEmpty()
 
 
+def test_term_hits_hold_every_place(spark):
+    texts = [(1, "Aaaa é Needle NEEDLEneedle"), (2, "ab" * 70_000 + "needle"), (3, ""), (1, "second row: needle"), (None, "needle"), (4, None)]
+    words = [("name", "needle", 3), ("name", "NEEDLE", 2), ("tag", "aa", 1), ("tag", "É", 0), ("uid", "needle needle", 5), ("uid", None, 5)]
+    want = set()
+    for i, t in texts:
+        for kind, w, _ in words:
+            if i is not None and t and w:
+                low = min(n for k, x, n in words if k == kind and x and x.upper() == w.upper())
+                want |= {(i, kind, w.upper(), low, p) for p in range(len(t)) if t.upper().startswith(w.upper(), p)}
+    t = spark.createDataFrame(texts, "id int, text string")
+    w = spark.createDataFrame(words, "kind string, term string, term_id int")
+    rows = [tuple(r) for r in scan_hits(t, "id", "text", w).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
 def test_arrivals_are_taken_once(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     spark.range(3).write.parquet(src)
