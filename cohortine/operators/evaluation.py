@@ -122,19 +122,22 @@ def triplet_scores(preds: DataFrame, stones: DataFrame, zone: str, cls: str, see
     return sums.select("seed", "reference", "tp", "fp", "fn", *precision_recall(tp, fp, fn), "no_size_pred")
 
 
-def field_scores(preds: DataFrame, stones: DataFrame, zone: str, cls: str) -> DataFrame:
-    """Laterality, presence, largest class and single-zone accuracy per seed."""
-    refs = reference_sides(stones, zone, cls).select("case_id", "side", "single_zone")
-    s = predicted_sides(preds).join(refs, ["case_id", "side"], "left")
+def field_scores(preds: DataFrame, stones: DataFrame, zone: str, cls: str, seeds: Sequence[int], cases: DataFrame) -> DataFrame:
+    """Laterality, presence, largest class and single-zone accuracy per seed, over every case of ``cases`` and every side of
+    the reference; a side that a seed did not predict counts as predicted negative."""
+    s = reference_units(preds, stones, zone, cls, seeds)
     right = F.col("side") == "RIGHT"
     one = lambda flag, side: F.bool_or(F.when(side, flag).otherwise(F.lit(False)))
-    cases = s.groupBy("seed", "case_id").agg(
+    sided = s.groupBy("seed", "case_id").agg(
         laterality_of(one(F.col("has_stone"), right), one(F.col("has_stone"), ~right)).alias("lat_ref"),
         laterality_of(one(F.col("present"), right), one(F.col("present"), ~right)).alias("lat_pred"),
     )
-    lat = cases.groupBy("seed").agg(F.avg((F.col("lat_ref") == F.col("lat_pred")).cast("double")).alias("laterality_acc"))
+    every = F.explode(F.array(*[F.lit(x) for x in seeds])).alias("seed")
+    # a case without any row is negative on both sides in reference and prediction
+    agree = F.coalesce(F.col("lat_ref") == F.col("lat_pred"), F.lit(True)).cast("double")
+    lat = cases.select("case_id", every).join(sided, ["seed", "case_id"], "left").groupBy("seed").agg(F.avg(agree).alias("laterality_acc"))
     yr, yp = F.col("has_stone"), F.col("present")
-    ref_cls = size3(F.col("max_class"))
+    ref_cls = F.col("ref.cls")
     sized, single = yr & ref_cls.isNotNull(), yr & F.col("single_zone").isNotNull()
     same = lambda a, b: F.coalesce(a == b, F.lit(False))
     g = s.groupBy("seed").agg(
@@ -218,9 +221,9 @@ def pooled_rates(preds: DataFrame) -> DataFrame:
     )
 
 
-def averaged_thresholds(rows: DataFrame, runs: DataFrame, by: Sequence[str], z: str) -> DataFrame:
-    """Zone of each row by the thresholds of its run group, averaged over the folds."""
-    means = runs.groupBy(*by).agg(F.avg("thr_lo").alias("t1"), F.avg("thr_hi").alias("t2"))
+def averaged_thresholds(rows: DataFrame, runs: DataFrame, by: Sequence[str], z: str, each: Sequence[str] = ()) -> DataFrame:
+    """Zone of each row by the thresholds of its run group, averaged over the folds; once for each value of ``each``."""
+    means = runs.groupBy(*by, *each).agg(F.avg("thr_lo").alias("t1"), F.avg("thr_hi").alias("t2"))
     return rows.join(means, list(by)).withColumn("zone", zone_of(F.col(z), F.col("t1"), F.col("t2"))).drop("t1", "t2")
 
 

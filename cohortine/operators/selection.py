@@ -187,11 +187,12 @@ def argmax_share(df: DataFrame, by: Sequence[str], pos: str, score: str) -> Data
     )
 
 
-def letter_suffix(cases: DataFrame, order: Sequence[str], lead: Column) -> DataFrame:
-    """A and B for the two examinations of a patient; other patients keep their id."""
-    counts = cases.groupBy("patient_id").agg(F.count(F.lit(1)).alias("__n"))
-    two = cases.join(counts, "patient_id")
-    pairs = number_rows(two.where("__n = 2"), ["patient_id"], [F.col(c) for c in order], lead, "__k")
+def letter_suffix(cases: DataFrame, order: Sequence[str], lead: Column, by: Sequence[str] = ()) -> DataFrame:
+    """A and B for the two examinations of a patient (in each group ``by``); other patients keep their id."""
+    keys = [*by, "patient_id"]
+    counts = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    two = cases.join(counts, keys)
+    pairs = number_rows(two.where("__n = 2"), keys, [F.col(c) for c in order], lead, "__k")
     base = F.col("patient_id").cast("string")
     a = pairs.withColumn("sub_id", F.concat(base, F.lit("_"), F.char(F.col("__k") + 64))).drop("__k", "__n")
     return a.unionByName(two.where("__n <> 2").withColumn("sub_id", base).drop("__n"))

@@ -90,12 +90,13 @@ def class_metrics(df: DataFrame, by: Sequence[str], y: str, guess: str, classes:
 
 
 def multilabel_metrics(df: DataFrame, labels: Sequence[tuple[str, str]]) -> DataFrame:
-    """Macro AUC over the defined labels, macro F1 and exact-set accuracy; one row."""
+    """Macro AUC over the defined labels, AUC of each label, macro F1 and exact-set accuracy; one row."""
     cells = F.explode(
         F.array(*[F.struct(F.lit(y).alias("label"), F.col(y).alias("y"), F.col(p).cast("double").alias("p")) for y, p in labels])
     )
     long = df.select(cells.alias("c")).select("c.*")
-    auc = roc_auc(long, ["label"], "y", "p").agg(F.avg("auc").alias("auc_macro"))
+    of = lambda y: F.max(F.when(F.col("label") == y, F.col("auc"))).alias(f"auc_{y}")
+    auc = roc_auc(long, ["label"], "y", "p").agg(F.avg("auc").alias("auc_macro"), *(of(y) for y, _ in labels))
     hit = lambda y, p: (F.col(y) == 1) & (F.col(p) >= 0.5)
     f1 = None
     exact = F.lit(True)
@@ -105,7 +106,8 @@ def multilabel_metrics(df: DataFrame, labels: Sequence[tuple[str, str]]) -> Data
         f1 = one if f1 is None else f1 + one
         exact = exact & ((F.col(y) == 1) == (F.col(p) >= 0.5))
     whole = df.agg(F.count(F.lit(1)).alias("n"), (f1 / len(labels)).alias("f1"), F.avg(exact.cast("double")).alias("acc"))
-    return whole.withColumn("auc_macro", auc.scalar())
+    one = F.lit(1).alias("__one")
+    return whole.select("*", one).join(auc.select("*", one), "__one").drop("__one")
 
 
 def mean_interval(df: DataFrame, by: Sequence[str], value: str, conf: float = 0.95, single: str = "point") -> DataFrame:

@@ -118,11 +118,11 @@ def _(spark, folder):
     with_views("f_pred", body="""WITH l AS (SELECT 'y' AS k, y, p FROM f_pred UNION ALL SELECT 'y2', y2, p2 FROM f_pred), a AS (""" + AUC_SQL.format(by="k", src="l").replace("round(", "(").replace(", 6) AS auc", ") AS auc") + """),
       f AS (SELECT k, 2.0::DOUBLE * count(*) FILTER (y = 1 AND p >= 0.5) / (count(*) FILTER (y = 1) + count(*) FILTER (p >= 0.5)) AS f FROM l GROUP BY k)
       SELECT (SELECT count(*) FROM f_pred) AS n, round((SELECT avg(f) FROM f), 6) AS f1,
-        round((SELECT avg(CASE WHEN (y = 1) = (p >= 0.5) AND (y2 = 1) = (p2 >= 0.5) THEN 1.0::DOUBLE ELSE 0 END) FROM f_pred), 6) AS acc, round((SELECT avg(auc) FROM a), 6) AS auc_macro"""),
+        round((SELECT avg(CASE WHEN (y = 1) = (p >= 0.5) AND (y2 = 1) = (p2 >= 0.5) THEN 1.0::DOUBLE ELSE 0 END) FROM f_pred), 6) AS acc, round((SELECT avg(auc) FROM a), 6) AS auc_macro, round((SELECT auc FROM a WHERE k = 'y'), 6) AS auc_y, round((SELECT auc FROM a WHERE k = 'y2'), 6) AS auc_y2"""),
 )
 def _(spark, folder):
     m = st.multilabel_metrics(fx.scored_documents(spark, folder), [("y", "p"), ("y2", "p2")])
-    return rounded(m, "f1", "acc", "auc_macro")
+    return rounded(m, "f1", "acc", "auc_macro", "auc_y", "auc_y2")
 
 
 @query(
@@ -136,14 +136,14 @@ def _(spark, folder):
 
 @query(
     "config_summary",
-    with_views("f_run", body=f"""WITH r AS (SELECT config, CASE WHEN config <> 'view' THEN 'on' END AS mirror, metric, CASE WHEN seed <> fold THEN base END AS base, peak > 99.9 AS degenerate FROM f_run WHERE NOT (config = 'error' AND seed = 0)),
+    with_views("f_run", body=f"""WITH r AS (SELECT config, CASE WHEN config <> 'view' THEN 'on' END AS mirror, metric, CASE WHEN seed <> fold THEN base END AS base, peak > 99.9 AS degenerate FROM f_run),
         l AS (SELECT config, mirror, 'metric' AS m, metric AS v FROM r UNION ALL SELECT config, mirror, 'base', base FROM r), g AS (SELECT config, mirror, count(*) AS n_runs, count(*) FILTER (degenerate) AS d FROM r GROUP BY ALL),
         a AS (SELECT config, mirror, m, count(v) AS n, avg(v) AS mean, stddev_samp(v) / sqrt(count(v)) * CASE count(v) WHEN 25 THEN {T24} WHEN 20 THEN {T19} WHEN 16 THEN 2.131449545559323 END AS h FROM l GROUP BY ALL)
       SELECT a.config, a.mirror, m AS metric, n, round(mean, 6) AS mean, round(mean - h, 6) AS ci_lo, round(mean + h, 6) AS ci_hi, n_runs, n_runs < 25 AS incomplete, d AS degenerate_runs
       FROM a JOIN g ON a.config = g.config AND a.mirror IS NOT DISTINCT FROM g.mirror"""),
 )
 def _(spark, folder):
-    r = fx.runs(spark, folder).where("NOT (config = 'error' AND seed = 0)").select(
+    r = fx.runs(spark, folder).select(
         "config", F.when(F.col("config") != "view", "on").alias("mirror"), "metric",
         F.when(F.col("seed") != F.col("fold"), F.col("base")).alias("base"), (F.col("peak") > 99.9).alias("degenerate"),
     )
@@ -263,15 +263,18 @@ def _(spark, folder):
 
 @query(
     "apply_thresholds",
-    with_views(*DET, "f_run", body="""WITH t AS (SELECT seed, avg(0.3::DOUBLE + (peak % 7) / 100) AS t1, avg(0.6::DOUBLE + (peak % 5) / 100) AS t2 FROM f_run WHERE config = 'click' GROUP BY seed)
-      SELECT kidney_id, seed, CASE WHEN z_hat >= t2 THEN 'UPPER' WHEN z_hat >= t1 THEN 'MID' ELSE 'LOWER' END AS zone FROM f_det JOIN t USING (seed)"""),
+    with_views(*DET, "f_run", body="""WITH t AS (SELECT seed, config, avg(0.3::DOUBLE + (peak % 7) / 100) AS t1, avg(0.6::DOUBLE + (peak % 5) / 100) AS t2 FROM f_run GROUP BY seed, config)
+      SELECT config, seed, side, CASE WHEN z_hat >= t2 THEN 'UPPER' WHEN z_hat >= t1 THEN 'MID' ELSE 'LOWER' END AS zone, count(*) AS n, count(DISTINCT kidney_id) AS n_kidneys, round(sum(z_hat), 3) AS z_sum FROM f_det JOIN t USING (seed) GROUP BY ALL"""),
 )
 def _(spark, folder):
-    runs = fx.runs(spark, folder).where("config = 'click'").select(
-        "seed", (F.col("peak") % 7 / 100 + 0.3).alias("thr_lo"), (F.col("peak") % 5 / 100 + 0.6).alias("thr_hi")
+    runs = fx.runs(spark, folder).select(
+        "config", "seed", (F.col("peak") % 7 / 100 + 0.3).alias("thr_lo"), (F.col("peak") % 5 / 100 + 0.6).alias("thr_hi")
+    )
+    d = detections(spark, folder).select("kidney_id", "side", "seed", "z_hat")
+    zones = ev.averaged_thresholds(d, runs, ["seed"], "z_hat", ["config"])
+    return zones.groupBy("config", "seed", "side", "zone").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("kidney_id").alias("n_kidneys"), F.round(F.sum("z_hat"), 3).alias("z_sum")
     )
-    d = detections(spark, folder).select("kidney_id", "seed", "z_hat")
-    return ev.averaged_thresholds(d, runs, ["seed"], "z_hat").drop("z_hat")
 
 
 REF_SQL = """ref AS (SELECT case_id, side, zone5 AS zone, CASE WHEN seen_mm < 6 THEN 'SMALL' WHEN seen_mm < 11 THEN 'MEDIUM' WHEN seen_mm IS NOT NULL THEN 'LARGE' END AS cls FROM f_stone),
@@ -299,15 +302,18 @@ def _(spark, folder):
 @query(
     "field_accuracy",
     with_views(*DET, body=f"""WITH {REF_SQL}, sz AS (SELECT case_id, side, min(zone) AS z FROM ref GROUP BY ALL HAVING count(DISTINCT zone) = 1),
-        j AS (SELECT g.*, sz.z AS sz, CASE WHEN max_class IN ('MIKROLITIYAZIS', 'KUCUK') THEN 'SMALL' WHEN max_class = 'ORTA' THEN 'MEDIUM' WHEN max_class IS NOT NULL THEN 'LARGE' END AS rc FROM g LEFT JOIN sz ON sz.case_id = g.case_id AND sz.side = g.side),
-        l AS (SELECT seed, case_id, sum(CASE WHEN has_stone THEN CASE side WHEN 'RIGHT' THEN 1 ELSE 2 END ELSE 0 END) AS r, sum(CASE WHEN present THEN CASE side WHEN 'RIGHT' THEN 1 ELSE 2 END ELSE 0 END) AS p FROM g GROUP BY ALL),
+        u AS (SELECT k.case_id, k.side, k.has_stone, k.max_class, s.seed, coalesce(g.present, false) AS present, g.zone, g.cls FROM f_kidney k CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS seed) s
+          LEFT JOIN (SELECT * FROM g WHERE case_id % 23 > 0) g ON g.case_id = k.case_id AND g.side = k.side AND g.seed = s.seed),
+        j AS (SELECT u.*, sz.z AS sz, CASE WHEN max_class IN ('MIKROLITIYAZIS', 'KUCUK') THEN 'SMALL' WHEN max_class = 'ORTA' THEN 'MEDIUM' WHEN max_class IS NOT NULL THEN 'LARGE' END AS rc FROM u LEFT JOIN sz ON sz.case_id = u.case_id AND sz.side = u.side),
+        l AS (SELECT seed, case_id, sum(CASE WHEN has_stone THEN CASE side WHEN 'RIGHT' THEN 1 ELSE 2 END ELSE 0 END) AS r, sum(CASE WHEN present THEN CASE side WHEN 'RIGHT' THEN 1 ELSE 2 END ELSE 0 END) AS p FROM u GROUP BY ALL),
         la AS (SELECT seed, avg(CASE WHEN r = p THEN 1.0::DOUBLE ELSE 0 END) AS a FROM l GROUP BY seed),
         k AS (SELECT seed, count(*) FILTER (present AND has_stone)::DOUBLE AS tp, count(*) FILTER (present AND NOT has_stone)::DOUBLE AS fp, count(*) FILTER (has_stone AND NOT present)::DOUBLE AS fn,
           count(*) FILTER (rc = cls AND has_stone) / count(*) FILTER (has_stone AND rc IS NOT NULL)::DOUBLE AS ca, count(*) FILTER (has_stone AND sz = zone) / count(*) FILTER (has_stone AND sz IS NOT NULL)::DOUBLE AS za FROM j GROUP BY seed)
-      SELECT k.seed, round(tp / (tp + fp), 6) AS kidney_p, round(tp / (tp + fn), 6) AS kidney_r, round(2 * tp / (2 * tp + fp + fn), 6) AS kidney_f1, round(ca, 6) AS size_cls_acc, round(za, 6) AS zone_acc, round(a, 6) AS laterality_acc FROM k JOIN la USING (seed)"""),
+      SELECT k.seed::INTEGER AS seed, round(tp / (tp + fp), 6) AS kidney_p, round(tp / (tp + fn), 6) AS kidney_r, round(2 * tp / (2 * tp + fp + fn), 6) AS kidney_f1, round(ca, 6) AS size_cls_acc, round(za, 6) AS zone_acc, round(a, 6) AS laterality_acc FROM k JOIN la USING (seed)"""),
 )
 def _(spark, folder):
-    f = ev.field_scores(detections(spark, folder), ref_stones(spark, folder), "zone", "cls")
+    seen = detections(spark, folder).where("mask_plausible")
+    f = ev.field_scores(seen, ref_stones(spark, folder), "zone", "cls", SEED_LIST, fx.cases(spark, folder).select("case_id"))
     return rounded(f, "kidney_p", "kidney_r", "kidney_f1", "size_cls_acc", "zone_acc", "laterality_acc")
 
 
@@ -421,9 +427,8 @@ def _(spark, folder):
 
 @query(
     "position_by_zone",
-    with_views(*DET, body="SELECT dominant_zone, count(*) AS n, round(avg(z_hat), 6) AS mean_position FROM f_det WHERE seed = 0 AND dominant_zone IN ('LOWER', 'MID', 'UPPER') GROUP BY 1"),
+    with_views(*DET, body="SELECT seed, dominant_zone, count(*) AS n, round(avg(z_hat), 6) AS mean_position FROM f_det GROUP BY ALL"),
 )
 def _(spark, folder):
-    d = detections(spark, folder).where("seed = 0 AND dominant_zone IN ('LOWER', 'MID', 'UPPER')")
-    g = d.groupBy("dominant_zone").agg(F.count(F.lit(1)).alias("n"), F.avg("z_hat").alias("mean_position"))
+    g = detections(spark, folder).groupBy("seed", "dominant_zone").agg(F.count(F.lit(1)).alias("n"), F.avg("z_hat").alias("mean_position"))
     return rounded(g, "mean_position")

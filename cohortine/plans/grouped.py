@@ -24,18 +24,15 @@ def detections(spark, folder):
 # ------------------------------------------------------------------ aggregations
 @query(
     "folder_inventory",
-    """WITH g AS (SELECT DISTINCT user_id AS folder FROM events), f AS (SELECT user_id AS folder, count(*) AS n_files, count(DISTINCT event_id) AS n_unique,
-        count(DISTINCT props) AS n_series, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS kinds
-        FROM events WHERE event_type IN ('click', 'error') AND value > 60 GROUP BY 1)
+    """WITH g AS (SELECT c_custkey AS folder FROM customer), f AS (SELECT user_id AS folder, count(*) AS n_files, count(DISTINCT event_id) AS n_unique,
+        count(DISTINCT props) AS n_series, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS kinds FROM events GROUP BY 1)
     SELECT folder, coalesce(n_files, 0) AS n_files, coalesce(n_unique, 0) AS n_unique, coalesce(n_series, 0) AS n_series, coalesce(kinds, '') AS kinds
     FROM g LEFT JOIN f USING (folder)""",
 )
 def _(spark, folder):
-    e = table(spark, folder, "events").select(
-        F.col("user_id").alias("folder"), "event_id", "props", F.col("event_type").alias("kinds"), "value"
-    )
-    chosen = e.where(F.col("kinds").isin("click", "error") & (F.col("value") > 60))
-    return agg.group_inventory(chosen, e, "folder", "event_id", "props", ["kinds"])
+    e = table(spark, folder, "events").select(F.col("user_id").alias("folder"), "event_id", "props", F.col("event_type").alias("kinds"))
+    groups = table(spark, folder, "customer").select(F.col("c_custkey").alias("folder"))
+    return agg.group_inventory(e, groups, "folder", "event_id", "props", ["kinds"])
 
 
 @query(
@@ -395,14 +392,13 @@ def _(spark, folder):
 
 @query(
     "subcase_suffix",
-    with_views("f_case", body="""WITH c AS (SELECT *, count(*) OVER (PARTITION BY patient_id) AS n, row_number() OVER (PARTITION BY patient_id ORDER BY study_date, case_id) AS k
-        FROM f_case WHERE site = '1-URGENT')
-      SELECT case_id, patient_id, CASE WHEN n = 2 THEN patient_id || '_' || chr((64 + k)::INTEGER) ELSE patient_id::VARCHAR END AS sub_id FROM c"""),
+    with_views("f_case", body="""WITH c AS (SELECT *, count(*) OVER (PARTITION BY site, patient_id) AS n, row_number() OVER (PARTITION BY site, patient_id ORDER BY study_date, case_id) AS k FROM f_case)
+      SELECT case_id, site, patient_id, CASE WHEN n = 2 THEN patient_id || '_' || chr((64 + k)::INTEGER) ELSE patient_id::VARCHAR END AS sub_id FROM c"""),
 )
 def _(spark, folder):
-    c = fx.cases(spark, folder).where("site = '1-URGENT'")
-    out = selection.letter_suffix(c, ["study_date", "case_id"], F.col("study_date").cast("int"))
-    return out.select("case_id", "patient_id", "sub_id")
+    c = fx.cases(spark, folder)
+    out = selection.letter_suffix(c, ["study_date", "case_id"], F.col("study_date").cast("int"), ["site"])
+    return out.select("case_id", "site", "patient_id", "sub_id")
 
 
 @query(
