@@ -6,13 +6,16 @@ partner is at least o = ceil(t * n), so partners share a token among the first n
 n - o + k. Therefore:
 
 * rare tokens among the first n - o + 1 are indexed alone; their groups are small by construction: a token is rare if
-  its bucket of a count sketch over all documents is no larger than chance explains, so no rare token occurs in more
-  than some thousandths of the documents;
-* of frequent tokens among the first n - o + 2, all pairs are indexed. If the least shared token is rare, the first
-  index finds the pair; if not, all shared ones are frequent and the two least of them are an indexed combination.
-  Documents of more than COMBINED tokens would have too many combinations: they index frequent tokens alone, and
-  those within a factor t below that size, and those whose overlap may be one token, do both, so that every pair
-  meets in one of the indexes.
+  its bucket of a count sketch over all documents is no larger than chance explains, that is within five standard
+  deviations of the mean, so the documents of a rare token grow with the square root of the corpus;
+* if the least shared token is frequent, so are all shared ones, since rare ones come first. Then only documents of at
+  least o frequent tokens matter (a frequent passage in an otherwise rare text indexes nothing), all their r rare tokens
+  are among the n - o that the partner lacks, and at most d = floor(n * (1 - t) / t) - r frequent tokens are not shared
+  by either. These cannot part all neighbours among the first d + 2 shared tokens, so two tokens that are neighbours in
+  the order of frequent tokens are neighbours for the partner too. The prefix is extended to the first
+  n - o - r + d + 2 frequent tokens, and every two neighbours in it are an indexed combination: as many as the prefix
+  has tokens, whatever the size of the document. Sets too small to have d + 2 shared tokens (fewer than 4 tokens at
+  0.75) index frequent tokens alone as well.
 
 Documents with equal sets are one class first. Candidates must pass bounds on length and position, then on parity bit
 maps (whose distance never exceeds that of the sets), and are verified on the whole sets. To link a group without
@@ -32,12 +35,11 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .scratch import saved
+from .scratch import few, saved
 from .text_keys import SPACED, mix, shingle_sets, slices, words
 
-#: Bits of the count sketch, largest set that indexes all its combinations of frequent tokens.
+#: Bits of the count sketch.
 SKETCH = 17
-COMBINED = 64
 SHINGLE = 5
 PERCENT = 75
 
@@ -92,7 +94,26 @@ def _frequent(sketch: DataFrame) -> np.ndarray:
     return np.where(counts > mean + 5 * math.sqrt(mean) + 16, counts, 0)
 
 
-def _index(docs: DataFrame, counts: np.ndarray, percent: int, shingle: int, combined: int) -> DataFrame:
+def _keys(s: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexed tokens and combinations of a set of tokens with these counts (0: rare): key, place in the order, frequent."""
+    n = len(s)
+    least = -(-percent * n // 100)
+    order = np.argsort(count, kind="stable")
+    token, rare = s[order], n - int(np.count_nonzero(count))
+    alone = np.arange(n - least + 1)
+    if n * (2 * percent - 100) >= 200:
+        alone = alone[:rare]
+    key, place, often = [token[alone]], [alone], [alone >= rare]
+    if rare < n and n - rare >= least:
+        apart = n * (100 - percent) // percent - rare
+        held = token[rare : rare + n - least - rare + max(0, apart) + 2]
+        key.append(mix(held[:-1] * np.uint64(3) + mix(held[1:])))
+        place.append(rare + np.arange(len(held) - 1))
+        often.append(np.ones(len(held) - 1, bool))
+    return np.concatenate(key), np.concatenate(place), np.concatenate(often)
+
+
+def _index(docs: DataFrame, counts: np.ndarray, percent: int, shingle: int) -> DataFrame:
     """(token key, class, n, position, frequent) of the indexed tokens and combinations of every row."""
     counts = counts.tobytes()
 
@@ -104,29 +125,15 @@ def _index(docs: DataFrame, counts: np.ndarray, percent: int, shingle: int, comb
                 n = len(s)
                 if not n:
                     continue
-                first = n - -(-percent * n // 100) + 1
-                count = frequency[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]
-                order = np.argsort(count, kind="stable") if count.any() else slice(None)
-                token, often = s[order][: first + 1], count[order][: first + 1] > 0
-                single = 100 * n > percent * combined or percent * n <= 100
-                at = np.arange(first) if single else np.flatnonzero(~often[:first])
-                key = [token[at]]
-                place, mark = [at], [often[at]]
-                if n <= combined and often.any():
-                    a, b = np.triu_indices(int(often.sum()), 1)
-                    base = int(np.flatnonzero(often)[0])
-                    key.append(mix(token[base + a] * np.uint64(3) + mix(token[base + b])))
-                    place.append(base + a)
-                    mark.append(np.ones(len(a), bool))
+                key, place, often = _keys(s, frequency[(s >> np.uint64(64 - SKETCH)).astype(np.int64)], percent)
                 f2 = np.bitwise_xor.reduce(mix(s))
                 cls = mix(np.array([s.sum(dtype=np.uint64)]) ^ mix(np.array([f2 + np.uint64(n)], np.uint64)))
-                total = sum(map(len, key))
-                keys += key
-                places += place
-                marks += mark
-                classes.append(np.repeat(cls, total))
-                sizes.append(np.full(total, n))
-                held += total
+                keys.append(key)
+                places.append(place)
+                marks.append(often)
+                classes.append(np.repeat(cls, len(key)))
+                sizes.append(np.full(len(key), n))
+                held += len(key)
                 if held > 100_000:
                     yield _rows(keys, classes, sizes, places, marks)
                     keys, places, marks, classes, sizes, held = [], [], [], [], [], 0
@@ -136,6 +143,27 @@ def _index(docs: DataFrame, counts: np.ndarray, percent: int, shingle: int, comb
     return docs.select("text").mapInArrow(index, "key long, cls long, n int, place int, often boolean")
 
 
+def _one_each(docs: DataFrame, rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Documents and profiles with one row for each doc_id: the one with the most shingles, of these the one with the
+    greatest fingerprint; rows that are still equal have equal sets. Without repeated ids nothing is moved."""
+    many = saved(rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"))
+    if many.isEmpty():
+        return docs, rows
+    many = few(many)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_sets(batch.column(1), shingle))
+            n, sums = [len(s) for s in sets], np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+            mixed = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(sums.view(np.int64)), pa.array(mixed.view(np.int64))], ["doc_id", "text", "n", "f1", "f2"])
+
+    weighed = docs.join(many, "doc_id", "left_semi").mapInArrow(weigh, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, n long, f1 long, f2 long")
+    picked = saved(weighed.groupBy("doc_id").agg(F.max_by("text", F.struct("n", "f1", "f2")).alias("text")))
+    rows = rows.join(many, "doc_id", "left_anti").select(*rows.columns).union(profiles(picked, shingle).where("n IS NOT NULL"))
+    return docs.join(many, "doc_id", "left_anti").select("doc_id", "text").union(picked.select("doc_id", "text")), rows
+
+
 def _rows(keys: list, classes: list, sizes: list, places: list, marks: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
@@ -146,9 +174,10 @@ def _rows(keys: list, classes: list, sizes: list, places: list, marks: list) ->
     )
 
 
-def _possible(n: Column, place: Column, other_n: Column, other_place: Column, percent: int) -> Column:
-    """Bounds on length and, from the places of a shared token, on the overlap."""
-    overlap = F.least(n - place, other_n - other_place)
+def _possible(n: Column, place: Column, other_n: Column, other_place: Column, often: Column, percent: int) -> Column:
+    """Bounds on length and, from the places of a shared token, on the overlap: a rare one may be the least shared token,
+    before a frequent one others may be shared."""
+    overlap = F.least(n - place, other_n - other_place) + F.when(often, F.least(place, other_place)).otherwise(0)
     return (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & ((100 + percent) * overlap >= percent * (n + other_n))
 
 
@@ -191,7 +220,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
                 yield pa.RecordBatch.from_arrays([part.column(0), tokens], ["doc_id", "tokens"])
 
     whole = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(sets, "doc_id long, tokens binary")
-    whole = saved(whole.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    whole = saved(whole.join(ends, "doc_id", "left_semi"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,34 +238,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     )
 
 
-def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, combined: int = COMBINED) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each document's shingle set and the smallest doc_id it reaches.
 
     Two documents link when their sets' Jaccard similarity is percent / 100 or more. A null, empty or blank text has no
-    shingles and links with nothing. Rows with a null doc_id take no part. Rows that repeat a doc_id are one document:
-    the one with the most shingles, of these the one with the least fingerprint. Other columns are not read.
+    shingles and links with nothing. Rows with a null doc_id take no part. Rows that repeat a doc_id are one document
+    with the text of one of them, whatever their order: that with the most shingles, of these that with the greatest
+    fingerprint. The texts of the others take no part. Other columns are not read.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     rows = saved(profiles(docs, shingle))
     counts = _frequent(rows.where("n IS NULL"))
-    rows = rows.where("n IS NOT NULL")
+    docs, rows = _one_each(docs, rows.where("n IS NOT NULL"), shingle)
     classes = saved(
         rows.where("n > 0").groupBy("f1", "f2", "n", "cls").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"))
     )
-    index = _index(docs, counts, percent, shingle, combined)
+    index = _index(docs, counts, percent, shingle)
     lead = Window.partitionBy("key").orderBy("place", "cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rare = (
         index.where("NOT often")
         .select("key", "cls", "n", "place", *(F.first(c).over(lead).alias(f"l{c}") for c in ("cls", "n", "place")), F.max("cls").over(lead).alias("hi"), F.min("cls").over(lead).alias("lo"))
-        .where("hi <> lo").drop("hi", "lo").distinct()
+        .where("hi <> lo").drop("hi", "lo").distinct().withColumn("often", F.lit(False))
     )
     often = saved(index.where("often").groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place")))
     leaders = often.groupBy("key").agg(F.min(F.struct("place", "cls", "n")).alias("l"), F.count("*").alias("m")).where("m > 1")
-    often = often.join(leaders, "key").select("key", "cls", "n", "place", F.col("l.cls").alias("lcls"), F.col("l.n").alias("ln"), F.col("l.place").alias("lplace"))
+    often = often.join(leaders, "key").select("key", "cls", "n", "place", F.col("l.cls").alias("lcls"), F.col("l.n").alias("ln"), F.col("l.place").alias("lplace"), F.lit(True).alias("often"))
     shared = saved(rare.union(often))
 
     stars = (
-        shared.where("cls <> lcls").where(_possible(F.col("n"), F.col("place"), F.col("ln"), F.col("lplace"), percent))
+        shared.where("cls <> lcls").where(_possible(F.col("n"), F.col("place"), F.col("ln"), F.col("lplace"), F.col("often"), percent))
         .select(F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b")).distinct()
     )
     links = saved(_verified(_near(stars, classes, percent), docs, classes, percent, shingle))
@@ -244,21 +274,20 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SH
 
     # What is not connected yet: candidates between different components of a key, each pair once.
     placed = shared.join(classes.select("cls", F.col("rep").alias("node")), "cls").join(groups, "node", "left").select(
-        "key", "cls", "n", "place", F.coalesce("component", "node").alias("component")
+        "key", "cls", "n", "place", "often", F.coalesce("component", "node").alias("component")
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     placed = saved(placed.join(mixed, "key", "left_semi"))
     other = placed.select(*(F.col(c).alias(f"o{c}") for c in placed.columns))
     rest = (
         placed.join(other, (F.col("key") == F.col("okey")) & (F.col("cls") < F.col("ocls")) & (F.col("component") != F.col("ocomponent"))
-                    & _possible(F.col("n"), F.col("place"), F.col("on"), F.col("oplace"), percent))
+                    & _possible(F.col("n"), F.col("place"), F.col("on"), F.col("oplace"), F.col("often"), percent))
         .select(F.col("cls").alias("a"), F.col("ocls").alias("b")).distinct()
     )
     more = _verified(_near(rest, classes, percent), docs, classes, percent, shingle)
     groups = components(links.union(more))
 
-    own = rows.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("s")).select("doc_id", "s.*")
     return (
-        own.join(classes.select("f1", "f2", "n", F.col("rep").alias("node")), ["f1", "f2", "n"], "left").join(groups, "node", "left")
+        rows.select("doc_id", "f1", "f2", "n").join(classes.select("f1", "f2", "n", F.col("rep").alias("node")), ["f1", "f2", "n"], "left").join(groups, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
     )
