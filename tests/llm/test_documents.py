@@ -1,6 +1,7 @@
 """Operators on documents against brute force, over every awkward kind of row."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -45,18 +46,60 @@ def test_jaccard(docs, rows, empty):
     # of a repeated id the largest set counts, so ids with different texts are compared by size only
     sets = {i: max((shingles(t) for t in texts), key=len) for i, texts in texts_of(rows).items()}
     expected = groups_of(sets)
-    for combined in (jaccard.COMBINED, 20):
-        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs, combined=combined).collect()}
-        assert found == {i: (len(sets[i]), expected[i]) for i in sets}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs).collect()}
+    assert found == {i: (len(sets[i]), expected[i]) for i in sets}
     assert jaccard.similar_documents(empty).count() == 0
 
 
+def test_jaccard_repeated_ids_count_with_one_text(spark):
+    """Smaller texts of repeated ids link with nothing, in any order of the rows."""
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    other = [f"v{rnd.randrange(10**6)}" for _ in range(20)]
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (5, " ".join([*base, "more"])), (2, " ".join([*other, "x"])), (3, " ".join(other)), (3, None), (3, " ".join(other))]
+    rows += [(9, " ".join(f"u{n} " for n in range(30)))] * 3 + [(8, " ".join(f"u{n}" for n in range(29)))]
+    sets = {i: max((shingles(t) for t in texts), key=len) for i, texts in texts_of(rows).items()}
+    expected = {i: (len(sets[i]), c) for i, c in groups_of(sets).items()}
+    assert expected[5][1] == 1 and expected[2][1] == 2 and expected[9][1] == 8
+    for _ in range(3):
+        rnd.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(df).collect()} == expected
+
+
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_jaccard_keys_meet_whatever_is_frequent(percent):
+    """Two sets of the similarity share a key with fitting bounds, for every share of frequent tokens."""
+    rnd = np.random.default_rng(percent)
+    met = 0
+    for trial in range(3000):
+        size = int(rnd.integers(1, 60))
+        pool = rnd.permutation(np.unique(rnd.integers(1, 1 << 62, 2 * size + 8).astype(np.uint64)))
+        a = np.sort(pool[:size])
+        most = size * (100 - percent) // 100 + 1
+        lost, new = int(rnd.integers(0, most + 1)), int(rnd.integers(0, most + 1))
+        b = np.sort(np.concatenate([rnd.permutation(a)[: size - lost], pool[size : size + new]]))
+        if not len(b) or 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+            continue
+        often = {int(t): int(rnd.integers(1, 4)) for t in pool if rnd.random() < (trial % 11) / 10}
+        sides = [jaccard._keys(s, np.array([often.get(int(t), 0) for t in s]), percent) for s in (a, b)]
+        places = [{(k, bool(o)): p for k, p, o in zip(*(x.tolist() for x in side))} for side in sides]
+        fits = [
+            (100 + percent) * (min(len(a) - places[0][k], len(b) - places[1][k]) + (min(places[0][k], places[1][k]) if k[1] else 0)) >= percent * (len(a) + len(b))
+            for k in places[0].keys() & places[1].keys()
+        ]
+        assert any(fits), (trial, len(a), len(b))
+        assert all(len(side[0]) <= 2 * len(s) + 1 for side, s in zip(sides, (a, b)))
+        met += 1
+    assert met > 500
+
+
 def test_jaccard_combinations(spark, rows):
     """Near copies whose tokens are all frequent: their index must hold combinations."""
     some = [r for r in rows if r[0] is not None and r[1] and len(words(r[1], SPACED)) == 40]
     df = spark.createDataFrame([(r[0], r[1]) for r in some], "doc_id long, text string")
     counts = jaccard._frequent(jaccard.profiles(df).where("n IS NULL"))
-    index = jaccard._index(df, counts, 75, 5, 64)
+    index = jaccard._index(df, counts, 75, 5)
     assert index.where("often").count() > 90 and counts.any()
 
 
@@ -137,6 +180,78 @@ def test_notice_with_changes(spark):
     assert {r.doc_id: r.labels for r in licences.license_report(df).collect()} == {1: "mit-notice", 2: ""}
 
 
+LABELLED = {
+    "This work is licensed under the GNU General Public License version 3.": "gpl,gpl-3.0",
+    "This work is licensed under the GNU General Public License, version 2.": "gpl",
+    "This work is licensed under the GNU Affero General Public License version 3": "gpl",
+    "This work is licensed under the GNU Lesser General Public License version 3": "gpl",
+    "this work was once licensed under the GNU General Public License version 3 only": "gpl,gpl-3.0",
+    "Licensed under the Apache License, Version 2.0 (the License)": "apache,apache-2.0",
+    "Licensed under the Apache License, Version 1.1": "apache",
+    "licensed under the apache license 2 0": "apache,apache-2.0",
+    "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0", "Licensed under CC BY-NC-SA 4.0": "", "Licensed under CC BY-NC-ND 4.0": "", "Licensed under CC BY-NC 2.0": "", "Licensed under CC BY 4.0": "",
+    "licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+    "licensed under a Creative Commons Attribution-NC 4.0 International License": "",
+    "licensed under a Creative Commons Attribution 3.0 International License": "",
+    "Released under the MIT License": "mit,mit-line", "Released under the BSD License": "",
+    # the grams of a notice scattered over a text are no notice
+    " xx ".join(["this work is licensed", "licensed under the gnu", "gnu general public", "public license version", "license version 3"] * 3): "",
+}
+
+
+def test_notices_are_verified(spark):
+    df = spark.createDataFrame(list(enumerate(LABELLED)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licences.license_report(df).collect()} == dict(enumerate(LABELLED.values()))
+
+
+def test_whole_licences_are_templates(spark):
+    """A template of hundreds of words, found twice with changes at both its ends and its middle."""
+    rnd = random.Random(8)
+    piece = [f"w{rnd.randrange(10**5)}" for _ in range(400)]
+    once = [*piece[2:200], "new", "words", *piece[200:250], *piece[252:]]
+    text = " ".join(["a"] * 50 + once + ["b"] * 30 + piece)
+    template = licences.Template("whole", " ".join(piece), False)
+    df = spark.createDataFrame([(1, text), (2, " ".join(piece[:200])), (3, " ".join(piece[::-1]))], "doc_id long, text string")
+    _, spans = licences.license_spans(df, [template])
+    found = {(r.start, r.end): round(r.share, 4) for r in spans.where("doc_id = 1").collect()}
+    assert found[50 + len(once) + 30, 50 + len(once) + 430] == 1.0 and spans.where("doc_id > 1").count() == 0
+    assert found[50, 50 + len(once)] == round(1 - 6 / 400, 4)
+
+
+def brute_edits(template, text):
+    """The fewest edits of an alignment of the template with any stretch of the text, telling words fixed."""
+    far = 10**6
+    tells = lambda w: w.isdigit() or w in licences.TELLING
+    row = [0] * (len(text) + 1)
+    for word in template:
+        now = [row[0] + (far if tells(word) else 1)]
+        for p, own in enumerate(text):
+            change = 0 if own == word else far if tells(word) or tells(own) else 1
+            now.append(min(row[p] + change, row[p + 1] + (far if tells(word) else 1), now[p] + (far if tells(own) else 1)))
+        row = now
+    return min(row)
+
+
+def test_alignment_against_brute_force():
+    rnd = random.Random(6)
+    kinds = [b"a", b"b", b"c", b"3", b"sa", b"the"]
+    hits = 0
+    for _ in range(4000):
+        template = [rnd.choice(kinds) for _ in range(rnd.randint(1, 8))]
+        text = list(template)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randint(0, len(text))
+            text[at : at + rnd.randint(0, 1)] = [rnd.choice(kinds) for _ in range(rnd.randint(0, 1))]
+        text = [rnd.choice(kinds) for _ in range(rnd.randint(0, 3))] + text + [rnd.choice(kinds) for _ in range(rnd.randint(0, 3))]
+        best, most = brute_edits(template, text), len(template) // 2
+        found = licences.align(template, text, -len(template) - 1, len(text) + 1, most)
+        assert (found[0] if found else None) == (best if best <= most else None)
+        if found:
+            hits += 1
+            assert brute_edits(template, text[found[1] : found[2]]) <= found[0]
+    assert hits > 1000
+
+
 def test_sentence_spans(docs, rows, empty):
     unique = sorted((i, t[0]) for i, t in texts_of(rows).items() if len(set(t)) == 1 and t[0] is not None)
     df = docs.where(F.col("doc_id").isNull() | F.col("doc_id").isin([i for i, _ in unique]))
