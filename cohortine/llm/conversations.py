@@ -98,7 +98,27 @@ def _before(cost: int, letters: str, digits: int, path: int, width: int) -> int:
     return ((path >> width) + cost << width) + (digits << width - size) + (low >> size)
 
 
-_KNOWN: dict[str, int] = {}
+_KNOWN: dict[str, tuple[int, int]] = {}
+
+
+def _swept(kinds: list[tuple[str, str]], best: dict[int, int], width: int) -> dict[int, int]:
+    """From the weights of the paths behind a run of rows (initial, fault) those of the paths before it, by state."""
+    low = (1 << width) - 1
+    for kind in reversed(kinds):
+        now: dict[int, int] = {}
+        behind = {state: (weight >> width, weight & low) for state, weight in best.items()}
+        for state in STATES:
+            for after, cost, letters in _edits(*kind, state):
+                if after in behind:
+                    if letters not in _KNOWN:
+                        _KNOWN[letters] = _digits(letters), LETTER_BITS * len(letters)
+                    digits, size = _KNOWN[letters]
+                    more, rest = behind[after]
+                    weight = (more + cost << width) | (digits << width - size) | (rest >> size)
+                    if state not in now or weight < now[state]:
+                        now[state] = weight
+        best = now
+    return best
 
 
 def rows_matrix(kinds: list[tuple[str, str]], starts: tuple[int, ...] = STATES, ends: tuple[int, ...] = STATES) -> Matrix:
@@ -106,22 +126,19 @@ def rows_matrix(kinds: list[tuple[str, str]], starts: tuple[int, ...] = STATES,
     width = LETTER_BITS * 3 * len(kinds)
     out: Matrix = {}
     for end in ends:
-        best: dict[int, int] = {end: 0}
-        for kind in reversed(kinds):
-            now: dict[int, int] = {}
-            for state in STATES:
-                for after, cost, letters in _edits(*kind, state):
-                    if after in best:
-                        if letters not in _KNOWN:
-                            _KNOWN[letters] = _digits(letters)
-                        weight = _before(cost, letters, _KNOWN[letters], best[after], width)
-                        if state not in now or weight < now[state]:
-                            now[state] = weight
-            best = now
+        best = _swept(kinds, {end: 0}, width)
         out |= {(s, end): (best[s] >> width, _letters(best[s] & ((1 << width) - 1), width)) for s in starts if s in best}
     return out
 
 
+def rows_repaired(kinds: list[tuple[str, str]]) -> tuple[int, str]:
+    """(cost, letters) of the cheapest edits of a whole conversation."""
+    width = LETTER_BITS * (3 * len(kinds) + 2)
+    closing = {s: min(_before(c, x, _digits(x), 0, width) for (a, e), (c, x) in _CLOSING.items() if a == s and e in ENDS) for s in STATES}
+    best = _swept(kinds, closing, width)[START]
+    return best >> width, _letters(best & ((1 << width) - 1), width)
+
+
 def _digits_of(letters: str) -> int:
     """Digits of a long text at once."""
     return int(letters.translate({ord(letter): str(n) for n, letter in enumerate(LETTERS)}) or "0", 8)
@@ -261,7 +278,7 @@ def _unit(row: dict) -> Iterator[dict]:
         kinds.append((own["role"][:1], WHOLE if fault is None else CUT if fault == "truncated" else SPENT))
     out |= {"illegal": _crossed([(k[0], k[0]) for k in kinds]), "first": kinds[0][0], "last": kinds[-1][0]}
     if row["of"] == 1:
-        cost, audit, _ = finished(rows_matrix(kinds, (START,)))
+        cost, audit = rows_repaired(kinds)
         text = "\n".join(applied([(x["role"], x["text"]) for x in row["rows"]], audit, START))
         yield out | {"cost": cost, "audit": audit, "repaired_sha256": sha256(text.encode()).hexdigest()}
     else:

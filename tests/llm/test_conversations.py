@@ -152,5 +152,6 @@ def test_weights_order_as_cost_and_letters():
         parts = [c.rows_matrix(kinds[:cut]), c.rows_matrix(kinds[cut:])]
         assert c.product(parts) == c.rows_matrix(kinds)
         cost, letters, after = c.finished(c.rows_matrix(kinds))
+        assert c.rows_repaired(kinds) == (cost, letters)
         assert c.route([*parts, c._CLOSING, c._END], c.START, c.START)[2] == after
         assert letters.replace("I", "").count("K") <= len(kinds) and len(letters.replace("I", "")) == len(kinds) and cost >= 0
