@@ -254,14 +254,15 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SH
         rows.where("n > 0").groupBy("f1", "f2", "n", "cls").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"))
     )
     index = _index(docs, counts, percent, shingle)
-    lead = Window.partitionBy("key").orderBy("place", "cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lead = Window.partitionBy("key").orderBy("cls", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rare = (
         index.where("NOT often")
         .select("key", "cls", "n", "place", *(F.first(c).over(lead).alias(f"l{c}") for c in ("cls", "n", "place")), F.max("cls").over(lead).alias("hi"), F.min("cls").over(lead).alias("lo"))
         .where("hi <> lo").drop("hi", "lo").distinct().withColumn("often", F.lit(False))
     )
     often = saved(index.where("often").groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place")))
-    leaders = often.groupBy("key").agg(F.min(F.struct("place", "cls", "n")).alias("l"), F.count("*").alias("m")).where("m > 1")
+    # the least class leads, so that the keys of a group of near copies have few leaders among them
+    leaders = often.groupBy("key").agg(F.min(F.struct("cls", "place", "n")).alias("l"), F.count("*").alias("m")).where("m > 1")
     often = often.join(leaders, "key").select("key", "cls", "n", "place", F.col("l.cls").alias("lcls"), F.col("l.n").alias("ln"), F.col("l.place").alias("lplace"), F.lit(True).alias("often"))
     shared = saved(rare.union(often))
 
