@@ -180,8 +180,11 @@ def license_spans(docs: DataFrame, templates: list[Template] = TEMPLATES) -> tup
     rows = saved(gram_places(docs, grams))
     sizes = rows.where("gram IS NULL").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
     table = spark.createDataFrame(grams, "template int, gram long, at int, k int, n_grams int")
+    # both tables have a row for each template or gram of one, whatever the number of texts
+    table = F.broadcast(table)
     kinds = spark.createDataFrame([(i, t.label, t.phrase, len(_words_of(t.text))) for i, t in enumerate(templates)], "template int, label string, phrase boolean, size int")
-    votes = rows.where("gram IS NOT NULL").join(table, "gram").select("doc_id", "template", "n_grams", "at", (F.col("place") - F.col("at")).alias("diagonal")).join(kinds.select("template", "phrase"), "template")
+    kinds = F.broadcast(kinds)
+    votes = rows.where("gram IS NOT NULL").join(table, "gram").select("doc_id", "template", "n_grams", "at", (F.col("place") - F.col("at")).alias("diagonal")).join(F.broadcast(kinds.select("template", "phrase")), "template")
     whole = votes.where("phrase").groupBy("doc_id", "template", "n_grams", "diagonal").agg(F.countDistinct("at").alias("held")).where("held = n_grams")
     phrases = whole.select("doc_id", "template", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
     along = Window.partitionBy("doc_id", "template").orderBy("diagonal").rangeBetween(0, GAP)
