@@ -6,10 +6,10 @@ side of a masked one (one embedding table per place, tanh, softmax) and predicts
 its class a word has its share of the corpus counts. A document's score is the sum of the log-probabilities of all its
 tokens, each given both its sides.
 
-Counts are taken over all documents and kept in a table. Training windows are one in WINDOW_SHARE, a sample drawn at
-hashed places of each document by its doc_id and words, so their number grows with the corpus and neither batches nor
-partitions change them; they are dealt into shards of bounded size, each shard trains from the common weights, and the
-weights are averaged over a tree of sums with bounded fan-in, ROUNDS times.
+Counts are taken over all documents and kept in a table. Every token of every document is a training window, ROUNDS times.
+Texts become pieces of word ids, two bytes a token; pieces are dealt into shards of about SHARD windows by a hash of their
+document, so neither batches nor partitions change them. Each shard trains from the common weights, and the weights are
+averaged over a tree of sums with bounded fan-in.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ VOCABULARY = 4094
 CLASSES = 128
 WIDTH = 16
 SIDE = 2
-#: One in so many tokens is a training window; windows of a shard; rounds of averaging; passes over a shard in a round.
-WINDOW_SHARE = 64
-SHARD = 65_536
-ROUNDS = 2
-PASSES = 3
+#: About so many windows are a shard; windows of a step; rounds of averaging; tokens of a piece.
+SHARD = 1 << 20
+BATCH = 1024
+ROUNDS = 1
+PIECE = 16_384
 _FAN_IN = 64
 #: Log-shares are summed over words as integers of this fineness, so that the order of rows does not count.
 _FINE = 1 << 30
@@ -100,15 +100,31 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     return Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64)[order], order + 1, classes, share)
 
 
-def _windows(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
-    """Ids of each token, ids of its window (left to right, without itself), the words."""
+def _ids(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words]:
+    """Ids of each token, and the words."""
     found = words(data, offsets, ALNUM)
-    n, edge = len(found.hashes), len(vocab.classes) - 1
-    ids = np.zeros(n, np.int32)
+    ids = np.zeros(len(found.hashes), np.int32)
     if len(vocab.hashes):
         near = np.minimum(np.searchsorted(vocab.hashes, found.hashes), len(vocab.hashes) - 1)
         known = vocab.hashes[near] == found.hashes
         ids[known] = vocab.ids[near[known]]
+    return ids, found
+
+
+def _unrolled(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows without their middle, and the middles, of pieces of ids with margins."""
+    around, target = [np.zeros((0, 2 * SIDE), np.int16)], [np.zeros(0, np.int16)]
+    for piece in pieces:
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(piece, np.int16), 2 * SIDE + 1)
+        around.append(np.delete(windows, SIDE, axis=1))
+        target.append(windows[:, SIDE])
+    return np.concatenate(around), np.concatenate(target)
+
+
+def _windows(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
+    """Ids of each token, ids of its window (left to right, without itself), the words."""
+    ids, found = _ids(vocab, data, offsets)
+    n, edge = len(ids), len(vocab.classes) - 1
     starts, ends = np.repeat(found.first[:-1], np.diff(found.first)), np.repeat(found.first[1:], np.diff(found.first))
     around = np.full((n, 2 * SIDE), edge, np.int32)
     for column, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
@@ -131,28 +147,34 @@ def _log_classes(net: Network, around: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _train(net: Network, around: np.ndarray, target: np.ndarray, seed: int, rate: float) -> Network:
-    """Adagrad on the cross-entropy of the masked token's class, in small batches."""
-    net = Network(*(x.copy() for x in net))
+    """One pass of Adagrad on the cross-entropy of the masked token's class, in small batches of a random order."""
+    net = Network(*(np.array(x, np.float32) for x in net))
     scale = [np.full(x.shape, 1e-2, np.float32) for x in net]
-    random = np.random.default_rng(seed)
-    for _ in range(PASSES):
-        order = random.permutation(len(target))
-        for at in range(0, len(order), 256):
-            rows = order[at : at + 256]
-            hidden, logs = _log_classes(net, around[rows])
-            wrong = np.exp(logs)
-            wrong[np.arange(len(rows)), target[rows]] -= 1
-            wrong /= len(rows)
-            back = (wrong @ net.out.T) * (1 - hidden**2)
-            for i, slope in ((1, hidden.T @ wrong), (2, wrong.sum(axis=0))):
-                scale[i] += slope**2
-                net[i][...] -= rate * slope / np.sqrt(scale[i])
-            for p in range(around.shape[1]):
-                used, own = np.unique(around[rows, p], return_inverse=True)
-                slope = np.zeros((len(used), back.shape[1]), np.float32)
-                np.add.at(slope, own, back)
-                scale[0][p, used] += slope**2
-                net.embed[p, used] -= rate * slope / np.sqrt(scale[0][p, used])
+    order = np.random.default_rng(seed).permutation(len(target))
+    for at in range(0, len(order), BATCH):
+        rows = order[at : at + BATCH]
+        near = around[rows]
+        hidden = net.embed[0, near[:, 0]]
+        for p in range(1, near.shape[1]):
+            hidden = hidden + net.embed[p, near[:, p]]
+        hidden = np.tanh(hidden)
+        wrong = hidden @ net.out + net.bias
+        wrong -= wrong.max(axis=1, keepdims=True)
+        np.exp(wrong, out=wrong)
+        wrong /= wrong.sum(axis=1, keepdims=True)
+        wrong[np.arange(len(rows)), target[rows]] -= 1
+        wrong /= len(rows)
+        back = (wrong @ net.out.T) * (1 - hidden**2)
+        for i, slope in ((1, hidden.T @ wrong), (2, wrong.sum(axis=0))):
+            scale[i] += slope**2
+            net[i][...] -= rate * slope / np.sqrt(scale[i])
+        for p in range(near.shape[1]):
+            by = np.argsort(near[:, p], kind="stable")
+            own = near[by, p]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            used, slope = own[first], np.add.reduceat(back[by], first, axis=0)
+            scale[0][p, used] += slope**2
+            net.embed[p, used] -= rate * slope / np.sqrt(scale[0][p, used])
     return net
 
 
@@ -167,37 +189,42 @@ def _unpack(flat: np.ndarray, ids: int) -> Network:
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, rate: float = 0.1) -> Network:
-    """Train on windows drawn from all documents. Without any token the weights stay as they begin."""
+    """Train on the windows of all tokens of all documents. Without any token the weights stay as they begin."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(vocab)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at, to, data, offsets in slices(batch.column(1)):
-                ids, around, found = _windows(known.value, data, offsets)
-                first, size = found.first[:-1], np.diff(found.first)
-                seed = mix(mix(keys[at:to].copy()) + raw_sequences(found.hashes, first, found.first[1:]))
-                place = mix((np.arange(len(ids)) - np.repeat(first, size)).astype(np.uint64) + np.repeat(seed, size))
-                keep = place % np.uint64(WINDOW_SHARE) == 0
-                rows = np.column_stack([ids[keep], around[keep]]).astype(np.int32)
-                window = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), 2 * SIDE + 1).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(place[keep]).view(np.int64)), window], ["place", "window"])
-
-    drawn = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(draw, "place long, window array<int>"))
-    shards = max(1, -(-drawn.count() // SHARD))
+                ids, found = _ids(known.value, data, offsets)
+                first = found.first
+                seeds = mix(mix(keys[at:to].copy()) + raw_sequences(found.hashes, first[:-1], first[1:]))
+                place, pieces, n = [], [], []
+                margin = np.full(SIDE, len(known.value.classes) - 1, np.int16)
+                for seed, low, high in zip(seeds, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    whole = np.concatenate([margin, ids[low:high].astype(np.int16), margin])
+                    for number, start in enumerate(range(0, high - low, PIECE)):
+                        part = whole[start : start + PIECE + 2 * SIDE]
+                        place.append(seed + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15))
+                        pieces.append(part.tobytes())
+                        n.append(len(part) - 2 * SIDE)
+                if place:
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(np.array(place, np.uint64)).view(np.int64)), pa.array(n, pa.int64()), pa.array(pieces, pa.binary())], ["place", "n", "ids"])
+
+    pieces = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "place long, n long, ids binary"))
+    shards = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // SHARD))
     random = np.random.default_rng(1)
     ids = len(vocab.classes)
     flat = _pack(Network(random.normal(0, 0.1, (2 * SIDE, ids, WIDTH)), random.normal(0, 0.1, (WIDTH, CLASSES)), np.zeros(CLASSES)))
-    dealt = drawn.select(F.pmod("place", F.lit(shards)).alias("shard"), "window")
+    dealt = pieces.select(F.pmod("place", F.lit(shards)).alias("shard"), "ids")
     for step in range(ROUNDS):
         common = spark.sparkContext.broadcast(flat)
 
         def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            window = np.stack(rows["window"].to_list())
-            window = window[np.lexsort(window.T)]
-            net = _train(_unpack(common.value, ids), window[:, 1:], known.value.classes[window[:, 0]], int(key[0]), rate)  # noqa: B023
-            return pd.DataFrame({"shard": [key[0]], "n": [float(len(rows))], "weights": [(_pack(net) * len(rows)).tobytes()]})
+            around, target = _unrolled(sorted(rows["ids"]))
+            net = _train(_unpack(common.value, ids), around, known.value.classes[target], int(key[0]), rate)  # noqa: B023
+            return pd.DataFrame({"shard": [key[0]], "n": [float(len(target))], "weights": [(_pack(net) * len(target)).tobytes()]})
 
         def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("part")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortine.llm import decontaminate, jaccard, language, licences, line_dedup, packing, pseudo_likelihood, sentence_spans, token_store
+from cohortine.llm import decontaminate, jaccard, language, licences, line_dedup, packing, pseudo_likelihood, sentence_spans, text_keys, token_store
 from cohortine.llm.scratch import folder
 
 from .conftest import LOWER, texts_of
@@ -252,21 +252,35 @@ def test_alignment_against_brute_force():
     assert hits > 1000
 
 
-def test_sentence_spans(docs, rows, empty):
+def sentences_of(text, longest):
+    """Words of each sentence or part of one."""
+    data = text.encode().translate(LOWER)
+    at = [m.span() for m in re.finditer(SPACED, data)]
+    own = [data[a:b] for a, b in at]
+    opens = set()
+    for i in range(len(own)):
+        last = own[i - 1]
+        closed = longest and len(last) > 1 and last[-1:] in b"\"')]}" and last[-2:-1] in b".!?"
+        if i == 0 or last[-1:] in b".!?" or b"\n" in data[at[i - 1][1] : at[i][0]] or closed:
+            opens.add(i)
+    if longest:
+        hashes = [int(text_keys.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), text_keys.SPACED).hashes[0]) for w in own]
+        cuts = {max(range(j, j + 8), key=lambda k: (-hashes[k], k)) for j in range(len(own) - 7)}
+        starts = sorted(opens)
+        for a, b in zip(starts, [*starts[1:], len(own)]):
+            if b - a > longest:
+                opens |= {c for c in cuts if a <= c < b}
+    starts = sorted(opens)
+    return [own[a:b] for a, b in zip(starts, [*starts[1:], len(own)])]
+
+
+@pytest.mark.parametrize("longest", [None, sentence_spans.LONGEST])
+def test_sentence_spans(docs, rows, empty, longest):
     unique = sorted((i, t[0]) for i, t in texts_of(rows).items() if len(set(t)) == 1 and t[0] is not None)
     df = docs.where(F.col("doc_id").isNull() | F.col("doc_id").isin([i for i, _ in unique]))
     first, gone = set(), {}
     for i, text in unique:
-        sentences = []
-        for line in text.split("\n"):
-            now = []
-            for w in words(line, SPACED):
-                now.append(w)
-                if w[-1:] in b".!?":
-                    sentences.append(now)
-                    now = []
-            if now:
-                sentences.append(now)
+        sentences = sentences_of(text, longest)
         for a in range(len(sentences)):
             b, run = a, []
             while b < len(sentences) and (b - a < 2 or len(run) < 16):
@@ -276,15 +290,15 @@ def test_sentence_spans(docs, rows, empty):
                 if tuple(run) in first:
                     gone.setdefault(i, set()).update(range(a, b))
                 first.add(tuple(run))
-    spans = sentence_spans.duplicate_spans(df)
+    spans = sentence_spans.duplicate_spans(df, longest=longest)
     got = {}
     for r in spans.collect():
         got.setdefault(r.doc_id, set()).update(range(r.first_sentence, r.last_sentence + 1))
         assert r.first_doc_id <= r.doc_id
     assert got == gone and got
-    out = {r.doc_id: r.text for r in sentence_spans.remove_spans(df, spans).collect()}
+    out = {r.doc_id: r.text for r in sentence_spans.remove_spans(df, spans, longest).collect()}
     assert all((out[i] == t) == (i not in gone) for i, t in unique)
-    assert sentence_spans.duplicate_spans(empty).count() == 0
+    assert sentence_spans.duplicate_spans(empty, longest=longest).count() == 0
 
 
 def test_spans_of_long_sentences(spark):
@@ -470,6 +484,88 @@ def test_words_outside_the_vocabulary_have_their_own_share(spark, monkeypatch):
     assert (got[2], got[3], got[4]) == pytest.approx((flat + np.log(3 / 5), flat + np.log(2 / 5), 0.0), abs=1e-6)
 
 
+def small_network(rnd, ids):
+    return pseudo_likelihood.Network(
+        rnd.normal(0, 0.3, (4, ids, pseudo_likelihood.WIDTH)).astype(np.float32), rnd.normal(0, 0.3, (pseudo_likelihood.WIDTH, pseudo_likelihood.CLASSES)).astype(np.float32),
+        rnd.normal(0, 0.3, pseudo_likelihood.CLASSES).astype(np.float32),
+    )
+
+
+def test_training_follows_the_slope():
+    """The first step of a batch against differences of its loss."""
+    rnd = np.random.default_rng(2)
+    net = small_network(rnd, 9)
+    around, target = rnd.integers(0, 9, (40, 4)).astype(np.int16), rnd.integers(0, 20, 40)
+
+    def loss(parts):
+        total = 0.0
+        for window, want in zip(around, target, strict=True):
+            hidden = np.tanh(sum(parts[0][p, i] for p, i in enumerate(window)))
+            scores = hidden @ parts[1] + parts[2]
+            total -= scores[want] - np.log(np.exp(scores).sum())
+        return total / len(target)
+
+    after = pseudo_likelihood._train(net, around, target, 1, 0.1)
+    wide = [np.array(x, np.float64) for x in net]
+    for part in range(3):
+        for spot in [tuple(rnd.integers(0, n) for n in net[part].shape) for _ in range(25)]:
+            up, down = ([x.copy() for x in wide] for _ in range(2))
+            up[part][spot] += 1e-5
+            down[part][spot] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            step = -0.1 * slope / np.sqrt(1e-2 + slope**2)
+            assert after[part][spot] - net[part][spot] == pytest.approx(step, abs=2e-4)
+
+
+def test_scores_of_a_network_against_a_plain_sum(spark):
+    """Each token's log-probability written out: its class given both sides, its share of the class, rare words' own share."""
+    rnd = np.random.default_rng(4)
+    texts = [" ".join(rnd.choice(list("abcdefghij"), n)) for n in (1, 2, 3, 40, 90)] + ["zz Zz yy a", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = {}
+    for w in (w for t in texts for w in words(t, ALNUM)):
+        counts[w] = counts.get(w, 0) + 1
+    old, pseudo_likelihood.VOCABULARY = pseudo_likelihood.VOCABULARY, 8
+    try:
+        vocab = pseudo_likelihood.vocabulary(df)
+        net = small_network(rnd, len(vocab.classes))
+        got = {r.doc_id: r.log_prob for r in pseudo_likelihood.score(df, vocab, net).collect()}
+    finally:
+        pseudo_likelihood.VOCABULARY = old
+    from cohortine.llm.text_keys import ALNUM as LETTERS, words as hashed
+
+    def id_of(word):
+        h = hashed(np.frombuffer(word, np.uint8), np.array([0, len(word)]), LETTERS).hashes[0]
+        hit = np.flatnonzero(vocab.hashes == h)
+        return int(vocab.ids[hit[0]]) if len(hit) else 0
+
+    ids = {w: id_of(w) for w in counts}
+    known = {w for w in counts if ids[w]}
+    assert len(known) == 8
+    rest = sum(n for w, n in counts.items() if w not in known)
+    mass = {}
+    for w, n in counts.items():
+        mass[vocab.classes[ids[w]]] = mass.get(vocab.classes[ids[w]], 0) + n
+    edge = len(vocab.classes) - 1
+    for doc, text in enumerate(texts):
+        own, total = words(text, ALNUM), 0.0
+        for at, w in enumerate(own):
+            near = [ids[own[p]] if 0 <= p < len(own) else edge for p in (at - 2, at - 1, at + 1, at + 2)]
+            hidden = np.tanh(sum(net.embed[p, i].astype(float) for p, i in enumerate(near)))
+            scores = hidden @ net.out + net.bias
+            cls = vocab.classes[ids[w]]
+            total += scores[cls] - np.log(np.exp(scores).sum()) + (np.log(counts[w] / mass[cls]) if w in known else np.log(counts[w] / rest))
+        assert got[doc] == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
+def test_every_token_is_a_window():
+    margin = np.full(2, 99, np.int16)
+    pieces = [np.concatenate([margin, np.arange(5, dtype=np.int16), margin]).tobytes(), np.concatenate([[3, 4], np.arange(1, dtype=np.int16), margin]).astype(np.int16).tobytes()]
+    around, target = pseudo_likelihood._unrolled(pieces)
+    assert target.tolist() == [0, 1, 2, 3, 4, 0]
+    assert around.tolist() == [[99, 99, 1, 2], [99, 0, 2, 3], [0, 1, 3, 4], [1, 2, 4, 99], [2, 3, 99, 99], [3, 4, 99, 99]]
+
+
 def test_scores_do_not_change_with_partitions(spark):
     rnd = np.random.default_rng(6)
     rows = [(i, " ".join(rnd.choice(list("abcdefgh"), 300))) for i in range(40)]
