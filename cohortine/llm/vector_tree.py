@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,27 +173,42 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMP
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(file_under(held.value, _matrix(batch.column(1))))], ["vec_id", "embedding", "leaf"])
 
+    filed = saved(rows.mapInArrow(file_all, "vec_id long, embedding array<double>, leaf long"))
+    n_leaves, wanted = sum(not c for c in tree.children), min(k, total - 1)
+    found = saved(_compared(queries, filed, held, most, k, block))
+    while most < n_leaves:  # a query whose leaves held too few others visits more of its queue, the same leaves first
+        full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= wanted).select(F.col("query_id").alias("vec_id"))
+        short = saved(queries.join(full, "vec_id", "left_anti"))
+        if short.isEmpty():
+            break
+        most = min(n_leaves, 4 * most)
+        more = _compared(short, filed, held, most, k, block)
+        found = saved(found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(more))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _compared(queries: DataFrame, filed: DataFrame, held: object, most: int, k: int, block: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) over the rows of the first `most` leaves of each query's queue, in blocks of a leaf's
+    rows and of its visitors."""
+
     def visit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = [visits(held.value, q, most) for q in _matrix(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.list_(pa.int64()))], ["vec_id", "embedding", "leaves"])
 
-    filed = saved(rows.mapInArrow(file_all, "vec_id long, embedding array<double>, leaf long"))
+    def compare(own: pa.Table, others: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(own) and len(others):
+            ids, points, numbers, ask = (f(t.column(c).combine_chunks()) for t in (own, others) for c, f in (("vec_id", pa.Array.to_numpy), ("embedding", _matrix)))
+            found += [(np.full(len(near), number), near, far) for number, near, far in _best(ids, points, numbers, ask, k)]
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+
     asked = saved(queries.mapInArrow(visit_all, "vec_id long, embedding array<double>, leaves array<long>").select("vec_id", "embedding", F.explode("leaves").alias("leaf")))
     parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = saved(parts(filed, "n_rows").join(parts(asked, "n_asked"), "leaf"))
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     index = filed.join(sizes, "leaf").select("leaf", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), "n_rows").cast("int").alias("i"), every("n_asked").alias("j"))
     visitors = asked.join(sizes, "leaf").select("leaf", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), "n_asked").cast("int").alias("j"), every("n_rows").alias("i"))
-
-    def compare(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(others):
-            points, ask = (np.stack(x["embedding"].to_list()) for x in (own, others))
-            for number, ids, far in _best(own["vec_id"].to_numpy(), points, others["vec_id"].to_numpy(), ask, k):
-                out.append(pd.DataFrame({"query_id": number, "vec_id": ids, "score": far}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    found = index.groupBy("leaf", "i", "j").cogroup(visitors.groupBy("leaf", "i", "j")).applyInPandas(compare, "query_id long, vec_id long, score double")
+    found = index.groupBy("leaf", "i", "j").cogroup(visitors.groupBy("leaf", "i", "j")).applyInArrow(compare, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

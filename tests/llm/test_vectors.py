@@ -36,6 +36,18 @@ def test_search(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_small_leaves_widen_their_visits(spark):
+    """Outliers alone in their leaves beside a tight cluster that calibrates to one visit still get all their neighbours."""
+    rnd = np.random.default_rng(5)
+    points = {i: rnd.normal(size=4) * 1e-3 for i in range(1, 3000)} | {100 * i: np.full(4, 50.0 * i) for i in range(1, 6)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in points.items()], "vec_id long, embedding array<double>").repartition(3)
+    rows = vector_tree.search(df, F.col("vec_id") % 100 == 0, recall=0.0).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r["rank"])
+    assert set(got) == {i for i in points if i % 100 == 0} and all(g == list(range(1, 11)) for g in got.values())
+
+
 def test_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0], 0, "", 0), (1, [1.0, 3.0], 0, "", 0), (2, [1.0, 1.0], 0, "", 0)], SCHEMA)
     out = vector_tree.search(few, F.col("vec_id") % 100 == 0).collect()
