@@ -28,6 +28,8 @@ from . import bloom
 from .scratch import saved
 from .text_keys import SPACED, Words, lines, mix, powers, raw_sequences, slices, words
 
+#: Into so many parts the lines that share an earliest neighbour are dealt.
+SALTS = 32
 NEAR_WORDS = 8
 _DELETED, _BLANKED = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -149,7 +151,11 @@ def near_lines(docs: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFram
         .union(others.join(ends, "variant").select("key", "m", F.expr("CASE kind WHEN 'W' THEN D ELSE W END")))
         .where("partner.at < m.at AND partner.key <> key").join(able.select("key", "at"), "key").where("m.at = at")
     )
-    pairs = found.groupBy("key").agg(F.min("partner").alias("partner")).select("key", F.col("partner.key").alias("other"))
+    # many lines may share one earliest neighbour: they are dealt by a salt, and its words go to every salt
+    pairs = saved(
+        found.groupBy("key").agg(F.min("partner").alias("partner"))
+        .select("key", F.col("partner.key").alias("other"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    )
     texts = variants.where("kind = 'W'").select("key", "words").dropDuplicates(["key"])
     same_size = F.size(F.filter(F.zip_with("words", "owords", lambda x, y: x != y), lambda d: d)) == 1
     longer = F.when(F.size("words") > F.size("owords"), F.col("words")).otherwise(F.col("owords"))
@@ -159,8 +165,10 @@ def near_lines(docs: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFram
         lambda i: (F.slice("longer", 1, i) == F.slice("shorter", 1, i))
         & (F.slice("longer", i + 2, F.size("longer")) == F.slice("shorter", i + 1, F.size("longer"))),
     )
+    others = texts.join(pairs.select(F.col("other").alias("key")).distinct(), "key", "left_semi")
+    others = others.select(F.col("key").alias("other"), F.col("words").alias("owords"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     checked = (
-        pairs.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("words").alias("owords")), "other")
+        pairs.join(texts, "key").join(others, ["other", "salt"])
         .withColumn("longer", longer).withColumn("shorter", shorter)
     )
     return checked.where(F.when(F.size("longer") == F.size("shorter"), same_size).otherwise((F.size("longer") == F.size("shorter") + 1) & one_less)).select("key")
