@@ -15,33 +15,42 @@ from cohortine.llm.scratch import few, saved
 LEAST_SCORE = 0.5
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less the rows with one of these doc_ids, all columns as they are, whatever their names. A null doc_id stays."""
+    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*(f"`{c.replace('`', '``')}`" for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled rows of the table; undetermined ones go."""
+    """Documents in one of the languages learned from the labelled rows of the table; undetermined ones go, null, empty and
+    letterless texts among them. Rows that repeat a doc_id are judged one by one. No documents give none."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     model = language.fit(docs.where(~held_out))
     return language.keep_identified(docs, model, LEAST_SCORE)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less their repeated lines; documents of which nothing is left go."""
+    """Texts less their repeated lines; documents of which nothing is left go, and so do null and blank ones. A row with a null
+    doc_id keeps its lines."""
     return line_dedup.dedup_lines(docs).where(F.col("text").rlike(r"\S"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
+    """One document of each group of near duplicates: that with the smallest doc_id. Rows that repeat a doc_id stay or go
+    together; those without doc_id, words or text stay."""
     groups = jaccard.similar_documents(docs)
     copies = few(saved(groups.where("component_id <> doc_id").select("doc_id")))
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, copies)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item. An empty benchmark leaves all; rows that repeat a doc_id stay or go
+    together, and those without one stay."""
     _, hits = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(few(saved(hits.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, few(saved(hits.select("doc_id").distinct())))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document is packed."""
+    """Where each piece of each document is packed; null and blank texts have no piece."""
     return packing.pack(docs)
 
 
@@ -53,8 +62,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Code lengths, edit distances and the choice of boundaries are not expressible in SQL; tests hold the stages against
-#: brute force.
+#: Code lengths, edit distances and the choice of boundaries are not expressible in SQL; tests hold each stage's operator
+#: against brute force, and the stages against what must hold after them.
 ORACLE_SQL = None
 
 
