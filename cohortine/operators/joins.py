@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortine.operators.ordering import CELLS, HOT_ROWS, _cell, number_rows
+from cohortine.operators.ordering import ROWS_PER_CELL, cut, number_rows, splits
 
 
 def outer_bridge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -96,28 +96,19 @@ def nearest_join(
     point: str,
     target: str,
     name: str = "nearest",
-    hot_rows: int = HOT_ROWS,
-    cells: int = CELLS,
+    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Position of the closest target of the group; the lower one on equal distance.
 
     Both tables are merged along the axis and each point looks at the last target before
-    it and the first one after it, so no pairs are formed. Hot groups are cut into cells.
+    it and the first one after it, so no pairs are formed. Large groups are cut into cells.
     """
     keys = list(by)
     kept = [c for c in points.columns if c not in keys]
     p = points.select(*keys, F.col(point).alias("__x"), F.struct(*kept).alias("__row"))
     t = targets.select(*keys, F.col(target).alias("__x"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"))
     both = p.withColumn("__t", F.lit(False)).unionByName(t.withColumn("__t", F.lit(True)))
-    hot = (
-        both.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-        .where(F.col("__n") > F.lit(hot_rows))
-        .drop("__n")
-    )
-    tagged = both.join(F.broadcast(hot), keys, "left").withColumn(
-        "__cell", _cell(F.col("__x"), F.col("__lo"), F.col("__hi"), cells)
-    )
+    points_at = splits(both, keys, F.col("__x"), rows_per_cell)
     here = F.when(F.col("__t"), F.col("__x"))
     # Both frames grow row by row; a frame that ends with the group would be read anew for every row.
     cell = Window.partitionBy(*keys, "__cell")
@@ -125,7 +116,7 @@ def nearest_join(
     ahead = cell.orderBy(F.col("__x").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy(*keys).orderBy("__cell")
     borders = (
-        tagged.where(F.col("__lo").isNotNull())
+        cut(both, keys, F.col("__x"), points_at, large=True)
         .groupBy(*keys, "__cell")
         .agg(F.max(here).alias("__top"), F.min(here).alias("__bottom"))
         .withColumn("__p", F.max("__top").over(across.rowsBetween(Window.unboundedPreceding, -1)))
@@ -133,10 +124,11 @@ def nearest_join(
         .drop("__top", "__bottom")
     )
     seen = (
-        tagged.withColumn("__before", F.max(here).over(back))
+        cut(both, keys, F.col("__x"), points_at)
+        .withColumn("__before", F.max(here).over(back))
         .withColumn("__after", F.min(here).over(ahead))
         .where(~F.col("__t"))
-        .join(F.broadcast(borders), [*keys, "__cell"], "left")
+        .join(borders, [*keys, "__cell"], "left")
     )
     lower = F.coalesce("__before", "__p")
     upper = F.coalesce("__after", "__q")

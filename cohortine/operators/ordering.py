@@ -12,19 +12,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-CELLS = 1024
+#: A group of more rows is cut into cells of about so many; cells of a group at most.
+ROWS_PER_CELL = 1_000_000
+MOST_CELLS = 256
 HASH_HEX = 3
 
 
-def _cell(value: Column, lo: Column, hi: Column, cells: int) -> Column:
-    """Equal-width cell of a value between two bounds; monotone in the value."""
-    span = hi.cast("double") - lo.cast("double")
-    share = (value.cast("double") - lo.cast("double")) / F.nullif(span, F.lit(0.0))
-    return F.coalesce(
-        F.greatest(F.lit(0), F.least(F.floor(share * F.lit(float(cells))), F.lit(cells - 1))),
-        F.lit(0),
-    ).cast("int")
+def _spread(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """Number of rows and evenly filled split points of a value, by a mergeable sketch."""
+    steps = F.array(*(F.lit(i / MOST_CELLS) for i in range(1, MOST_CELLS)))
+    aggs = F.count(F.lit(1)).alias("__n"), F.percentile_approx(value.cast("double"), steps, 20 * MOST_CELLS).alias("__q")
+    return rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
+
+
+def _splits(rows_per_cell: int) -> Column:
+    """Those of the split points that leave a cell about so many rows; none where one cell is enough."""
+    every = F.greatest(F.lit(1), F.floor(F.lit(MOST_CELLS) / F.ceil(F.col("__n") / F.lit(rows_per_cell))))
+    return F.filter("__q", lambda _, i: (i + 1) % every == 0)
+
+
+def splits(df: DataFrame, keys: Sequence[str], value: Column, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """(keys, __s): the split points of each group of more than ``rows_per_cell`` rows with a value.
+
+    They are quantiles, so it does not matter where the values of a group crowd. There are at most rows / rows_per_cell such
+    groups, and 2 * rows / rows_per_cell split points together, a million for 5 * 10 ** 11 rows; that bounds what is
+    broadcast here and by those who join with them. A join by the group's key would bring a large group into one task.
+    """
+    valued = df.where(value.isNotNull())
+    if keys:
+        large = valued.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_cell)
+        valued = valued.join(F.broadcast(large.select(*keys)), list(keys), "left_semi")
+    return _spread(valued, keys, value).select(*keys, _splits(rows_per_cell).alias("__s"))
+
+
+def cut(df: DataFrame, keys: Sequence[str], value: Column, points: DataFrame, large: bool = False) -> DataFrame:
+    """df with ``__cell``, monotone in the value inside each group and about evenly filled, by the groups' split points.
+
+    A value more frequent than a cell shares its cell with less than one cell of other rows. Rows without a value are in the first cell, and so are all rows
+    of a group without split points; ``large`` leaves such groups out.
+    """
+    if keys:
+        tagged = df.join(F.broadcast(points), list(keys), "inner" if large else "left")
+    else:
+        tagged = df.withColumn("__s", points.scalar())
+    below = F.size(F.filter("__s", lambda x: x < value.cast("double")))
+    return tagged.withColumn("__cell", F.when(F.col("__s").isNull(), 0).otherwise(below)).drop("__s")
 
 
 def number_rows(
@@ -33,36 +65,23 @@ def number_rows(
     order: Sequence[Column],
     lead: Column,
     name: str = "rn",
-    hot_rows: int = HOT_ROWS,
-    cells: int = CELLS,
+    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
-    """row_number() inside ``by`` that splits groups of more than ``hot_rows`` rows.
+    """row_number() inside ``by`` that cuts large groups; see ``splits``.
 
-    ``lead`` is a numeric expression that never decreases along ``order``. At most
-    rows / hot_rows keys are hot, which bounds both broadcast tables.
+    ``lead`` is a numeric expression that never decreases along ``order``.
     """
     keys = list(by)
-    hot = (
-        df.where(lead.isNotNull())
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(lead).alias("__lo"), F.max(lead).alias("__hi"))
-        .where(F.col("__n") > F.lit(hot_rows))
-        .drop("__n")
-    )
-    cell = _cell(lead, F.col("__lo"), F.col("__hi"), cells)
-    tagged = df.join(F.broadcast(hot), keys, "left").withColumn("__cell", cell)
+    points = splits(df, keys, lead, rows_per_cell)
     inside = Window.partitionBy(*keys, "__cell").orderBy(*order)
-    numbered = tagged.withColumn("__inside", F.row_number().over(inside)).drop("__lo", "__hi")
+    numbered = cut(df, keys, lead, points).withColumn("__inside", F.row_number().over(inside))
     earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.join(F.broadcast(hot), keys)
-        .groupBy(*keys, cell.alias("__cell"))
-        .agg(F.count(F.lit(1)).alias("__m"))
-        .withColumn("__before", F.sum("__m").over(earlier))
-        .drop("__m")
+        cut(df, keys, lead, points, large=True).groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__m"))
+        .withColumn("__before", F.sum("__m").over(earlier)).drop("__m")
     )
     return (
-        numbered.join(F.broadcast(offsets), [*keys, "__cell"], "left")
+        numbered.join(offsets, [*keys, "__cell"], "left")
         .withColumn(name, (F.col("__inside") + F.coalesce("__before", F.lit(0))).cast("bigint"))
         .drop("__inside", "__before", "__cell")
     )
@@ -98,31 +117,15 @@ def running_totals(
     by: Sequence[str],
     value: str,
     measures: Sequence[str],
-    bounds: tuple[float, float] | None = None,
-    cells: int = CELLS,
+    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<measure>`` and totals ``all_<measure>`` along ``value``.
 
-    ``df`` holds one row per (by, value). Known bounds save the pass that finds them.
+    ``df`` holds one row per (by, value); large groups are cut, see ``splits``.
     """
     keys = list(by)
     group = [F.col(k) for k in keys] or [F.lit(0)]
-    if bounds is not None:
-        lo, hi = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
-        tagged = df.withColumn("__cell", _cell(F.col(value), lo, hi, cells))
-    elif keys:
-        ends = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        tagged = (
-            df.join(ends, keys)
-            .withColumn("__cell", _cell(F.col(value), F.col("__lo"), F.col("__hi"), cells))
-            .drop("__lo", "__hi")
-        )
-    else:
-        ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-        tagged = df.withColumn(
-            "__cell",
-            _cell(F.col(value), ends.select("lo").scalar(), ends.select("hi").scalar(), cells),
-        )
+    tagged = cut(df, keys, F.col(value), splits(df, keys, F.col(value), rows_per_cell))
     across = Window.partitionBy(*group)
     earlier = across.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = tagged.groupBy(*keys, "__cell").agg(*[F.sum(m).alias(f"__{m}") for m in measures])
@@ -149,7 +152,6 @@ def mid_ranks(
     by: Sequence[str],
     value: str,
     carry: Sequence[str] = (),
-    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Average ranks of ``value`` inside ``by``, as a table of distinct values.
 
@@ -159,7 +161,7 @@ def mid_ranks(
     dense = df.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in carry]
     )
-    ranked = running_totals(dense, keys, value, ["n"], bounds)
+    ranked = running_totals(dense, keys, value, ["n"])
     return ranked.withColumn("mid_rank", F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0)
 
 
@@ -168,12 +170,11 @@ def group_medians(
     by: Sequence[str],
     value: str,
     name: str = "median",
-    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Exact median of ``value`` per group, from value counts instead of a value buffer."""
     keys = list(by)
     dense = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(dense, keys, value, ["n"], bounds)
+    ranked = running_totals(dense, keys, value, ["n"])
     low = F.floor((F.col("all_n") + 1) / 2)
     high = F.floor(F.col("all_n") / 2) + 1
     before = F.col("cum_n") - F.col("n")
@@ -202,35 +203,24 @@ def ordered_gaps(
     by: Sequence[str],
     value: str,
     name: str = "gap",
-    cells: int = CELLS,
-    hot_rows: int = HOT_ROWS,
+    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Differences of neighbouring sorted values inside ``by``; one row per gap.
 
-    Hot groups are cut into cells; the gap over a cell border comes from the ends of the
-    two cells.
+    Large groups are cut into cells; the gap over a cell border comes from the ends of the two cells.
     """
     keys = list(by)
-    ends = (
-        df.groupBy(*keys)
-        .agg(F.count(value).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        .where(F.col("__n") > F.lit(hot_rows))
-        .drop("__n")
-    )
-    tagged = (
-        df.where(F.col(value).isNotNull())
-        .join(F.broadcast(ends), keys, "left")
-        .withColumn("__cell", _cell(F.col(value), F.col("__lo"), F.col("__hi"), cells))
-    )
+    rows, x = df.where(F.col(value).isNotNull()), F.col(value)
+    points = splits(rows, keys, x, rows_per_cell)
     inside = Window.partitionBy(*keys, "__cell").orderBy(value)
     inner = (
-        tagged.withColumn(name, F.col(value) - F.lag(value).over(inside))
+        cut(rows, keys, x, points).withColumn(name, F.col(value) - F.lag(value).over(inside))
         .where(F.col(name).isNotNull())
         .select(*keys, name)
     )
     across = Window.partitionBy(*keys).orderBy("__cell")
     borders = (
-        tagged.where(F.col("__lo").isNotNull())
+        cut(rows, keys, x, points, large=True)
         .groupBy(*keys, "__cell")
         .agg(F.min(value).alias("__first"), F.max(value).alias("__last"))
         .withColumn(name, F.col("__first") - F.lag("__last").over(across))

@@ -42,7 +42,7 @@ def binary_metrics(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFram
     )
 
 
-def roc_auc(df: DataFrame, by: Sequence[str], y: str, p: str, bounds: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
+def roc_auc(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     """Tie-aware area under the curve; null when only one class occurs.
 
     Rows collapse to one per distinct score before anything is ordered.
@@ -50,7 +50,7 @@ def roc_auc(df: DataFrame, by: Sequence[str], y: str, p: str, bounds: tuple[floa
     dense = df.groupBy(*by, p).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
-    run = running_totals(dense, by, p, ["pos", "neg"], bounds)
+    run = running_totals(dense, by, p, ["pos", "neg"])
     won = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)
     return run.groupBy(*by).agg(
         F.try_divide(F.sum(won), F.max("all_pos").cast("double") * F.max("all_neg")).alias("auc")
@@ -143,6 +143,8 @@ def paired_t(model: DataFrame, base: DataFrame, by: Sequence[str], cell: Sequenc
 
 def wilcoxon(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     """Signed-rank test: W+, W-, z, the normal p values and the exact one where it applies."""
+    if not by:
+        return wilcoxon(df.select(diff, F.lit(1).alias("__all")), ["__all"], diff).drop("__all")
     d = df.where(F.col(diff) != 0).select(
         *by, F.abs(diff).alias("__a"), (F.col(diff) > 0).cast("bigint").alias("__p")
     )
@@ -166,9 +168,7 @@ def wilcoxon(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
         tails.signed_rank_exact(exact, n).alias("p_exact"),
     )
     # A group without any difference keeps its row: nothing speaks against equality.
-    groups = df.where(F.col(diff).isNotNull()).groupBy(*by).agg(F.bool_and(F.col(diff) == 0).alias("__same")) if by else None
-    if groups is None:
-        return tested
+    groups = df.where(F.col(diff).isNotNull()).groupBy(*by).agg(F.bool_and(F.col(diff) == 0).alias("__same"))
     blank = {"n": 0, "w_plus": 0.0, "w_minus": 0.0, "p_normal": 1.0, "p_greater": 1.0, "p_exact": 1.0}
     filled = [F.when(F.col("__same"), F.lit(v)).otherwise(F.col(c)).cast(tested.schema[c].dataType).alias(c) for c, v in blank.items()]
     return groups.join(tested, list(by), "left").select(*by, *filled, "z")

@@ -32,13 +32,13 @@ def groups(rows):
 
 @pytest.mark.parametrize("hot_rows", [5, 100, 10_000])
 def test_number_rows(table, rows, hot_rows):
-    got = o.number_rows(table, ["k"], [F.col("x"), F.col("id")], F.col("x"), "rn", hot_rows, cells=13).collect()
+    got = o.number_rows(table, ["k"], [F.col("x"), F.col("id")], F.col("x"), "rn", hot_rows).collect()
     want = {(k, i): n for k, v in groups(rows).items() for n, (_, i) in enumerate(v, 1)}
     assert {(r.k, r.id): r.rn for r in got} == want
 
 
 def test_number_rows_descending(table, rows):
-    got = o.number_rows(table, ["k"], [F.col("x").desc(), F.col("id")], -F.col("x"), "rn", 20, cells=9).collect()
+    got = o.number_rows(table, ["k"], [F.col("x").desc(), F.col("id")], -F.col("x"), "rn", 20).collect()
     want = {}
     for k, v in groups(rows).items():
         for n, (_, i) in enumerate(sorted(v, key=lambda t: (-t[0], t[1])), 1):
@@ -46,6 +46,30 @@ def test_number_rows_descending(table, rows):
     assert {(r.k, r.id): r.rn for r in got} == want
 
 
+def test_cells_are_even_where_values_crowd(spark):
+    """95 % of a group at one end, a tenth of another in one value, a third group small."""
+    rows = [("end", 1e9 if i % 20 == 0 else i / 1e4) for i in range(20_000)] + [("tie", 5.0 if i % 10 == 0 else float(i)) for i in range(20_000)]
+    rows += [("small", float(i)) for i in range(90)] + [("end", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    cells = o.cut(df, ["k"], F.col("x"), o.splits(df, ["k"], F.col("x"), 100)).groupBy("k", "__cell").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("k", "__cell").collect()
+    size = {k: [(r.n, r.lo, r.hi) for r in cells if r.k == k] for k in ("end", "tie", "small")}
+    assert [n for n, _, _ in size["small"]] == [90]
+    for k, heavy in (("end", 1e9), ("tie", 5.0)):
+        assert all(a[2] < b[1] for a, b in zip(size[k], size[k][1:]))
+        spread = [n for n, lo, hi in size[k] if not lo <= heavy <= hi]
+        assert len(spread) > 100 and max(spread) <= 2 * sum(spread) / len(spread)
+    end = df.where("k = 'end'")
+    whole = o.cut(end, [], F.col("x"), o.splits(end, [], F.col("x"), 5_000)).groupBy("__cell").count().collect()
+    assert 3 <= len(whole) <= 6
+
+
+def test_running_totals_are_cut(table, rows):
+    dense = table.groupBy("k", "x").agg(F.count("*").alias("n"))
+    for size in (7, 10_000):
+        got = {(r.k, r.x): (r.cum_n, r.all_n) for r in o.running_totals(dense, ["k"], "x", ["n"], size).collect()}
+        assert got == {(k, x): (sum(y <= x for y, _ in v), len(v)) for k, v in groups(rows).items() for x, _ in v}
+
+
 def test_running_totals_and_mid_ranks(table, rows):
     got = {(r.k, r.x): (r.n, r.mid_rank, r.all_n) for r in o.mid_ranks(table, ["k"], "x").collect()}
     for k, v in groups(rows).items():
@@ -70,7 +94,7 @@ def test_group_medians_and_modes(table, rows):
 @pytest.mark.parametrize("hot_rows", [5, 10_000])
 def test_ordered_gaps(table, rows, hot_rows):
     got = {}
-    for r in o.ordered_gaps(table, ["k"], "x", cells=17, hot_rows=hot_rows).collect():
+    for r in o.ordered_gaps(table, ["k"], "x", rows_per_cell=hot_rows).collect():
         got.setdefault(r.k, []).append(r.gap)
     for k, v in groups(rows).items():
         xs = [x for x, _ in v]
@@ -91,7 +115,7 @@ def test_hash_positions(table, rows):
 @pytest.mark.parametrize("hot_rows", [5, 10_000])
 def test_nearest_join(table, rows, hot_rows):
     p, t = table.where("id % 3 > 0"), table.where("id % 3 = 0").select("k", F.col("x").alias("y"))
-    got = {(r.k, r.id): r.nearest for r in nearest_join(p, t, ["k"], "x", "y", hot_rows=hot_rows, cells=11).collect()}
+    got = {(r.k, r.id): r.nearest for r in nearest_join(p, t, ["k"], "x", "y", rows_per_cell=hot_rows).collect()}
     for k, v in groups(rows).items():
         ys = [x for x, i in v if i % 3 == 0]
         for x, i in v:
