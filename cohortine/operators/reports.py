@@ -61,10 +61,20 @@ def with_hash(facts: DataFrame) -> DataFrame:
 
 
 def render_reports(facts: DataFrame, lang: str, seed: int) -> DataFrame:
-    """Adds findings, impression and the full report text."""
-    v = facts.withColumn("__v", R.choose_variants(F.col("case_id"), seed))
-    findings, impression = R.render(fact_columns(), F.col("__v"), lang)
-    out = v.withColumn("findings", findings).withColumn("impression", impression).drop("__v")
+    """Adds findings, impression and the full report text.
+
+    Clauses, sentences and paragraphs are columns one after the other, so that each is made once however often it is used.
+    """
+    f, v = fact_columns(), F.col("__v")
+    out = facts.withColumn("__v", R.choose_variants(F.col("case_id"), seed))
+    first = R.side_first(f, v)
+    sides = ("right", "left")
+    out = out.withColumns({f"__c_{s}": R.side_clauses(F.col(s), s, v, lang) for s in sides})
+    out = out.withColumns({f"__b_{s}": R.side_body(F.col(f"__c_{s}"), s, v, lang) for s in sides})
+    out = out.withColumns({f"__s_{s}": R.side_sentence(F.col(f"__b_{s}"), s, first[s], v, lang) for s in sides})
+    findings = R.findings_text(f, v, {s: F.col(f"__s_{s}") for s in sides}, lang)
+    out = out.withColumns({"findings": findings, "impression": R.impression_text(f, v, lang)})
+    out = out.drop("__v", *(f"__{k}_{s}" for k in "cbs" for s in sides))
     return out.withColumn("report", R.full_report(F.col("findings"), F.col("impression"), lang))
 
 
