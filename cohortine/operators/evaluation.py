@@ -95,47 +95,65 @@ def triplet_scores(preds: DataFrame, stones: DataFrame, zone: str, cls: str, see
         & F.col("cls").eqNullSafe(F.col("__cls")),
         "left",
     ).select(*item, "n_full", F.when(F.col("__case_id").isNotNull(), 1).otherwise(0).alias("n_red"))
-    every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
+    # the reference does not depend on the seed: it meets the predictions of all seeds in one row of each tuple
     zero = F.lit(0).cast("bigint")
-    r = ref.select(every, *item, "n_full", F.col("n_red").cast("bigint").alias("n_red"), zero.alias("n_pred"), zero.alias("no_size"))
-    sides = predicted_sides(preds)
-    g = sides.where(F.col("guess").isNotNull() | F.col("no_size_pred")).select(
-        "seed", "case_id", "side", "guess.zone", "guess.cls", zero.alias("n_full"), zero.alias("n_red"),
-        F.col("guess").isNotNull().cast("bigint").alias("n_pred"), F.col("no_size_pred").cast("bigint").alias("no_size"),
-    )
-    cells = r.unionByName(g).groupBy("seed", *item).agg(
-        *[F.sum(c).alias(c) for c in ("n_full", "n_red", "n_pred", "no_size")]
+    mine = lambda s, flag: (flag & (F.col("seed") == s)).cast("bigint")
+    r = ref.select(*item, "n_full", F.col("n_red").cast("bigint").alias("n_red"), *[zero.alias(f"{c}{i}") for i in range(len(seeds)) for c in "pq"])
+    guessed, unsized = F.col("guess").isNotNull(), F.col("no_size_pred")
+    g = predicted_sides(preds).where(guessed | unsized).select(
+        "case_id", "side", "guess.zone", "guess.cls", zero.alias("n_full"), zero.alias("n_red"),
+        *[mine(s, flag).alias(f"{c}{i}") for i, s in enumerate(seeds) for c, flag in (("p", guessed), ("q", unsized))],
     )
-    kinds = F.explode(
-        F.array(
-            F.struct(F.lit("complete").alias("reference"), F.col("n_full").alias("n_ref")),
-            F.struct(F.lit("reduced").alias("reference"), F.col("n_red").alias("n_ref")),
+    measures = ["n_full", "n_red", *[f"{c}{i}" for i in range(len(seeds)) for c in "pq"]]
+    cells = r.unionByName(g).groupBy(*item).agg(*[F.sum(c).alias(c) for c in measures])
+    hits = [F.sum(F.least(f"p{i}", n)).alias(f"t{i}{n}") for i in range(len(seeds)) for n in ("n_full", "n_red")]
+    total = cells.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in measures], *hits)
+    rows = [
+        F.struct(
+            F.lit(s).alias("seed"), F.lit(kind).alias("reference"), F.coalesce(f"t{i}{n}", F.lit(0)).alias("tp"),
+            (F.col(f"p{i}") - F.coalesce(f"t{i}{n}", F.lit(0))).alias("fp"), (F.col(n) - F.coalesce(f"t{i}{n}", F.lit(0))).alias("fn"), F.col(f"q{i}").alias("no_size_pred"),
         )
-    )
-    c = cells.select("seed", "n_pred", "no_size", kinds.alias("k")).select("seed", "n_pred", "no_size", "k.*")
-    hit = F.least("n_pred", "n_ref")
-    sums = c.groupBy("seed", "reference").agg(
-        F.sum(hit).alias("tp"), F.sum(F.col("n_pred") - hit).alias("fp"), F.sum(F.col("n_ref") - hit).alias("fn"),
-        F.sum("no_size").alias("no_size_pred"),
-    )
+        for i, s in enumerate(seeds) for kind, n in (("complete", "n_full"), ("reduced", "n_red"))
+    ]
+    sums = total.select(F.inline(F.array(*rows)))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return sums.select("seed", "reference", "tp", "fp", "fn", *precision_recall(tp, fp, fn), "no_size_pred")
 
 
-def field_scores(preds: DataFrame, stones: DataFrame, zone: str, cls: str, seeds: Sequence[int], cases: DataFrame) -> DataFrame:
-    """Laterality, presence, largest class and single-zone accuracy per seed, over every case of ``cases`` and every side of
-    the reference; a side that a seed did not predict counts as predicted negative."""
-    s = reference_units(preds, stones, zone, cls, seeds)
+def case_sides(units: DataFrame, cases: DataFrame, seeds: Sequence[int]) -> DataFrame:
+    """(seed, case_id, lat_ref, lat_pred) of every case: laterality in the reference and as predicted. A case without any
+    unit is negative on both sides in both."""
     right = F.col("side") == "RIGHT"
     one = lambda flag, side: F.bool_or(F.when(side, flag).otherwise(F.lit(False)))
-    sided = s.groupBy("seed", "case_id").agg(
+    sided = units.groupBy("seed", "case_id").agg(
         laterality_of(one(F.col("has_stone"), right), one(F.col("has_stone"), ~right)).alias("lat_ref"),
         laterality_of(one(F.col("present"), right), one(F.col("present"), ~right)).alias("lat_pred"),
     )
     every = F.explode(F.array(*[F.lit(x) for x in seeds])).alias("seed")
-    # a case without any row is negative on both sides in reference and prediction
-    agree = F.coalesce(F.col("lat_ref") == F.col("lat_pred"), F.lit(True)).cast("double")
-    lat = cases.select("case_id", every).join(sided, ["seed", "case_id"], "left").groupBy("seed").agg(F.avg(agree).alias("laterality_acc"))
+    none = F.lit("NONE")
+    return cases.select("case_id", every).join(sided, ["seed", "case_id"], "left").select(
+        "seed", "case_id", F.coalesce("lat_ref", none).alias("lat_ref"), F.coalesce("lat_pred", none).alias("lat_pred")
+    )
+
+
+LATERALITIES = ["BILATERAL", "LEFT", "NONE", "RIGHT"]
+
+
+def laterality_table(preds: DataFrame, stones: DataFrame, zone: str, cls: str, seeds: Sequence[int], cases: DataFrame) -> DataFrame:
+    """Cases by laterality in the reference and as predicted, per seed; all sixteen cells, empty ones too."""
+    found = case_sides(reference_units(preds, stones, zone, cls, seeds), cases, seeds)
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("lat_ref"), F.lit(b).alias("lat_pred")) for a in LATERALITIES for b in LATERALITIES])).alias("c")
+    counted = found.groupBy("seed", "lat_ref", "lat_pred").agg(F.count(F.lit(1)).alias("n"))
+    grid = counted.select("seed").distinct().select("seed", cells).select("seed", "c.*")
+    return grid.join(counted, ["seed", "lat_ref", "lat_pred"], "left").na.fill({"n": 0})
+
+
+def field_scores(preds: DataFrame, stones: DataFrame, zone: str, cls: str, seeds: Sequence[int], cases: DataFrame) -> DataFrame:
+    """Laterality, presence, largest class and single-zone accuracy per seed, over every case of ``cases`` and every side of
+    the reference; a side that a seed did not predict counts as predicted negative."""
+    s = reference_units(preds, stones, zone, cls, seeds)
+    agree = (F.col("lat_ref") == F.col("lat_pred")).cast("double")
+    lat = case_sides(s, cases, seeds).groupBy("seed").agg(F.avg(agree).alias("laterality_acc"))
     yr, yp = F.col("has_stone"), F.col("present")
     ref_cls = F.col("ref.cls")
     sized, single = yr & ref_cls.isNotNull(), yr & F.col("single_zone").isNotNull()

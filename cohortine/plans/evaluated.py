@@ -317,6 +317,19 @@ def _(spark, folder):
     return rounded(f, "kidney_p", "kidney_r", "kidney_f1", "size_cls_acc", "zone_acc", "laterality_acc")
 
 
+@query(
+    "laterality_table",
+    with_views(*DET, body=f"""WITH {REF_SQL}, u AS (SELECT k.case_id, k.side, k.has_stone, s.seed, coalesce(g.present, false) AS present FROM f_kidney k CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS seed) s
+          LEFT JOIN (SELECT * FROM g WHERE case_id % 23 > 0) g ON g.case_id = k.case_id AND g.side = k.side AND g.seed = s.seed),
+        l AS (SELECT seed, case_id, sum(CASE WHEN has_stone THEN CASE side WHEN 'RIGHT' THEN 1 ELSE 2 END ELSE 0 END) AS r, sum(CASE WHEN present THEN CASE side WHEN 'RIGHT' THEN 1 ELSE 2 END ELSE 0 END) AS p FROM u GROUP BY ALL),
+        n AS (SELECT unnest([0, 1, 2, 3]) AS v, unnest(['NONE', 'RIGHT', 'LEFT', 'BILATERAL']) AS name)
+      SELECT s.seed::INTEGER AS seed, a.name AS lat_ref, b.name AS lat_pred, count(l.case_id) AS n FROM (SELECT unnest([0, 1, 2, 3, 4]) AS seed) s CROSS JOIN n a CROSS JOIN n b LEFT JOIN l ON l.seed = s.seed AND l.r = a.v AND l.p = b.v GROUP BY ALL"""),
+)
+def _(spark, folder):
+    seen = detections(spark, folder).where("mask_plausible")
+    return ev.laterality_table(seen, ref_stones(spark, folder), "zone", "cls", SEED_LIST, fx.cases(spark, folder).select("case_id"))
+
+
 TAXONOMY_SQL = REF_SQL.replace("g AS (", "g AS MATERIALIZED (") + """, rs AS (SELECT red.*, seed FROM red, (SELECT unnest([0, 1, 2, 3, 4]) AS seed)), gp AS (SELECT * FROM g WHERE case_id % 23 > 0),
     j AS (SELECT coalesce(gp.seed, rs.seed) AS seed, coalesce(gp.present, false) AS present, coalesce(gp.has_stone, true) AS has_stone, gp.zone AS gz, gp.cls AS gc, rs.zone AS rz, rs.cls AS rc, rs.case_id IS NOT NULL AS hr
       FROM gp FULL JOIN rs ON rs.case_id = gp.case_id AND rs.side = gp.side AND rs.seed = gp.seed),
@@ -348,8 +361,8 @@ def _(spark, folder):
 
 @query(
     "ref_pred_join",
-    with_views(*DET, body=f"""WITH {REF_SQL.replace('g AS (', 'g AS MATERIALIZED (')} SELECT g.seed, g.case_id, g.side, coalesce(g2.present, false) AS present, g.has_stone, coalesce(g2.zone, '') AS zone_pred, coalesce(red.zone, '') AS zone_ref FROM g
-      LEFT JOIN (SELECT * FROM g WHERE case_id % 23 > 0) g2 ON g2.seed = g.seed AND g2.case_id = g.case_id AND g2.side = g.side LEFT JOIN red ON red.case_id = g.case_id AND red.side = g.side"""),
+    with_views(*DET, body=f"""WITH {REF_SQL.replace('g AS (', 'g AS MATERIALIZED (')}, fin AS MATERIALIZED (SELECT g.seed, g.case_id, g.side, coalesce(g2.present, false) AS present, g.has_stone, coalesce(g2.zone, '') AS zone_pred, coalesce(red.zone, '') AS zone_ref FROM g
+      LEFT JOIN (SELECT * FROM g WHERE case_id % 23 > 0) g2 ON g2.seed = g.seed AND g2.case_id = g.case_id AND g2.side = g.side LEFT JOIN red ON red.case_id = g.case_id AND red.side = g.side) SELECT * FROM fin"""),
 )
 def _(spark, folder):
     d = detections(spark, folder)
