@@ -13,7 +13,7 @@ from cohortine.functions import vocab as V
 def _plain_letters() -> tuple[str, str]:
     """Accented Latin letters whose compatibility form is one ASCII character."""
     pairs = []
-    for code in range(0xC0, 0x250):
+    for code in (*range(0xC0, 0x1F00), *range(0xFF21, 0xFF5B)):
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             pairs.append((chr(code), plain))
@@ -31,7 +31,7 @@ def strip(text: Column, more: str = "") -> Column:
 
 
 def _folded(name: Column) -> Column:
-    return F.translate(F.trim(F.upper(name)), V.FOLD_FROM, V.FOLD_TO)
+    return F.translate(strip(F.upper(name)), V.FOLD_FROM, V.FOLD_TO)
 
 
 def fold(name: Column) -> Column:
@@ -50,7 +50,7 @@ def strip_suffix(name: Column) -> Column:
 def match_method(label_name: Column, folder_name: Column, has_alias: Column) -> Column:
     """The layer that matched; there is no fuzzy layer."""
     return (
-        F.when(F.trim(label_name) == F.trim(folder_name), "EXACT")
+        F.when(strip(label_name) == strip(folder_name), "EXACT")
         .when(has_alias, "ALIAS")
         .when(fold(label_name) == fold(folder_name), "ASCII_FOLDED")
         .when(strip_suffix(label_name) == strip_suffix(folder_name), "SUFFIX_STRIPPED")

@@ -34,11 +34,6 @@ def size_class(mm: Column) -> Column:
     return out.otherwise(V.SIZE_CLASSES[-1])
 
 
-def size_rank(cls: Column) -> Column:
-    """Ordinal rank of a size class; the names do not sort by size."""
-    return F.nullif(F.array_position(F.array(*[F.lit(c) for c in V.SIZE_CLASSES]), cls), F.lit(0))
-
-
 def size3(cls: Column) -> Column:
     """Five size classes reduced to three."""
     return lookup(cls, V.SIZE3)

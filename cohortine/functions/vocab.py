@@ -61,14 +61,6 @@ ZONE_EN = {
 }
 
 # --- anomaly notes
-ANOMALIES = [
-    "HORSESHOE_KIDNEY",
-    "MANY_SMALL_STONES_MIMIC_LARGE",
-    "HYPERDENSE_PYRAMID_MIMIC",
-    "COMPLICATED_CYST_HYPERDENSE_LESION",
-    "URETERAL_STONE_PRESENT",
-    "BLADDER_DIVERTICULUM_STONE",
-]
 ANOMALY_TR = {
     "HORSESHOE_KIDNEY": "At nalı böbrek anomalisi mevcuttur; zon tanımlamaları bu anomaliye göre değerlendirilmelidir.",
     "MANY_SMALL_STONES_MIMIC_LARGE": "Çok sayıda küçük boyutlu taş mevcut olup, reformat görüntülerde tek bir büyük taş izlenimi verebilir.",
@@ -166,7 +158,6 @@ MIN_EXTENT_MM = 100.0
 STANDARD_BAND = (2.0, 3.5)
 THIN_MAX = 1.25
 MATRIX = 512
-MIN_FILES = 40
 
 # --- plausible organ geometry
 EXTENT_RANGE_MM = (70, 150)

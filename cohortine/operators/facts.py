@@ -97,15 +97,10 @@ def wide_to_stones(wide: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[s
     )
 
 
-def task_subset(kidneys: DataFrame, task: str) -> DataFrame:
-    """Rows on which a task is defined; apply after the split, never before."""
-    zones = F.col("zone_upper") | F.col("zone_mid") | F.col("zone_lower")
-    rule = {
-        "has_stone": F.lit(True),
-        "size3": F.col("has_stone") & F.col("max_class").isNotNull(),
-        "zone": F.col("has_stone") & zones,
-    }
-    return kidneys.where(rule[task])
+def task_members() -> Column:
+    """Names of the tasks on which a row of the side table is defined; apply after the split, never before."""
+    stone, zones = F.col("has_stone"), F.col("zone_upper") | F.col("zone_mid") | F.col("zone_lower")
+    return F.array_compact(F.array(F.lit("has_stone"), F.when(stone & F.col("max_class").isNotNull(), "size3"), F.when(stone & zones, "zone")))
 
 
 def target_of(task: str) -> Column:

@@ -245,15 +245,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     k = kidneys(spark, folder)
-    zones = F.col("zone_upper") | F.col("zone_mid") | F.col("zone_lower")
-    member = F.array_compact(
-        F.array(
-            F.lit("has_stone"),
-            F.when(F.col("has_stone") & F.col("max_class").isNotNull(), "size3"),
-            F.when(F.col("has_stone") & zones, "zone"),
-        )
-    )
-    return k.select("case_id", F.explode(member).alias("task")).groupBy("task").agg(
+    return k.select("case_id", F.explode(facts.task_members()).alias("task")).groupBy("task").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("case_id").alias("n_cases")
     )
 

@@ -24,12 +24,3 @@ def build_session(app: str = "cohortine", cores: str | None = None) -> SparkSess
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Keep the folder the cluster names in spark.checkpoint.dir; set one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        spark.sparkContext.setCheckpointDir(fallback)
-        named = fallback
-    return named
