@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import quoted
 from .text_keys import LOWER, slices
 
 ORDER = 3
@@ -202,7 +203,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float) -> DataFr
     if not model.langs:
         return docs.where("false")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.lit(0).alias("`")).alias("row")
+    others = F.struct(*(F.col(quoted(c)) for c in docs.columns if c != "text"), F.lit(0).alias("`")).alias("row")
     rows = docs.select("text", F.col("text").rlike(r"\p{L}").alias("lettered"), others)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,4 +213,4 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float) -> DataFr
             yield batch.select([0, 2]).filter(pa.array((lang != UNDETERMINED) & (sure > least_score)))
 
     kept = rows.mapInArrow(sift, rows.select("text", "row").schema)
-    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    return kept.select(*(F.col("text") if c == "text" else F.col("row." + quoted(c)) for c in docs.columns))

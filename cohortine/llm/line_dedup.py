@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .scratch import saved
+from .scratch import quoted, saved
 from .text_keys import SPACED, Words, lines, mix, powers, raw_sequences, slices, words
 
 #: Into so many parts the lines that share an earliest neighbour are dealt.
@@ -195,7 +195,7 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     with the same text keep the same lines. A text may become empty.
     """
     drops = saved(dropped_lines(docs, near_words)).groupBy("doc_id").agg(F.collect_list("occ").alias("drops"))
-    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.lit(0).alias("`")).alias("row")
+    others = F.struct(*(F.col(quoted(c)) for c in docs.columns if c != "text"), F.lit(0).alias("`")).alias("row")
     joined = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("old"), others).join(
         drops.withColumnRenamed("doc_id", "gone"), F.col("id") == F.col("gone"), "left"
     )
@@ -216,4 +216,4 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
 
     schema = joined.select(F.col("old").alias("text"), "row").schema
     fixed = joined.select("id", "old", "drops", "row").mapInArrow(rebuild, schema)
-    return fixed.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    return fixed.select(*(F.col("text") if c == "text" else F.col("row." + quoted(c)) for c in docs.columns))

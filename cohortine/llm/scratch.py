@@ -30,10 +30,9 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table written by `saved` through the file system that holds it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def quoted(column: str) -> str:
+    """A column's name as an expression, whatever stands in it."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def few(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .scratch import saved
+from .scratch import quoted, saved
 from .text_keys import SPACED, Words, mix, raw_sequences, slices, words
 
 SENTENCES = 2
@@ -140,7 +140,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, longest: int | None = None)
     `longest` must be that of the spans. Other columns pass through whatever their names; null texts and documents without spans stay as they are.
     """
     gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first_sentence", "last_sentence")).alias("spans")).withColumnRenamed("doc_id", "gone")
-    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.lit(0).alias("`")).alias("row")
+    others = F.struct(*(F.col(quoted(c)) for c in docs.columns if c != "text"), F.lit(0).alias("`")).alias("row")
     joined = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("old"), others).join(gone, F.col("id") == F.col("gone"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, longest: int | None = None)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(2)], ["text", "row"])
 
     fixed = joined.select("old", "spans", "row").mapInArrow(cut, joined.select(F.col("old").alias("text"), "row").schema)
-    return fixed.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    return fixed.select(*(F.col("text") if c == "text" else F.col("row." + quoted(c)) for c in docs.columns))
 
 
 def span_report(docs: DataFrame) -> DataFrame:

@@ -22,3 +22,17 @@ def test_stages(spark, docs, rows, tmp_path):
             assert decontaminate.contamination_report(out, spark.read.parquet(path + "/benchmark.parquet")).where("contaminated").count() == 0
         now = out
     assert set(now.columns) == {"doc_id", "piece", "first_word", "n_words", "bucket_len", "batch", "slot"} and now.count() > 30
+
+
+def test_stages_take_empty_tables_and_odd_names(spark, docs, rows, tmp_path):
+    """No documents, no benchmark, and columns whose names need quoting."""
+    path = str(tmp_path / "sf")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(path + "/benchmark.parquet")
+    odd = docs.where("doc_id < 12 OR doc_id IS NULL").withColumnRenamed("key", "a.b").withColumnRenamed("id", "c`d")
+    odd = odd.withColumnRenamed("drops", "component_id")
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (odd, odd.where("false")):
+            out = stage(spark, given, path)
+            if name != "packing":
+                assert out.columns == odd.columns, name
+            assert out.count() <= (10**6 if name == "packing" else given.count()) and (given is odd or out.isEmpty())
