@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortine.llm import decontaminate, jaccard, language, line_dedup, packing
 from cohortine.llm.queries import table
-from cohortine.llm.scratch import few, saved
+from cohortine.llm.scratch import few, quoted, saved
 
 #: A document whose best language has no larger posterior probability than this is in none of the learned languages.
 LEAST_SCORE = 0.5
@@ -17,7 +17,7 @@ LEAST_SCORE = 0.5
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs less the rows with one of these doc_ids, all columns as they are, whatever their names. A null doc_id stays."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*(f"`{c.replace('`', '``')}`" for c in docs.columns))
+    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
