@@ -19,8 +19,9 @@ n - o + k. Therefore:
 
 Documents with equal sets are one class first. Candidates must pass bounds on length and position, then on parity bit
 maps (whose distance never exceeds that of the sets), and are verified on the whole sets. To link a group without
-forming all its pairs, each member is first held against one leader of each key it has; what is then connected needs
-no further pair, and all remaining candidates between different components are verified.
+forming all its pairs, each member is first held against one leader, the least of those of its keys, then against the
+leader of each key that holds several components; what is then connected needs no further pair, and all remaining
+candidates between different components are verified.
 """
 
 from __future__ import annotations
@@ -238,6 +239,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     )
 
 
+def _mixed(shared: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, cls, n, place, often, component) of the keys that hold several components."""
+    placed = shared.join(classes.select("cls", F.col("rep").alias("node")), "cls").join(groups, "node", "left").select(
+        "key", "cls", "n", "place", "often", F.coalesce("component", "node").alias("component")
+    )
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return saved(placed.join(mixed, "key", "left_semi"))
+
+
 def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each document's shingle set and the smallest doc_id it reaches.
 
@@ -266,27 +276,31 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SH
     often = often.join(leaders, "key").select("key", "cls", "n", "place", F.col("l.cls").alias("lcls"), F.col("l.n").alias("ln"), F.col("l.place").alias("lplace"), F.lit(True).alias("often"))
     shared = saved(rare.union(often))
 
-    stars = (
-        shared.where("cls <> lcls").where(_possible(F.col("n"), F.col("place"), F.col("ln"), F.col("lplace"), F.col("often"), percent))
-        .select(F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b")).distinct()
-    )
-    links = saved(_verified(_near(stars, classes, percent), docs, classes, percent, shingle))
-    groups = components(links)
+    fits = _possible(F.col("n"), F.col("place"), F.col("ln"), F.col("lplace"), F.col("often"), percent)
+    ordered = F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b")
+    check = lambda pairs: saved(_verified(_near(pairs.distinct(), classes, percent), docs, classes, percent, shingle))
 
-    # What is not connected yet: candidates between different components of a key, each pair once.
-    placed = shared.join(classes.select("cls", F.col("rep").alias("node")), "cls").join(groups, "node", "left").select(
-        "key", "cls", "n", "place", "often", F.coalesce("component", "node").alias("component")
+    # Each member against one leader: the least of those of its keys. A group of near copies has one in common.
+    firsts = shared.where("cls <> lcls").where(fits).groupBy("cls").agg(F.min("lcls").alias("lcls"))
+    links = check(firsts.select(*ordered))
+
+    # What is not connected yet, against the leader of each key that holds several components.
+    led = _mixed(shared, classes, components(links))
+    leaders = led.groupBy("key").agg(F.min(F.struct("cls", "place", "n", "component")).alias("l"))
+    led = led.join(leaders, "key").select(
+        "cls", "n", "place", "often", "component", F.col("l.cls").alias("lcls"), F.col("l.n").alias("ln"), F.col("l.place").alias("lplace"), F.col("l.component").alias("lcomponent"),
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    placed = saved(placed.join(mixed, "key", "left_semi"))
+    links = links.union(check(led.where("component <> lcomponent").where(fits).select(*ordered)))
+
+    # What is still not connected: candidates between different components of a key, each pair once.
+    placed = _mixed(shared, classes, components(links))
     other = placed.select(*(F.col(c).alias(f"o{c}") for c in placed.columns))
     rest = (
         placed.join(other, (F.col("key") == F.col("okey")) & (F.col("cls") < F.col("ocls")) & (F.col("component") != F.col("ocomponent"))
                     & _possible(F.col("n"), F.col("place"), F.col("on"), F.col("oplace"), F.col("often"), percent))
-        .select(F.col("cls").alias("a"), F.col("ocls").alias("b")).distinct()
+        .select(F.col("cls").alias("a"), F.col("ocls").alias("b"))
     )
-    more = _verified(_near(rest, classes, percent), docs, classes, percent, shingle)
-    groups = components(links.union(more))
+    groups = components(links.union(check(rest)))
 
     return (
         rows.select("doc_id", "f1", "f2", "n").join(classes.select("f1", "f2", "n", F.col("rep").alias("node")), ["f1", "f2", "n"], "left").join(groups, "node", "left")
