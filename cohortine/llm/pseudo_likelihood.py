@@ -32,10 +32,12 @@ WIDTH = 16
 SIDE = 2
 #: About so many windows are a shard; windows of a step; rounds of averaging; tokens of a piece.
 SHARD = 1 << 20
-BATCH = 1024
+BATCH = 4096
 ROUNDS = 1
 PIECE = 16_384
 _FAN_IN = 64
+#: Windows that are scored at once, few enough for a processor's cache.
+SCORED = 2048
 #: Log-shares are summed over words as integers of this fineness, so that the order of rows does not count.
 _FINE = 1 << 30
 #: Tokens counted at once in a task before the counts are passed on.
@@ -134,16 +136,16 @@ def _windows(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return ids, around, found
 
 
-def _log_classes(net: Network, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values and log-probabilities of all classes."""
+def _log_of(net: Network, around: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Log-probability of the wanted class of each window."""
     hidden = net.embed[0, around[:, 0]]
     for p in range(1, around.shape[1]):
         hidden = hidden + net.embed[p, around[:, p]]
-    hidden = np.tanh(hidden)
-    logits = hidden @ net.out + net.bias
+    logits = np.tanh(hidden) @ net.out
+    logits += net.bias
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return hidden, logits
+    own = logits[np.arange(len(logits)), wanted]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
 def _train(net: Network, around: np.ndarray, target: np.ndarray, seed: int, rate: float) -> Network:
@@ -259,10 +261,9 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame |
             for at, to, data, offsets in slices(batch.column(2)):
                 ids, around, found = _windows(vocab, data, offsets)
                 logs, n = vocab.log_share[ids], np.diff(found.first)
-                for low in range(0, len(ids), 8192):
-                    part = slice(low, low + 8192)
-                    _, own = _log_classes(net, around[part])
-                    logs[part] += own[np.arange(len(own)), vocab.classes[ids[part]]]
+                for low in range(0, len(ids), SCORED):
+                    part = slice(low, low + SCORED)
+                    logs[part] += _log_of(net, around[part], vocab.classes[ids[part]])
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[found.first])
                 other = ids == 0
                 pairs = np.column_stack([np.repeat(np.arange(at, to), n)[other], found.hashes[other].view(np.int64)])
