@@ -10,6 +10,7 @@ from cohortine.operators import aggregates as agg
 from cohortine.operators import folds
 from cohortine.operators import statistics as st
 from cohortine.operators.sets import multiset_counts
+from cohortine.plans.catalogue import QUERIES
 
 
 def test_mean_and_interval_of_published_seeds(spark):
@@ -97,3 +98,8 @@ def test_folds_are_balanced_and_leak_free(spark, n):
     sizes = f.groupBy("seed", "fold").count().groupBy("seed").agg(F.max("count") - F.min("count")).collect()
     assert all(r[1] <= 1 for r in sizes)
     assert all(r.n_leaks == 0 and r.n_units == n for r in folds.leaks(f).collect())
+
+
+def test_thresholds_are_broadcast_and_not_the_rows(spark, folder):
+    plan = QUERIES["apply_thresholds"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
