@@ -10,7 +10,7 @@ from cohortine.operators import aggregates as agg
 from cohortine.operators import folds
 from cohortine.operators import statistics as st
 from cohortine.operators.sets import multiset_counts
-from cohortine.plans.catalogue import QUERIES
+from cohortine.plans.catalogue import ORACLE, QUERIES
 
 
 def test_mean_and_interval_of_published_seeds(spark):
@@ -103,3 +103,9 @@ def test_folds_are_balanced_and_leak_free(spark, n):
 def test_thresholds_are_broadcast_and_not_the_rows(spark, folder):
     plan = QUERIES["apply_thresholds"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_binomial_sql_holds_on_many_labels(spark, duck):
+    many = "WITH labels AS (SELECT range % 20 < 11 AND range <> 1 AS quality FROM range(400000)), " + ORACLE["binom_test"].removeprefix("WITH ")
+    k, n, _, p = duck.execute(many).fetchone()
+    assert (k, n) == (219999, 400000) and abs(p - tails.binom_greater_value(k, n, 0.55)) < 1e-6
