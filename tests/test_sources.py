@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cohortine.functions.names import capitals
 from cohortine.operators.terms import scan_hits, scan_terms
 from cohortine.sources import export, inventory, ledger
 from cohortine.streaming.arrivals import collect_arrivals
@@ -176,3 +177,15 @@ def test_arrivals_are_taken_once(spark, tmp_path):
     collect_arrivals(spark, src, "id bigint", out, state)
     collect_arrivals(spark, src, "id bigint", out, state)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_terms_meet_in_capitals_that_keep_the_places(spark, duck):
+    texts = [(1, "Straße: gar weiß ist der Schnee"), (2, "GAR WEISS"), (3, "ﬁn ŉ Gar Weiß"), (4, "ᾳ gar weiẞ"), (5, "Ὀδυσσεύς ΐ")]
+    t = spark.createDataFrame(texts, "id int, text string")
+    w = spark.createDataFrame([("name", "gar weiß", 1), ("name", "Ὀδυσσεύς", 2), ("name", "ŉ", 3)], "kind string, term string, term_id int")
+    got = {(r.id, r.term_id, r.place) for r in scan_hits(t, "id", "text", w).collect()}
+    assert got == {(1, 1, 8), (3, 1, 5), (3, 3, 3), (4, 1, 2), (5, 2, 0)}
+    points = [chr(i) for i in range(1, 0x20000) if not 0xD800 <= i <= 0xDFFF]
+    rows = spark.createDataFrame([("a" + c + "ßb",) for c in points], "s string").select("s", capitals(F.col("s")).alias("u")).collect()
+    theirs = dict(duck.execute("SELECT s, upper(s) FROM (SELECT unnest(?) AS s)", [[r.s for r in rows]]).fetchall())
+    assert [r.s for r in rows if r.u != theirs[r.s]] == [] and all(len(r.u) == len(r.s) for r in rows)
