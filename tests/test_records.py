@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cohortine.operators import facts
 from cohortine.operators import records
 from cohortine.plans.catalogue import QUERIES
 
@@ -86,3 +87,9 @@ def test_case_records(spark):
 def test_every_kind_of_privacy_hit_occurs(spark, folder):
     kinds = {r.kind: r.n for r in QUERIES["phi_scan"](spark, folder).groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert {"name", "tag", "filename"} <= set(kinds) and all(kinds.values())
+
+
+def test_tasks_without_rows_are_counted(spark):
+    rows = "has_stone boolean, zone_upper boolean, zone_mid boolean, zone_lower boolean, max_class string, case_id int"
+    df = spark.createDataFrame([(True, True, False, False, None, 1), (True, False, False, False, None, 1), (False, False, False, False, None, 2)], rows)
+    assert {tuple(r) for r in facts.task_sizes(df, "case_id").collect()} == {("has_stone", 3, 2), ("size3", 0, 0), ("zone", 1, 1)}
