@@ -112,3 +112,10 @@ def test_ordinal_decode_keeps_the_order(spark):
     rows = df.select(cls.alias("c"), p.alias("p")).collect()
     assert [r.c for r in rows] == [0, 1, 2, 0]
     assert all(abs(sum(r.p) - 1) < 1e-12 and min(r.p) >= 0 for r in rows)
+
+
+def test_findings_are_split_at_a_plain_character(spark):
+    df = spark.createDataFrame([(1, " ; a ;\u3000; b;c d ;;"), (2, ";"), (3, None), (4, "x")], "k int, t string")
+    rows = L.finding_rows(df, "t")
+    assert sorted((r.k, r.pos, r.raw) for r in rows.collect()) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c d"), (4, 0, "x")]
+    assert "\u3000]*" not in rows._jdf.queryExecution().optimizedPlan().toString()
