@@ -48,3 +48,15 @@ def test_no_seed_is_a_key_of_a_shuffle_of_units(tables, spark):
         (0, 0): ("NONE", "NONE"), (1, 0): ("NONE", "NONE"), (0, 1): ("BILATERAL", "BILATERAL"), (1, 1): ("BILATERAL", "NONE"),
         (0, 2): ("LEFT", "NONE"), (1, 2): ("LEFT", "NONE"), (0, 3): ("NONE", "LEFT"), (1, 3): ("NONE", "NONE"),
     }
+
+
+def test_own_predictions_are_a_left_join_without_a_shuffle_by_seed(tables):
+    preds, _ = tables
+    df = ev.own_predictions(preds, preds["case_id"] != 3)
+    assert not re.search(r"hashpartitioning\([^)]*seed", plan_of(df))
+    want = []
+    for s, c, d, *_, has in PREDS:
+        mates = [(p > 0.5, (z, k) if p > 0.5 and k else None) for t, b, e, p, z, k, _ in PREDS if s is not None and c not in (None, 3) and (t, b, e) == (s, c, d)]
+        want += [(s, c, d, has, *m) for m in mates or [(None, None)]]
+    got = [(r.seed, r.case_id, r.side, r.has_stone, r.present, r.guess and tuple(r.guess)) for r in df.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
