@@ -60,3 +60,11 @@ def test_own_predictions_are_a_left_join_without_a_shuffle_by_seed(tables):
         want += [(s, c, d, has, *m) for m in mates or [(None, None)]]
     got = [(r.seed, r.case_id, r.side, r.has_stone, r.present, r.guess and tuple(r.guess)) for r in df.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_tuples_meet_without_a_join(tables):
+    preds, stones = tables
+    scores = ev.triplet_scores(preds.where("seed IN (0, 1)"), stones, "zone", "cls", SEEDS)
+    assert "Join" not in plan_of(scores)
+    got = {(r.seed, r.reference): (r.tp, r.fp, r.fn, r.no_size_pred) for r in scores.collect()}
+    assert got == {(0, "complete"): (3, 1, 2, 1), (0, "reduced"): (2, 2, 1, 1), (1, "complete"): (0, 0, 5, 0), (1, "reduced"): (0, 0, 3, 0)}
