@@ -18,7 +18,7 @@ n - o + k. Therefore:
   0.75) index frequent tokens alone as well.
 
 Documents with equal sets are one class first. Candidates must pass bounds on length and position, then on parity bit
-maps (whose distance never exceeds that of the sets), and are verified on the whole sets. To link a group without
+maps (whose distance never exceeds that of the sets; a short one inside the last join), and are verified on the whole sets. To link a group without
 forming all its pairs, each member is first held against one leader, the least of those of its keys, then against the
 leader of each key that holds several components; what is then connected needs no further pair, and all remaining
 candidates between different components are verified.
@@ -43,6 +43,8 @@ from .text_keys import SPACED, mix, shingle_sets, slices, words
 SKETCH = 17
 SHINGLE = 5
 PERCENT = 75
+#: Longs of the short parity map, of 64 bits each, that the last join compares before it makes a pair.
+FOLDS = 4
 
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -56,12 +58,20 @@ def _parity(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def _folded(tokens: np.ndarray) -> np.ndarray:
+    """A parity map of 64 * FOLDS bits, one a token, as longs."""
+    odd = np.bincount((tokens & np.uint64(64 * FOLDS - 1)).astype(np.int64), minlength=64 * FOLDS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, f1, f2, cls, parity) of each row; rows with n null carry the count sketch: (bucket, times)."""
+    """(doc_id, n, f1, f2, cls, parity, p0, p1, ...) of each row; rows with n null carry the count sketch: (bucket, times)."""
+
+    folds = [f"p{i}" for i in range(FOLDS)]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH, np.int64)
-        names = ["doc_id", "n", "f1", "f2", "cls", "parity", "bucket", "times"]
+        names = ["doc_id", "n", "f1", "f2", "cls", "parity", *folds, "bucket", "times"]
         for batch in batches:
             rows = []
             for s in _sets(batch.column(1), shingle):
@@ -69,20 +79,21 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 if len(s) <= 1 << SKETCH:
                     np.add.at(sketch, (s >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
                 f1, f2 = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s)) if len(s) else np.uint64(0)
-                rows.append((len(s), f1, f2, _parity(s)))
-            n, f1, f2, parity = zip(*rows) if rows else ((), (), (), ())
+                rows.append((len(s), f1, f2, _parity(s), _folded(s)))
+            n, f1, f2, parity, short = zip(*rows) if rows else ((), (), (), (), ())
+            short = np.array(short, np.int64).reshape(-1, FOLDS)
             f1, f2 = np.array(f1, np.uint64), np.array(f2, np.uint64)
             cls = mix(f1 ^ mix(f2 + np.array(n, np.uint64)))
             blank = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in (f1, f2, cls)), pa.array(parity, pa.binary()), blank, blank], names
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in (f1, f2, cls)), pa.array(parity, pa.binary()), *(pa.array(short[:, i]) for i in range(FOLDS)), blank, blank], names
             )
         used = np.flatnonzero(sketch)
         blank = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([blank] * 5 + [pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(sketch[used])], names)
+        yield pa.RecordBatch.from_arrays([blank] * 5 + [pa.nulls(len(used), pa.binary()), *[blank] * FOLDS, pa.array(used), pa.array(sketch[used])], names)
 
     return docs.select("doc_id", "text").mapInArrow(
-        profile, "doc_id long, n long, f1 long, f2 long, cls long, parity binary, bucket long, times long"
+        profile, f"doc_id long, n long, f1 long, f2 long, cls long, parity binary, {', '.join(f'{p} long' for p in folds)}, bucket long, times long"
     )
 
 
@@ -182,6 +193,12 @@ def _possible(n: Column, place: Column, other_n: Column, other_place: Column, of
     return (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & ((100 + percent) * overlap >= percent * (n + other_n))
 
 
+def _alike(n: Column, other_n: Column, percent: int, other: str = "o") -> Column:
+    """Whether the short parity maps allow the similarity: their distance never exceeds that of the sets."""
+    apart = sum(F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"{other}p{i}"))) for i in range(FOLDS))
+    return (100 + percent) * apart <= (100 - percent) * (n + other_n)
+
+
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose parity bit maps allow the similarity."""
     left = classes.select(F.col("cls").alias("a"), F.col("parity").alias("pa"), F.col("n").alias("na"))
@@ -257,11 +274,11 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SH
     fingerprint. The texts of the others take no part. Other columns are not read.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    rows = saved(profiles(docs, shingle))
+    rows, folds = saved(profiles(docs, shingle)), [f"p{i}" for i in range(FOLDS)]
     counts = _frequent(rows.where("n IS NULL"))
     docs, rows = _one_each(docs, rows.where("n IS NOT NULL"), shingle)
     classes = saved(
-        rows.where("n > 0").groupBy("f1", "f2", "n", "cls").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"))
+        rows.where("n > 0").groupBy("f1", "f2", "n", "cls").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"), *[F.first(p).alias(p) for p in folds])
     )
     index = _index(docs, counts, percent, shingle)
     lead = Window.partitionBy("key").orderBy("cls", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -293,11 +310,12 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SH
     links = links.union(check(led.where("component <> lcomponent").where(fits).select(*ordered)))
 
     # What is still not connected: candidates between different components of a key, each pair once.
-    placed = _mixed(shared, classes, components(links))
+    placed = _mixed(shared, classes, components(links)).join(classes.select("cls", *folds), "cls")
     other = placed.select(*(F.col(c).alias(f"o{c}") for c in placed.columns))
     rest = (
         placed.join(other, (F.col("key") == F.col("okey")) & (F.col("cls") < F.col("ocls")) & (F.col("component") != F.col("ocomponent"))
-                    & _possible(F.col("n"), F.col("place"), F.col("on"), F.col("oplace"), F.col("often"), percent))
+                    & _possible(F.col("n"), F.col("place"), F.col("on"), F.col("oplace"), F.col("often"), percent)
+                    & _alike(F.col("n"), F.col("on"), percent))
         .select(F.col("cls").alias("a"), F.col("ocls").alias("b"))
     )
     groups = components(links.union(check(rest)))

@@ -94,6 +94,20 @@ def test_jaccard_keys_meet_whatever_is_frequent(percent):
     assert met > 500
 
 
+def test_jaccard_short_maps_lose_no_pair(spark):
+    rng, rows = np.random.default_rng(3), []
+    for n in (1, 4, 40, 300, 3000):
+        for change in (0, 1, n // 10, n // 7, n // 2, n):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            b = np.concatenate([a[change:], rng.integers(0, 2**63, change, dtype=np.uint64)])
+            maps = [*jaccard._folded(a).tolist(), *jaccard._folded(b).tolist()]
+            rows.append((n, change, 100 * (n - change) >= 75 * (n + change), *maps))
+    names = [f"{side}p{i}" for side in ("", "o") for i in range(jaccard.FOLDS)]
+    df = spark.createDataFrame(rows, "n long, change long, similar boolean, " + ", ".join(f"{c} long" for c in names))
+    out = df.select("n", "change", "similar", jaccard._alike(F.col("n"), F.col("n"), 75).alias("kept")).collect()
+    assert all(r.kept for r in out if r.similar) and not any(r.kept for r in out if r.n in (40, 300) and r.change == r.n)
+
+
 def test_jaccard_combinations(spark, rows):
     """Near copies whose tokens are all frequent: their index must hold combinations."""
     some = [r for r in rows if r[0] is not None and r[1] and len(words(r[1], SPACED)) == 40]
