@@ -21,7 +21,8 @@ Documents with equal sets are one class first. Candidates must pass bounds on le
 maps (whose distance never exceeds that of the sets; a short one inside the last join), and are verified on the whole sets. To link a group without
 forming all its pairs, each member is first held against one leader, the least of those of its keys, then against the
 leader of each key that holds several components; what is then connected needs no further pair, and all remaining
-candidates between different components are verified.
+candidates between different components are verified. These meet at few of the keys they share: of the keys that hold
+the same documents the first one is enough, and a pair whose first keys show that it has met before makes no row.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Longs of the short parity map, of 64 bits each, that the last join compares before it makes a pair.
 FOLDS = 4
+#: First keys of a class that tell the last join whether a pair has met at an earlier one.
+HEADS = 8
 
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -126,33 +129,35 @@ def _keys(s: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, n
 
 
 def _index(docs: DataFrame, counts: np.ndarray, percent: int, shingle: int) -> DataFrame:
-    """(token key, class, n, position, frequent) of the indexed tokens and combinations of every row."""
+    """(token key, class, n, position, frequent tokens before a frequent one, frequent) of the indexed tokens and combinations of every row."""
     counts = counts.tobytes()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = np.frombuffer(counts, np.int64)
         for batch in batches:
-            keys, places, marks, classes, sizes, held = [], [], [], [], [], 0
+            keys, places, before, marks, classes, sizes, held = [], [], [], [], [], [], 0
             for s in _sets(batch.column(0), shingle):
                 n = len(s)
                 if not n:
                     continue
-                key, place, often = _keys(s, frequency[(s >> np.uint64(64 - SKETCH)).astype(np.int64)], percent)
+                count = frequency[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]
+                key, place, often = _keys(s, count, percent)
                 f2 = np.bitwise_xor.reduce(mix(s))
                 cls = mix(np.array([s.sum(dtype=np.uint64)]) ^ mix(np.array([f2 + np.uint64(n)], np.uint64)))
                 keys.append(key)
                 places.append(place)
+                before.append(np.where(often, place - (n - np.count_nonzero(count)), 0))
                 marks.append(often)
                 classes.append(np.repeat(cls, len(key)))
                 sizes.append(np.full(len(key), n))
                 held += len(key)
                 if held > 100_000:
-                    yield _rows(keys, classes, sizes, places, marks)
-                    keys, places, marks, classes, sizes, held = [], [], [], [], [], 0
+                    yield _rows(keys, classes, sizes, places, before, marks)
+                    keys, places, before, marks, classes, sizes, held = [], [], [], [], [], [], 0
             if held:
-                yield _rows(keys, classes, sizes, places, marks)
+                yield _rows(keys, classes, sizes, places, before, marks)
 
-    return docs.select("text").mapInArrow(index, "key long, cls long, n int, place int, often boolean")
+    return docs.select("text").mapInArrow(index, "key long, cls long, n int, place int, before int, often boolean")
 
 
 def _one_each(docs: DataFrame, rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -176,20 +181,21 @@ def _one_each(docs: DataFrame, rows: DataFrame, shingle: int) -> tuple[DataFrame
     return docs.join(many, "doc_id", "left_anti").select("doc_id", "text").union(picked.select("doc_id", "text")), rows
 
 
-def _rows(keys: list, classes: list, sizes: list, places: list, marks: list) -> pa.RecordBatch:
+def _rows(keys: list, classes: list, sizes: list, places: list, before: list, marks: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes).view(np.int64)),
-            pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(marks)),
+            *(pa.array(np.concatenate(x).astype(np.int32)) for x in (sizes, places, before)), pa.array(np.concatenate(marks)),
         ],
-        ["key", "cls", "n", "place", "often"],
+        ["key", "cls", "n", "place", "before", "often"],
     )
 
 
-def _possible(n: Column, place: Column, other_n: Column, other_place: Column, often: Column, percent: int) -> Column:
-    """Bounds on length and, from the places of a shared token, on the overlap: a rare one may be the least shared token,
-    before a frequent one others may be shared."""
-    overlap = F.least(n - place, other_n - other_place) + F.when(often, F.least(place, other_place)).otherwise(0)
+def _possible(side: str, other: str, percent: int) -> Column:
+    """Bounds on length and, from the places of a shared token, on the overlap: a rare one may be the least shared token
+    (before is 0); before a frequent one other frequent ones may be shared, but no rare ones, as they would be met first."""
+    n, place, before, other_n, other_place, other_before = (F.col(x + c) for x in (side, other) for c in ("n", "place", "before"))
+    overlap = F.least(n - place, other_n - other_place) + F.least(before, other_before)
     return (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & ((100 + percent) * overlap >= percent * (n + other_n))
 
 
@@ -257,14 +263,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
 
 
 def _mixed(shared: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, cls, n, place, often, component) of the keys that hold several components."""
+    """(key, cls, n, place, before, often, component) of the keys that hold several components."""
     placed = shared.join(classes.select("cls", F.col("rep").alias("node")), "cls").join(groups, "node", "left").select(
-        "key", "cls", "n", "place", "often", F.coalesce("component", "node").alias("component")
+        "key", "cls", "n", "place", "before", "often", F.coalesce("component", "node").alias("component")
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return saved(placed.join(mixed, "key", "left_semi"))
 
 
+def _once(placed: DataFrame) -> DataFrame:
+    """The rows of the first of the keys that hold the same classes, with `met`: those of the first HEADS keys of the class
+    that come before the row's.
+
+    Keys come in one order, rare tokens first and in the order of the sets. The least key that two classes share is the
+    first of those that hold the same classes, and no key that both have met comes before it: so a pair that makes no row
+    where its `met` have a key in common still makes one at its least key, where its bounds are those of its least token.
+    """
+    placed = placed.withColumn("turn", F.col("key").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    lists = placed.groupBy("turn").agg(
+        F.max("often").alias("often"), F.count("*").alias("m"), F.expr("bit_xor(cls)").alias("x"), F.expr("bit_xor(xxhash64(cls))").alias("y")
+    )
+    firsts = lists.groupBy("often", "m", "x", "y").agg(F.min("turn").alias("turn")).select("turn")
+    placed = saved(placed.join(firsts, "turn", "left_semi"))
+    nth = F.row_number().over(Window.partitionBy("cls").orderBy("often", "turn"))
+    heads = placed.select("cls", "often", "turn", nth.alias("nth")).where(F.col("nth") <= HEADS).groupBy("cls").agg(F.collect_list(F.struct("often", "turn")).alias("heads"))
+    met = F.transform(F.filter("heads", lambda h: h < F.struct("often", "turn")), lambda h: h["turn"])
+    return placed.join(heads, "cls").withColumn("met", met).drop("heads", "turn")
+
+
 def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each document's shingle set and the smallest doc_id it reaches.
 
@@ -284,16 +310,16 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SH
     lead = Window.partitionBy("key").orderBy("cls", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rare = (
         index.where("NOT often")
-        .select("key", "cls", "n", "place", *(F.first(c).over(lead).alias(f"l{c}") for c in ("cls", "n", "place")), F.max("cls").over(lead).alias("hi"), F.min("cls").over(lead).alias("lo"))
+        .select("key", "cls", "n", "place", "before", *(F.first(c).over(lead).alias(f"l{c}") for c in ("cls", "n", "place", "before")), F.max("cls").over(lead).alias("hi"), F.min("cls").over(lead).alias("lo"))
         .where("hi <> lo").drop("hi", "lo").distinct().withColumn("often", F.lit(False))
     )
-    often = saved(index.where("often").groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place")))
+    often = saved(index.where("often").groupBy("key", "cls").agg(*[F.min(c).alias(c) for c in ("n", "place", "before")]))
     # the least class leads, so that the keys of a group of near copies have few leaders among them
-    leaders = often.groupBy("key").agg(F.min(F.struct("cls", "place", "n")).alias("l"), F.count("*").alias("m")).where("m > 1")
-    often = often.join(leaders, "key").select("key", "cls", "n", "place", F.col("l.cls").alias("lcls"), F.col("l.n").alias("ln"), F.col("l.place").alias("lplace"), F.lit(True).alias("often"))
+    leaders = often.groupBy("key").agg(F.min(F.struct("cls", "place", "n", "before")).alias("l"), F.count("*").alias("m")).where("m > 1")
+    often = often.join(leaders, "key").select("key", "cls", "n", "place", "before", *(F.col(f"l.{c}").alias(f"l{c}") for c in ("cls", "n", "place", "before")), F.lit(True).alias("often"))
     shared = saved(rare.union(often))
 
-    fits = _possible(F.col("n"), F.col("place"), F.col("ln"), F.col("lplace"), F.col("often"), percent)
+    fits = _possible("", "l", percent)
     ordered = F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b")
     check = lambda pairs: saved(_verified(_near(pairs.distinct(), classes, percent), docs, classes, percent, shingle))
 
@@ -303,19 +329,18 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SH
 
     # What is not connected yet, against the leader of each key that holds several components.
     led = _mixed(shared, classes, components(links))
-    leaders = led.groupBy("key").agg(F.min(F.struct("cls", "place", "n", "component")).alias("l"))
+    leaders = led.groupBy("key").agg(F.min(F.struct("cls", "place", "n", "before", "component")).alias("l"))
     led = led.join(leaders, "key").select(
-        "cls", "n", "place", "often", "component", F.col("l.cls").alias("lcls"), F.col("l.n").alias("ln"), F.col("l.place").alias("lplace"), F.col("l.component").alias("lcomponent"),
+        "cls", "n", "place", "before", "component", *(F.col(f"l.{c}").alias(f"l{c}") for c in ("cls", "n", "place", "before", "component")),
     )
     links = links.union(check(led.where("component <> lcomponent").where(fits).select(*ordered)))
 
     # What is still not connected: candidates between different components of a key, each pair once.
-    placed = _mixed(shared, classes, components(links)).join(classes.select("cls", *folds), "cls")
+    placed = _once(_mixed(shared, classes, components(links))).drop("often").join(classes.select("cls", *folds), "cls")
     other = placed.select(*(F.col(c).alias(f"o{c}") for c in placed.columns))
     rest = (
         placed.join(other, (F.col("key") == F.col("okey")) & (F.col("cls") < F.col("ocls")) & (F.col("component") != F.col("ocomponent"))
-                    & _possible(F.col("n"), F.col("place"), F.col("on"), F.col("oplace"), F.col("often"), percent)
-                    & _alike(F.col("n"), F.col("on"), percent))
+                    & _possible("", "o", percent) & _alike(F.col("n"), F.col("on"), percent) & ~F.arrays_overlap("met", "omet"))
         .select(F.col("cls").alias("a"), F.col("ocls").alias("b"))
     )
     groups = components(links.union(check(rest)))

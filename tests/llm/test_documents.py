@@ -1,6 +1,7 @@
 """Operators on documents against brute force, over every awkward kind of row."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -108,6 +109,46 @@ def test_jaccard_short_maps_lose_no_pair(spark):
     assert all(r.kept for r in out if r.similar) and not any(r.kept for r in out if r.n in (40, 300) and r.change == r.n)
 
 
+def test_jaccard_pairs_meet_about_once(spark):
+    """Classes that share many keys make few rows, none is lost, and each still meets at its least key."""
+    rng, rows = np.random.default_rng(8), []
+    for group in range(6):
+        classes = rng.integers(-(2**63), 2**63 - 1, 12)
+        for often in (False, True):
+            for key in rng.integers(-(2**63), 2**63 - 1, 40).tolist():
+                held = classes if key % 3 else classes[rng.random(12) < 0.6]
+                rows += [(key, int(c), 100, 1, 0, often, int(c) % 7) for c in held]
+    placed = spark.createDataFrame(rows, "key long, cls long, n int, place int, before int, often boolean, component long").repartition(3)
+    once = jaccard._once(placed)
+    pair = F.expr("a.key = b.key AND a.cls < b.cls AND NOT arrays_overlap(a.met, b.met)")
+    found = once.alias("a").join(once.alias("b"), pair).select("a.cls", F.col("b.cls").alias("other"), "a.key", "a.often").collect()
+    least, order = {}, lambda key, often: (often, key % 2**64)
+    holders = {}
+    for key, c, *_, often, _ in rows:
+        holders.setdefault((often, key), []).append(c)
+    for (often, key), held in holders.items():
+        for x, y in itertools.combinations(sorted(held), 2):
+            least[x, y] = min(least.get((x, y), (True, 2**64)), order(key, often))
+    met = {}
+    for r in found:
+        met.setdefault((r[0], r[1]), []).append(order(r.key, r.often))
+    assert met.keys() == least.keys() and all(least[p] in met[p] for p in met)
+    assert len(found) < 1.1 * len(least)
+
+
+def test_jaccard_rare_tokens_do_not_count_before_a_frequent_key(spark):
+    """Sets that share all frequent tokens, but too few by their rare ones, are no candidates at frequent keys."""
+    rng = np.random.default_rng(2)
+    often = " ".join(f"w{i}" for i in range(204))
+    texts = [(i, " ".join(f"x{rng.integers(10**9)}" for _ in range(40)) + " " + often) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = jaccard._frequent(jaccard.profiles(df).where("n IS NULL"))
+    index = jaccard._index(df, counts, 75, 5).where("often")
+    assert index.count() > 1000 and index.where("before >= place").count() == 0
+    other = index.select(*(F.col(c).alias(f"o{c}") for c in index.columns))
+    assert index.join(other, F.expr("key = okey AND cls < ocls") & jaccard._possible("", "o", 75)).count() == 0
+
+
 def test_jaccard_combinations(spark, rows):
     """Near copies whose tokens are all frequent: their index must hold combinations."""
     some = [r for r in rows if r[0] is not None and r[1] and len(words(r[1], SPACED)) == 40]
