@@ -42,6 +42,8 @@ SCORED = 2048
 _FINE = 1 << 30
 #: Tokens counted at once in a task before the counts are passed on.
 _COUNTED = 2_000_000
+#: Exponentials of numbers below this, and their sums over the classes, are far from the ends of single precision.
+_SAFE = 60.0
 
 
 class Vocabulary(NamedTuple):
@@ -136,48 +138,87 @@ def _windows(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return ids, around, found
 
 
+def _exponentials(logits: np.ndarray, layer: np.ndarray) -> np.ndarray:
+    """The logits' exponentials in their place, less the row's maximum where the layer could let them leave the numbers' range;
+    inputs lie within -1 and 1. Returns what was subtracted."""
+    least = np.zeros((1, 1), logits.dtype)
+    if not np.abs(layer).sum(axis=0).max() < _SAFE:
+        least = logits.max(axis=1, keepdims=True)
+        logits -= least
+    np.exp(logits, out=logits)
+    return least
+
+
+class _Room(NamedTuple):
+    """Arrays that hold the values of some windows at a time; fresh ones cost more than what is done with them."""
+
+    part: np.ndarray
+    total: np.ndarray
+    hidden: np.ndarray  # its last column stays 1, for the bias
+    logits: np.ndarray
+
+    @classmethod
+    def of(cls, embed: np.ndarray, layer: np.ndarray, most: int) -> _Room:
+        wide = embed.shape[2]
+        part, total = (np.empty((most, wide), embed.dtype) for _ in range(2))
+        return cls(part, total, np.ones((most, wide + 1), layer.dtype), np.empty((most, layer.shape[1]), layer.dtype))
+
+    def first(self, n: int) -> _Room:
+        return _Room(*(x[:n] for x in self))
+
+
+def _logits(embed: np.ndarray, layer: np.ndarray, around: np.ndarray, room: _Room) -> None:
+    """The hidden values and the logits of each window, into the room."""
+    np.take(embed[0], around[:, 0], axis=0, out=room.total, mode="clip")
+    for p in range(1, around.shape[1]):
+        np.add(room.total, np.take(embed[p], around[:, p], axis=0, out=room.part, mode="clip"), out=room.total)
+    np.tanh(room.total, out=room.hidden[:, :-1])
+    np.matmul(room.hidden, layer, out=room.logits)
+
+
 def _log_of(net: Network, around: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Log-probability of the wanted class of each window."""
-    hidden = net.embed[0, around[:, 0]]
-    for p in range(1, around.shape[1]):
-        hidden = hidden + net.embed[p, around[:, p]]
-    logits = np.tanh(hidden) @ net.out
-    logits += net.bias
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(logits)), wanted]
-    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+    layer = np.vstack([net.out, net.bias])
+    out, each, whole = np.empty(len(around), layer.dtype), np.ones(layer.shape[1], layer.dtype), _Room.of(net.embed, layer, SCORED)
+    for low in range(0, len(around), SCORED):
+        part = slice(low, low + SCORED)
+        room = whole.first(len(around[part]))
+        _logits(net.embed, layer, around[part], room)
+        own = room.logits[np.arange(len(room.logits)), wanted[part]]
+        own -= _exponentials(room.logits, layer)[:, 0]
+        out[part] = own - np.log(room.logits @ each)
+    return out
 
 
 def _train(net: Network, around: np.ndarray, target: np.ndarray, seed: int, rate: float) -> Network:
     """One pass of Adagrad on the cross-entropy of the masked token's class, in small batches of a random order."""
-    net = Network(*(np.array(x, np.float32) for x in net))
-    scale = [np.full(x.shape, 1e-2, np.float32) for x in net]
+    embed, layer = np.array(net.embed, np.float32), np.vstack([net.out, net.bias]).astype(np.float32)
+    scale = [np.full(x.shape, 1e-2, np.float32) for x in (embed, layer)]
+    each, whole = np.ones(layer.shape[1], np.float32), _Room.of(embed, layer, BATCH)
     order = np.random.default_rng(seed).permutation(len(target))
     for at in range(0, len(order), BATCH):
         rows = order[at : at + BATCH]
-        near = around[rows]
-        hidden = net.embed[0, near[:, 0]]
-        for p in range(1, near.shape[1]):
-            hidden = hidden + net.embed[p, near[:, p]]
-        hidden = np.tanh(hidden)
-        wrong = hidden @ net.out + net.bias
-        wrong -= wrong.max(axis=1, keepdims=True)
-        np.exp(wrong, out=wrong)
-        wrong /= wrong.sum(axis=1, keepdims=True)
-        wrong[np.arange(len(rows)), target[rows]] -= 1
-        wrong /= len(rows)
-        back = (wrong @ net.out.T) * (1 - hidden**2)
-        for i, slope in ((1, hidden.T @ wrong), (2, wrong.sum(axis=0))):
-            scale[i] += slope**2
-            net[i][...] -= rate * slope / np.sqrt(scale[i])
+        near, room = around.take(rows, axis=0), whole.first(len(rows))
+        _logits(embed, layer, near, room)
+        wrong, hidden, back = room.logits, room.hidden, room.total
+        _exponentials(wrong, layer)
+        wrong *= (1 / (wrong @ each * np.float32(len(rows))))[:, None]
+        wrong[np.arange(len(rows)), target[rows]] -= np.float32(1 / len(rows))
+        slope = hidden.T @ wrong
+        np.matmul(wrong, layer[:-1].T, out=back)
+        np.square(hidden[:, :-1], out=room.part)
+        np.multiply(back, np.subtract(1, room.part, out=room.part), out=back)
+        scale[1] += slope**2
+        layer -= rate * slope / np.sqrt(scale[1])
         for p in range(near.shape[1]):
             by = np.argsort(near[:, p], kind="stable")
             own = near[by, p]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            used, slope = own[first], np.add.reduceat(back[by], first, axis=0)
-            scale[0][p, used] += slope**2
-            net.embed[p, used] -= rate * slope / np.sqrt(scale[0][p, used])
-    return net
+            used, slope = own[first], np.add.reduceat(np.take(back, by, axis=0, out=room.part, mode="clip"), first, axis=0)
+            grown = scale[0][p].take(used, axis=0) + slope**2
+            scale[0][p, used] = grown
+            embed[p, used] -= rate * slope / np.sqrt(grown)
+    return Network(embed, layer[:-1], layer[-1])
 
 
 def _pack(net: Network) -> np.ndarray:
@@ -261,9 +302,7 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame |
             for at, to, data, offsets in slices(batch.column(2)):
                 ids, around, found = _windows(vocab, data, offsets)
                 logs, n = vocab.log_share[ids], np.diff(found.first)
-                for low in range(0, len(ids), SCORED):
-                    part = slice(low, low + SCORED)
-                    logs[part] += _log_of(net, around[part], vocab.classes[ids[part]])
+                logs += _log_of(net, around, vocab.classes[ids])
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[found.first])
                 other = ids == 0
                 pairs = np.column_stack([np.repeat(np.arange(at, to), n)[other], found.hashes[other].view(np.int64)])

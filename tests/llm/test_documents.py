@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -613,6 +614,28 @@ def test_scores_of_a_network_against_a_plain_sum(spark):
         assert got[doc] == pytest.approx(total, rel=1e-4, abs=1e-4)
 
 
+def test_training_and_scores_hold_one_array_of_logits():
+    """A step needs little room beyond one array of its logits, and scores none for all windows at once; both in range."""
+    rnd = np.random.default_rng(5)
+    net = small_network(rnd, 9)
+    around, target = rnd.integers(0, 9, (50_000, 4)).astype(np.int16), rnd.integers(0, 20, 50_000)
+    one = 4 * pseudo_likelihood.CLASSES
+    tracemalloc.start()
+    pseudo_likelihood._train(net, around[:20_000], target[:20_000], 1, 0.1)
+    trained = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    logs = pseudo_likelihood._log_of(net, around, target)
+    scored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert trained < 1.9 * one * pseudo_likelihood.BATCH and scored < 3 * one * pseudo_likelihood.SCORED
+    for scale, got in ((1, logs), (100, pseudo_likelihood._log_of(net._replace(out=100 * net.out, bias=100 * net.bias), around, target))):
+        hidden = np.tanh(sum(net.embed[p, around[:, p]].astype(float) for p in range(4)))
+        logits = scale * (hidden @ net.out.astype(float) + net.bias)
+        top = logits.max(axis=1)
+        expected = logits[np.arange(len(target)), target] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        assert got == pytest.approx(expected, rel=1e-3, abs=1e-3)
+
+
 def test_every_token_is_a_window():
     margin = np.full(2, 99, np.int16)
     pieces = [np.concatenate([margin, np.arange(5, dtype=np.int16), margin]).tobytes(), np.concatenate([[3, 4], np.arange(1, dtype=np.int16), margin]).astype(np.int16).tobytes()]
