@@ -47,7 +47,7 @@ PERCENT = 75
 #: Longs of the short parity map, of 64 bits each, that the last join compares before it makes a pair.
 FOLDS = 4
 #: First keys of a class that tell the last join whether a pair has met at an earlier one.
-HEADS = 8
+HEADS = 16
 
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
