@@ -1,5 +1,7 @@
 """Reference and predictions meet once for each side, not once for each seed."""
 
+import itertools
+import math
 import re
 
 import pytest
@@ -68,3 +70,14 @@ def test_tuples_meet_without_a_join(tables):
     assert "Join" not in plan_of(scores)
     got = {(r.seed, r.reference): (r.tp, r.fp, r.fn, r.no_size_pred) for r in scores.collect()}
     assert got == {(0, "complete"): (3, 1, 2, 1), (0, "reduced"): (2, 2, 1, 1), (1, "complete"): (0, 0, 5, 0), (1, "reduced"): (0, 0, 3, 0)}
+
+
+def test_thresholds_do_not_depend_on_the_order_of_the_folds(spark):
+    folds = [0.30209999999999976, 0.3444, 0.3123000000000002, 0.3549000000000001, 0.3212999999999999]  # mean 0.327, one bit off in some orders
+    orders = list(itertools.permutations(folds))
+    runs = spark.createDataFrame([(i, x, x + 0.3) for i, o in enumerate(orders) for x in o], "seed int, thr_lo double, thr_hi double").coalesce(1)
+    rows = spark.createDataFrame([(i, 0.327) for i in range(len(orders))], "seed int, z_hat double")
+    out = ev.averaged_thresholds(rows, runs, ["seed"], "z_hat").collect()
+    assert len(out) == len(orders) and {r.zone for r in out} == {"MID"}
+    means = runs.groupBy("seed").agg(ev.steady_mean("thr_lo").alias("m")).select("m").distinct().collect()
+    assert [r.m for r in means] == [math.fsum(folds) / 5]
