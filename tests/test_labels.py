@@ -119,3 +119,13 @@ def test_findings_are_split_at_a_plain_character(spark):
     rows = L.finding_rows(df, "t")
     assert sorted((r.k, r.pos, r.raw) for r in rows.collect()) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c d"), (4, 0, "x")]
     assert "\u3000]*" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_finding_texts_are_read_once(spark, folder):
+    from cohortine.plans import checked
+
+    every = checked.finding_text(spark, folder).select("text")
+    read = checked.lesions(spark, folder).where("pos = 0")
+    n_texts, n_rows = every.distinct().count(), every.count()
+    assert n_texts < n_rows
+    assert (read.count(), read.agg(F.sum("n")).first()[0]) == (n_texts, n_rows)
